@@ -38,11 +38,6 @@ def text_tag(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
-def row_key(doc_id: Column, tag: Column) -> Column:
-    """One join key for a row; null ids are a value like any other."""
-    return F.xxhash64(doc_id, tag)
-
-
 def wrapped(docs: DataFrame) -> DataFrame:
     """The rows as one struct column ``row``, so that no name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -29,13 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from .common import row_key, text_tag, wrapped, written
+from .common import text_tag, wrapped, written
 from .windows import U64, Batch, covered, mix, spread
 
 _BYTES = mix(np.arange(256, dtype=U64), 11)
 _CHUNK = 1 << 19  # bytes of text handled at once; longer documents stand alone
-_RANGE = "anchor long, name long, doc_id long, tag int, start int, n int"
-_WINDOW = "k1 long, k2 long, doc_id long, tag int, start int"
 
 
 class Windows:
@@ -86,13 +84,9 @@ def _stays(spans: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([spread(start[~member & ~single], n[~member & ~single]), one[mine[one]]])
 
 
-def _member(anchor, name, doc, tag, start) -> np.ndarray:
+def _member(anchor, name, mark, start) -> np.ndarray:
     """One hash for one range of one row."""
-    return mix(anchor.view(U64)) ^ mix(name.view(U64), 1) ^ mix(doc.astype(np.int64).view(U64), 2) ^ mix(tag.astype(np.int64).view(U64), 3) ^ mix(start.astype(np.int64).view(U64), 4)
-
-
-def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["doc_id"].fillna(0).to_numpy(np.int64)
+    return mix(anchor.view(U64)) ^ mix(name.view(U64), 1) ^ mix(mark.view(U64), 2) ^ mix(start.astype(np.int64).view(U64), 3)
 
 
 class Repeats:
@@ -103,56 +97,75 @@ class Repeats:
     ``most_bits`` bounds the broadcast sketch: ``2**most_bits`` slots in each of
     two rows, 1 bit a slot.  Beyond it more windows are estimated repeated and
     grouped exactly; the result does not change.
+
+    A row's ``code`` orders rows by ``doc_id``, null first (rows that share an id
+    are told apart by their text); a ``place`` is ``code * 2**shift + start``.
+    Both are longs where they fit, which keeps the grouping in hash aggregates,
+    and decimals of 38 digits where not.
     """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, windows: Windows, keep_first: bool, most_bits: int = 26):
-        self.windows, self.keep_first = windows, keep_first
+        self.windows, self.keep_first, self.most_bits, self.spark = windows, keep_first, most_bits, docs.sparkSession
         self.rows = wrapped(docs)
         self.text = F.col("row").getField(text)
-        self.doc_id = F.col("row").getField(doc_id).cast("long")
-        self.slim = self.rows.select(self.doc_id.alias("doc_id"), text_tag(self.text).alias("tag"), self.text.alias("text")).where(F.octet_length("text") >= windows.length)
+        ids = self.rows.select(F.col("row").getField(doc_id).cast("long").alias("doc_id"), F.octet_length(self.text).alias("size"))
+        low, high, longest, volume = ids.agg(F.min("doc_id"), F.max("doc_id"), F.max("size"), F.sum("size")).first()
+        shared = ids.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
+        low, self.shift = low or 0, 1 << int(longest or 1).bit_length()
+        tags = 1 << 31 if shared else 1
+        wide = ((high or 0) - low + 2) * tags * self.shift >= 1 << 62
+        self.whole = "decimal(38,0)" if wide else "long"
+        code = F.coalesce(F.col("row").getField(doc_id).cast("long").cast(self.whole) - F.lit(low - 1).cast(self.whole), F.lit(0).cast(self.whole)).cast(self.whole)
+        if shared:
+            code = (code * F.lit(tags).cast(self.whole) + text_tag(self.text).cast(self.whole)).cast(self.whole)
+        self.rows = self.rows.withColumn("code", code)
+        self.slim = self.rows.select("code", F.xxhash64("code").alias("mark"), self.text.alias("text")).where(F.octet_length("text") >= windows.length)
         per_token = 1 if windows.tokens == "bytes" else 6
-        volume = self.slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.bits = sketches.fitting_bits(volume / per_token * 2 / (windows.length - windows.gram + 2), 16, most_bits)
-        self.most_bits = most_bits
+        self.bits = sketches.fitting_bits((volume or 0) / per_token * 2 / (windows.length - windows.gram + 2), 16, most_bits)
 
         def anchors(batches):
             for pdf in batches:
                 for _, _, b in windows.chunks(pdf["text"]):
                     yield b.anchor
 
-        self.spark = docs.sparkSession
         self.twice = sketches.broadcast(self.spark, sketches.build(self.slim.select("text"), anchors, self.bits)[1])
 
+    def _place(self, code: str = "code", start: str = "start"):
+        return F.expr(f"cast({code} * cast({self.shift} as {self.whole}) + {start} as {self.whole})")
+
+    def _code(self, place: str):
+        return F.expr(f"cast(({place} - {place} % cast({self.shift} as {self.whole})) / cast({self.shift} as {self.whole}) as {self.whole})") if self.whole != "long" else F.expr(f"{place} div {self.shift}L")
+
+    def _start(self, place: str):
+        return F.expr(f"cast({place} % cast({self.shift} as {self.whole}) as int)")
+
     def exceptions(self) -> DataFrame:
-        """``key`` (the row) and ``spans``: ``start << 32 | n`` of windows that stay."""
+        """``code`` (the row) and ``spans``: ``start << 32 | n`` of windows that stay."""
         windows, twice, bits = self.windows, self.twice, self.bits
 
         def ranges(batches):
             for pdf in batches:
-                ids, tags = _ids(pdf), pdf["tag"].to_numpy(np.int32)
-                null = pdf["doc_id"].isna().to_numpy()
                 for first, _, b in windows.chunks(pdf["text"]):
                     on = sketches.test(twice.value, b.anchor, bits)
                     start, count, doc = b.start[on], b.count[on], b.doc[on]
                     name = b.first.at(start, count + (windows.length - 1)).view(np.int64)
-                    at = doc + first
-                    yield pd.DataFrame({"anchor": b.anchor[on].view(np.int64), "name": name, "doc_id": pd.Series(ids[at], dtype="Int64").mask(null[at]), "tag": tags[at], "start": (start - b.begin[doc]).astype(np.int32), "n": count.astype(np.int32)})
+                    yield pd.DataFrame({"anchor": b.anchor[on].view(np.int64), "name": name, "code": pdf["code"].to_numpy()[doc + first], "start": (start - b.begin[doc]).astype(np.int32), "n": count.astype(np.int32)})
 
-        at = F.struct("doc_id", "tag", "start")
-        classes = self.slim.mapInPandas(ranges, _RANGE).groupBy("anchor", "name").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("times"), F.max("n").alias("n"))
+        found = self.slim.mapInPandas(ranges, f"anchor long, name long, code {self.whole}, start int, n int").withColumn("place", self._place())
+        high = [] if self.keep_first else [F.max("place").alias("high")]
+        classes = written(found.groupBy("anchor", "name").agg(F.min("place").alias("low"), *high, F.count("*").alias("times"), F.max("n").alias("n")), "classes")
         several = classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor", F.lit(True).alias("mixed"))
         classes = written(classes.join(several, "anchor", "left"), "classes")
         mixed = classes.where("mixed")
         plain = classes.where("mixed is null")
         if not self.keep_first:
             plain = plain.where("times = 1")
-        spans = plain.select("low.doc_id", "low.tag", "low.start", "n")
-        place = ["doc_id", "tag", "start"]
-        members = mixed.select("anchor", "name", "n", F.explode(F.array("low") if self.keep_first else F.array_distinct(F.array("low", "high"))).alias("p")).select("anchor", "name", "n", "p.*")
+        spans = plain.select(F.col("low").alias("place"), "n")
+        members = mixed.select("anchor", "name", "n", F.explode(F.array("low") if self.keep_first else F.array_distinct(F.array("low", "high"))).alias("place"))
         if n := members.count():
-            spans = spans.unionByName(members.select(*place, (F.col("n") + _MEMBER).alias("n"))).unionByName(self._single(members.drop("n"), n))
-        return spans.groupBy(row_key(F.col("doc_id"), F.col("tag")).alias("key")).agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("spans"))
+            spans = spans.unionByName(members.select("place", (F.col("n") + _MEMBER).alias("n"))).unionByName(self._single(members, n))
+        span = F.shiftleft(self._start("place").cast("long"), 32) + F.col("n")
+        return spans.select(self._code("place").alias("code"), span.alias("span")).groupBy("code").agg(F.collect_list("span").alias("spans"))
 
     def _single(self, members: DataFrame, n: int) -> DataFrame:
         """Exceptions among the single windows of the members' ranges."""
@@ -161,31 +174,31 @@ class Repeats:
 
         def hashes(batches):
             for pdf in batches:
-                yield _member(pdf["anchor"].to_numpy(np.int64), pdf["name"].to_numpy(np.int64), _ids(pdf), pdf["tag"].to_numpy(np.int32), pdf["start"].to_numpy(np.int32))
+                yield _member(*(pdf[c].to_numpy() for c in ("anchor", "name", "mark", "start")))
 
-        known = sketches.broadcast(self.spark, sketches.build(members, hashes, member_bits)[0])
+        known = sketches.broadcast(self.spark, sketches.build(members.select("anchor", "name", F.xxhash64(self._code("place")).alias("mark"), self._start("place").alias("start")), hashes, member_bits)[0])
 
         def singles(batches):
             for pdf in batches:
-                ids, tags = _ids(pdf), pdf["tag"].to_numpy(np.int32)
-                null = pdf["doc_id"].isna().to_numpy()
+                codes, marks = pdf["code"].to_numpy(), pdf["mark"].to_numpy()
                 for first, _, b in windows.chunks(pdf["text"]):
                     on = np.flatnonzero(sketches.test(twice.value, b.anchor, bits))
                     name = b.first.at(b.start[on], b.count[on] + (windows.length - 1)).view(np.int64)
-                    at = b.doc[on] + first
-                    mine = _member(b.anchor[on].view(np.int64), name, ids[at], tags[at], b.start[on] - b.begin[b.doc[on]])
-                    on = on[sketches.test(known.value, mine, member_bits)]
+                    doc = b.doc[on]
+                    on = on[sketches.test(known.value, _member(b.anchor[on].view(np.int64), name, marks[doc + first], b.start[on] - b.begin[doc]), member_bits)]
                     if not len(on):
                         continue
                     a = spread(b.start[on], b.count[on])
                     doc = np.repeat(b.doc[on], b.count[on])
                     k1, k2 = b.names(a, windows.length)
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "doc_id": pd.Series(ids[doc + first], dtype="Int64").mask(null[doc + first]), "tag": tags[doc + first], "start": (a - b.begin[doc]).astype(np.int32)})
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "code": codes[doc + first], "start": (a - b.begin[doc]).astype(np.int32)})
 
-        found = self.slim.mapInPandas(singles, _WINDOW).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tag", "start")).alias("low"), F.count("*").alias("times"))
+        found = self.slim.mapInPandas(singles, f"k1 long, k2 long, code {self.whole}, start int").withColumn("place", self._place())
+        times = [] if self.keep_first else [F.count("*").alias("times")]
+        found = found.groupBy("k1", "k2").agg(F.min("place").alias("place"), *times)
         if not self.keep_first:
             found = found.where("times = 1")
-        return found.select("low.doc_id", "low.tag", "low.start", F.lit(1 + _SINGLE).cast("int").alias("n"))
+        return found.select("place", F.lit(1 + _SINGLE).cast("int").alias("n"))
 
     def applied(self, result: T.StructType, finish) -> DataFrame:
         """``row`` and ``found``: ``finish(tokens, removed mask)`` for every row."""
@@ -206,6 +219,5 @@ class Repeats:
                     out += [finish(p, gone[b.begin[i] : b.begin[i + 1]]) for i, p in enumerate(pieces)]
                 yield pd.DataFrame(out, columns=result.fieldNames())
 
-        keyed = self.rows.withColumn("key", row_key(self.doc_id, text_tag(self.text)))
-        joined = keyed.join(self.exceptions(), "key", "left")
+        joined = self.rows.join(self.exceptions(), "code", "left")
         return joined.select("row", judge(self.text, "spans").alias("found"))

@@ -31,7 +31,7 @@ from .common import unwrapped
 from .repeats import Repeats, Windows
 
 LENGTH = 100
-GRAM = 60
+GRAM = 66
 
 _RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
