@@ -154,14 +154,10 @@ class Repeats:
         found = self.slim.mapInPandas(ranges, f"anchor long, name long, code {self.whole}, start int, n int").withColumn("place", self._place())
         high = [] if self.keep_first else [F.max("place").alias("high")]
         classes = written(found.groupBy("anchor", "name").agg(F.min("place").alias("low"), *high, F.count("*").alias("times"), F.max("n").alias("n")), "classes")
-        several = classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor", F.lit(True).alias("mixed"))
-        classes = written(classes.join(several, "anchor", "left"), "classes")
-        mixed = classes.where("mixed")
-        plain = classes.where("mixed is null")
-        if not self.keep_first:
-            plain = plain.where("times = 1")
-        spans = plain.select(F.col("low").alias("place"), "n")
-        members = mixed.select("anchor", "name", "n", F.explode(F.array("low") if self.keep_first else F.array_distinct(F.array("low", "high"))).alias("place"))
+        several = written(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor"), "several")
+        plain = classes if self.keep_first else classes.where("times = 1")
+        spans = plain.join(several, "anchor", "left_anti").select(F.col("low").alias("place"), "n")
+        members = written(classes.join(several, "anchor").select("anchor", "name", "n", F.explode(F.array("low") if self.keep_first else F.array_distinct(F.array("low", "high"))).alias("place")), "members")
         if n := members.count():
             spans = spans.unionByName(members.select("place", (F.col("n") + _MEMBER).alias("n"))).unionByName(self._single(members, n))
         span = F.shiftleft(self._start("place").cast("long"), 32) + F.col("n")

@@ -23,24 +23,37 @@ _MERGE_WAYS = 64
 
 
 class Sketch:
-    """Counts up to two in ``ROWS`` rows of ``2**bits`` slots."""
+    """Counts up to two in ``ROWS`` rows of ``2**bits`` slots, two bits a slot."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.counts = np.zeros((ROWS, 1 << bits), dtype=np.uint8)
+        self.once, self.twice = np.zeros((2, ROWS, (1 << bits) // 8), dtype=np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         for r in range(ROWS):
-            slot, n = np.unique(slots(hashes, r, self.bits), return_counts=True)
-            self.counts[r, slot] = np.minimum(self.counts[r, slot] + np.minimum(n, 2).astype(np.uint8), 2)
+            slot = np.sort(slots(hashes, r, self.bits))
+            new = np.ones(len(slot), dtype=bool)
+            new[1:] = slot[1:] != slot[:-1]
+            _set(self.twice[r], np.unique(slot[~new]))
+            slot = slot[new]
+            _set(self.twice[r], slot[(self.once[r, slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1])
+            _set(self.once[r], slot)
 
     def blocks(self) -> Iterator[pd.DataFrame]:
         for r in range(ROWS):
-            planes = [np.packbits(self.counts[r] >= k).tobytes() for k in (1, 2)]
+            planes = [self.once[r].tobytes(), self.twice[r].tobytes()]
             at = range(0, len(planes[0]), _BLOCK)
             yield pd.DataFrame({"block": [r * len(at) + i for i in range(len(at))], "once": [planes[0][i : i + _BLOCK] for i in at], "twice": [planes[1][i : i + _BLOCK] for i in at]})
 
 
+def _set(plane: np.ndarray, slot: np.ndarray) -> None:
+    """Set the bits of sorted slots."""
+    if len(slot):
+        byte = slot >> 3
+        begin = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+        plane[byte[begin]] |= np.bitwise_or.reduceat(np.uint8(128) >> (slot & 7).astype(np.uint8), begin)
+
+
 def slots(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes, 31 + row) >> U64(64 - bits)).astype(np.int64)
 
@@ -60,7 +73,7 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pd.DataFrame]], Iterator[np.
     """The merged planes ``(once, twice)``, each ``ROWS x 2**bits / 8`` bytes.
 
     ``hashes`` turns a task's batches into hash arrays.  A task a core builds one
-    sketch of ``ROWS * 2**bits`` bytes; what reaches the driver is the merged one.
+    sketch of ``ROWS * 2**bits / 4`` bytes; the merged one reaches the driver.
     """
 
     def task(batches):
