@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from .common import text_tag, wrapped, written
+from .common import small_batches, text_tag, wrapped, written
 from .windows import U64, Batch, covered, mix, spread
 
 _BYTES = mix(np.arange(256, dtype=U64), 11)
@@ -104,8 +104,9 @@ class Repeats:
     and decimals of 38 digits where not.
     """
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, windows: Windows, keep_first: bool, most_bits: int = 26):
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, windows: Windows, keep_first: bool, most_bits: int = 27):
         self.windows, self.keep_first, self.most_bits, self.spark = windows, keep_first, most_bits, docs.sparkSession
+        small_batches(self.spark)
         self.rows = wrapped(docs)
         self.text = F.col("row").getField(text)
         ids = self.rows.select(F.col("row").getField(doc_id).cast("long").alias("doc_id"), F.octet_length(self.text).alias("size"))

@@ -31,7 +31,7 @@ def _finish(words: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
     return len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int | None = None, most_bits: int = 26) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int | None = None, most_bits: int = 27) -> DataFrame:
     """``docs`` and ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space)."""
     gram = gram or max(1, window * GRAM // WINDOW)
     found = Repeats(docs, doc_id, text, Windows("words", window, gram), keep_first=False, most_bits=most_bits).applied(_RESULT, _finish)

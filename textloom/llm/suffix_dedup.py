@@ -31,7 +31,7 @@ from .common import unwrapped
 from .repeats import Repeats, Windows
 
 LENGTH = 100
-GRAM = 66
+GRAM = 62
 
 _RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
@@ -44,7 +44,7 @@ def _finish(raw: bytes, gone: np.ndarray) -> tuple[int, int, int, bytes]:
     return len(raw), removed, spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, most_bits: int = 26) -> DataFrame:
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, most_bits: int = 27) -> DataFrame:
     """``docs`` and ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (bytes left)."""
     gram = gram or max(1, length * GRAM // LENGTH)
     found = Repeats(docs, doc_id, text, Windows("bytes", length, gram), keep_first=True, most_bits=most_bits).applied(_RESULT, _finish)
