@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann_search import ann_search
+from .embedding_dedup import embedding_dedup
 from .language_id import language_id, learn, trained_rows
 from .mixing import mix_sources
 from .substring_dedup import substring_dedup
@@ -22,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +59,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
+        "op4_ann_search": op4_ann_search,
         "op5_mix_sources": op5_mix_sources,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_language_id": op7_language_id,
