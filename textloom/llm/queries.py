@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .ann_search import ann_search
 from .embedding_dedup import embedding_dedup
+from .jaccard_join import jaccard_classes
 from .language_id import language_id, learn, trained_rows
+from .license_scan import license_scan
 from .mixing import mix_sources
+from .sentence_pieces import encode
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .url_filter import url_filter
@@ -28,6 +31,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_tokens", "round_trip", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"))
+
+
 def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,6 +65,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as a tree: a folder a hundred ids, its first file the licence file, a folder a source below."""
+    doc = F.col("doc_id")
+    folder = F.concat_ws("/", (F.floor(doc / 1000)).cast("string"), (F.floor(doc / 100)).cast("string"))
+    path = F.when(doc % 100 == 0, F.concat(folder, F.lit("/LICENSE"))).otherwise(F.concat_ws("/", folder, F.coalesce("source", F.lit("none")), F.concat(doc.cast("string"), F.lit(".txt"))))
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return files.select("doc_id", "path").join(license_scan(files), "path")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -60,10 +81,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_jaccard_join": op2_jaccard_join,
+        "op3_sentence_pieces": op3_sentence_pieces,
         "op4_ann_search": op4_ann_search,
         "op5_mix_sources": op5_mix_sources,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_license_scan": op9_license_scan,
         "op10_url_filter": op10_url_filter,
     }
