@@ -35,7 +35,7 @@ from .common import small_batches, unwrapped, wrapped, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DICTIONARY, LONGEST_WORD, CACHE = 100_000, 48, 200_000
+DICTIONARY, LONGEST_WORD, CACHE = 40_000, 48, 200_000
 
 
 class Pieces:
@@ -46,6 +46,7 @@ class Pieces:
         byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
         self.byte_ids = [byte.get(b, unk) for b in range(256)]
         self.byte_of = {i: b for b, i in byte.items()}
+        self.raw_of = [self._raw(i) for i in range(len(pieces))]
         plain = [i for i in range(len(pieces)) if i not in special and i not in self.byte_of]
         self.table = {pieces[i]: (scores[i], i) for i in plain}
         self.longest = max(map(len, self.table), default=1)
@@ -118,17 +119,14 @@ class Pieces:
         return cuts
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.special:
-                out += self.pieces[i].encode()
-            elif i == self.unk:
-                out += b" \xe2\x81\x87 "
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw_of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
+    def _raw(self, i: int) -> bytes:
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return b" \xe2\x81\x87 " if i == self.unk else b"" if i in self.special else self.pieces[i].encode()
+
 
 def _normal(text: Column) -> Column:
     return F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
