@@ -23,7 +23,10 @@ operator's columns replace columns of the same name.
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from .common import small_batches, unwrapped, wrapped, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DICTIONARY, LONGEST_WORD, CACHE = 40_000, 48, 200_000
+DICTIONARY, LONGEST_WORD, CACHE = 40_000, 48, 400_000
 
 
 class Pieces:
@@ -49,6 +52,7 @@ class Pieces:
         self.raw_of = [self._raw(i) for i in range(len(pieces))]
         plain = [i for i in range(len(pieces)) if i not in special and i not in self.byte_of]
         self.table = {pieces[i]: (scores[i], i) for i in plain}
+        self.scores = {p: score for p, (score, _) in self.table.items()}
         self.longest = max(map(len, self.table), default=1)
         self.worst = min((scores[i] for i in plain), default=0.0) - 10.0
         if any(SPACE in p.lstrip(SPACE) for p in self.table):
@@ -76,6 +80,11 @@ class Pieces:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
     def encode(self, word: str) -> list[int]:
+        if self.bpe and len(word) <= LONGEST_WORD:
+            out, get = [], self.table.get
+            for piece in self._joined(word):
+                out += [got[1]] if (got := get(piece)) else self.raw(piece)
+            return out
         cuts = self._merged(word) if self.bpe else self._viterbi(word)
         out = []
         for s, t in zip(cuts, cuts[1:]):
@@ -97,7 +106,23 @@ class Pieces:
             cuts.append(back[cuts[-1]])
         return cuts[::-1]
 
+    def _joined(self, word: str) -> list[str]:
+        """The pieces of a short word: the best pair joined, leftmost first, until none is left."""
+        get, none = self.scores.get, -math.inf
+        parts = list(word)
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
     def _merged(self, word: str) -> list[int]:
+        """Boundaries of the same pieces, by a heap: for words of any length."""
         n, get = len(word), self.table.get
         end, left = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts there
         heap = [(-got[0], i, i + 1, i + 2) for i in range(n - 1) if (got := get(word[i : i + 2]))]
@@ -128,8 +153,31 @@ class Pieces:
         return b" \xe2\x81\x87 " if i == self.unk else b"" if i in self.special else self.pieces[i].encode()
 
 
-def _normal(text: Column) -> Column:
-    return F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
+def splitter(pieces: Pieces):
+    """A function from a text to its words, in which a plain space stands for U+2581."""
+    find = re.compile(pieces.words.replace(SPACE, " ")).findall
+    return lambda text: find(" " + text.replace(SPACE, " ")) if text else []
+
+
+class Codes(dict):
+    """Ids of words as bytes of int32: the dictionary's, and lately met others, at most 2 x ``CACHE``.
+
+    It is broadcast, so the tasks that a Python worker runs share what it has met.
+    """
+
+    def __init__(self, pieces: Pieces, known: dict[str, list[int]]):
+        super().__init__((w.replace(SPACE, " "), np.array(ids, np.int32).tobytes()) for w, ids in known.items())
+        self.pieces, self.young, self.old = pieces, {}, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.young.get(word)
+        if got is None:
+            got = self.old.get(word) or array("i", self.pieces.encode(word.replace(" ", SPACE))).tobytes()
+            if len(word) <= LONGEST_WORD:
+                if len(self.young) >= CACHE:
+                    self.old, self.young = self.young, {}
+                self.young[word] = got
+        return got
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -191,9 +239,20 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def common_words(docs: DataFrame, text: Column, pieces: Pieces, most: int = DICTIONARY) -> DataFrame:
     """The commonest words, at most ``most`` (ties to the smaller word)."""
-    words = docs.select(F.explode(F.regexp_extract_all(_normal(text), F.lit(pieces.words), F.lit(0))).alias("word"))
-    counted = words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        split = splitter(shared.value)
+        for batch in batches:
+            found = Counter()
+            for t in batch["text"]:
+                found.update(split(t))
+            kept = [(w, n) for w, n in found.items() if len(w) <= LONGEST_WORD]
+            yield pd.DataFrame({"word": [w for w, _ in kept], "n": [n for _, n in kept]})
+
+    counted = docs.select(text.alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.desc("n"), "word").limit(most).select(F.translate("word", " ", SPACE).alias("word"))
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, most: int = DICTIONARY) -> DataFrame:
@@ -205,29 +264,20 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, most: int =
     body = F.col("row").getField(text)
     words = written(common_words(rows, body, pieces, most), "words")
     known = {r["word"]: r["ids"] for r in encode_words(words.repartition(spark.sparkContext.defaultParallelism * 4), pieces).collect()}
-    shared = spark.sparkContext.broadcast((pieces, known))
+    shared = spark.sparkContext.broadcast(Codes(pieces, known))
 
     @F.pandas_udf("ids array<int>, n_tokens int, round_trip boolean")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces, known = shared.value
-        find, cache = re.compile(pieces.words).findall, {}
+        codes = shared.value
+        pieces, split, code = codes.pieces, splitter(codes.pieces), codes.__getitem__
         for texts in batches:
             out = []
             for t in texts:
                 if t is None:
                     out.append((None, 0, None))
                     continue
-                ids: list[int] = []
-                for w in find(SPACE + t.replace(" ", SPACE)) if t else ():
-                    got = known.get(w) or cache.get(w)
-                    if got is None:
-                        got = pieces.encode(w)
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        if len(w) <= LONGEST_WORD:
-                            cache[w] = got
-                    ids += got
-                out.append((np.array(ids, np.int32), len(ids), pieces.decode(ids) == t))
+                ids = np.frombuffer(b"".join(map(code, split(t))), np.int32)
+                out.append((ids, len(ids), pieces.decode(ids.tolist()) == t))
             yield pd.DataFrame(out, columns=["ids", "n_tokens", "round_trip"])
 
     found = rows.withColumn("found", coded(body))
