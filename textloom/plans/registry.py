@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import chunking as C
+from textloom.operators import metering as M
 from textloom.operators import retrieval as R
 from textloom.plans.relational import PLANS, SPELLING
 
@@ -59,6 +61,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "url_doc_id": lambda s, d: _table(s, d, "pages").select("page_id", T.url_doc_id(F.col("url")).alias("slug")),
     "normalize_pdf_url": lambda s, d: _table(s, d, "pages").select("page_id", T.normalize_pdf_url(F.col("url")).alias("url")),
     "fixed_chunk": _docs(R.fixed_chunk),
+    "recursive_chunk": _docs(C.recursive_chunk),
+    "chunk_size_sweep": _docs(C.chunk_size_sweep),
+    "rate_limit": lambda s, d: M.rate_limit(_table(s, d, "events"), "user_id", "ts", "event_id"),
     "assign_chunk_ids": _docs(lambda d: R.fixed_chunk(d, 200).select("document_id", "chunk_index", "chunk_id")),
     "chunk_length_stats": _docs(lambda d: R.fixed_chunk(d).agg(F.round(F.avg(F.length("text")), 4).alias("mean_length"), F.min(F.length("text")).alias("least"), F.max(F.length("text")).alias("most"), F.count("*").alias("n"))),
     "bm25_corpus_stats": _docs(lambda d: R.bm25_corpus_stats(d, "doc_id")),
