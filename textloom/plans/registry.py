@@ -74,6 +74,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbor_join": _docs(lambda d: R.neighbor_join(R.fixed_chunk(d).where("chunk_index % 3 = 0"), R.fixed_chunk(d))),
     "merge_neighbors": _docs(lambda d: R.merge_neighbors(R.fixed_chunk(d).where("chunk_index % 3 = 0"), R.fixed_chunk(d))),
     "rank_precision_recall": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 4).alias("precision")),
+    "retrieval_hit": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("label") == F.col("own")), F.lit(False)).alias("hit")),
 }
 
 _CHUNKS = """c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS INT) AS chunk_index, doc_id || '__chunk_' || i AS chunk_id, substr(text, i * {n} + 1, {n}) AS text
@@ -114,6 +115,7 @@ o AS (SELECT query_id, vec_id, label, CAST(row_number() OVER (PARTITION BY query
     "neighbor_join": f"""WITH {_C500} SELECT a.document_id, b.chunk_index AS neighbor_index, a.chunk_index, b.text AS neighbor_text FROM c a JOIN c b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) = 1
 WHERE a.chunk_index % 3 = 0 AND trim(b.text) <> ''""",
     "rank_precision_recall": f'WITH {_DENSE} SELECT query_id, round(avg(CASE WHEN label = own THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS "precision" FROM t WHERE rank <= 10 GROUP BY query_id',
+    "retrieval_hit": f"WITH {_DENSE} SELECT query_id, coalesce(bool_or(label = own), false) AS hit FROM t WHERE rank <= 10 GROUP BY query_id",
 }
 
 

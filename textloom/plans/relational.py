@@ -79,6 +79,18 @@ unix_micros(CAST(ts AS TIMESTAMP)) - lag(unix_micros(CAST(ts AS TIMESTAMP))) OVE
     "upsert_memory": "SELECT user_id, props FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events}) t WHERE back = 1",
     "persist_turns": """SELECT conv_id, coalesce(min(CASE WHEN place = 1 THEN substr(text, 1, 100) END), 'New chat') AS title, count(*) AS n_messages FROM
 (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn) AS place FROM {conversations}) t GROUP BY conv_id""",
+    # pages, spans and scores
+    "page_metadata": """SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), CAST(page_id AS STRING)) AS title, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) AS section FROM {pages}""",
+    "slug_collision_ids": """SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN slug || '-' || CAST(page_id AS STRING) ELSE slug END AS file_id
+FROM (SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1)), ''), 'home') AS slug FROM {pages}) t""",
+    "write_page_manifest": """WITH m AS (SELECT page_id, url, CASE WHEN html IS NULL THEN 'error' WHEN html LIKE '%<article>%' THEN 'ok' ELSE 'static_failed' END AS status FROM {pages})
+SELECT 'page' AS kind, page_id, url, CASE WHEN status <> 'error' THEN CAST(page_id AS STRING) || '.md' END AS filename, status, CAST(1 AS BIGINT) AS pages FROM m
+UNION ALL SELECT 'total', NULL, NULL, NULL, status, count(*) FROM m GROUP BY status""",
+    "timing_sort": "SELECT event_id, event_type, value AS ms FROM {events} ORDER BY value DESC, event_id",
+    "id_set_overlap": """WITH p AS (SELECT conv_id, turn, role, array_distinct(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS words FROM {conversations}),
+n AS (SELECT conv_id, turn, role, words, lead(words) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM p)
+SELECT conv_id, turn, round(least(CAST(1 AS DOUBLE), CAST(array_size(array_intersect(words, answer)) AS DOUBLE) / greatest(array_size(words), 1)), 4) AS overlap FROM n WHERE role = 'user' AND answer IS NOT NULL""",
 }
 #: Where the other engine spells a thing differently.
-SPELLING = {"cardinality(embedding)": "len(embedding)", "LEFT ANTI JOIN": "ANTI JOIN", "unix_micros(CAST(ts AS TIMESTAMP))": "epoch_us(ts)"}
+SPELLING = {"array_size(": "len(", "cardinality(embedding)": "len(embedding)", "LEFT ANTI JOIN": "ANTI JOIN", "unix_micros(CAST(ts AS TIMESTAMP))": "epoch_us(ts)"}
