@@ -60,3 +60,9 @@ def url_doc_id(url: Column) -> Column:
 def normalize_pdf_url(url: Column) -> Column:
     """https, lower-case host, no query and no fragment."""
     return F.concat(F.lit("https://"), F.lower(F.regexp_extract(url, "://([^/?#]*)", 1)), F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1))
+
+
+def format_quantity(value: Column, unit: Column) -> Column:
+    """Fewer digits for larger amounts, dollars always with cents; thousands get commas."""
+    digits = F.when(F.abs(value) >= 100, F.format_number(value, 0)).when(F.abs(value) >= 10, F.format_number(value, 1)).otherwise(F.format_number(value, 2))
+    return F.when(F.upper(unit) == "USD", F.concat(F.lit("$"), F.format_number(value, 2))).otherwise(F.concat(digits, F.lit(" "), unit))
