@@ -53,3 +53,29 @@ def test_empty(spark):
 def test_banding_reaches_recall():
     bands, rows = banding()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= 150
+
+
+def test_one_of_repeated_rows_stays(spark):
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join([f"w{i}" for i in range(59)] + ["other"])
+    docs = [(None, text, "x")] * 20 + [(7, text, "y")] * 3 + [(8, near, "z"), (9, "quite another text", "z"), (9, "quite another text", "other"), (10, None, "x")]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(5)
+    for found in (jaccard_classes(df), jaccard_dedup(df)):
+        rows = found.collect()
+        assert len(rows) == len(docs)
+        by = {}
+        for r in rows:
+            by.setdefault(r.component_id, []).append(r.kept)
+        assert sorted((len(k), sum(k)) for k in by.values()) == [(1, 1), (2, 1), (24, 1)]
+        assert sorted(r.n_links for r in rows) == [0, 1, 1] + [23] * 24
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text, "en", "s", 1)] * 3 + [(None, text + " end", "en", "s", 1)] * 5 + [(2, " ".join(f"v{i}" for i in range(50)), "en", "s", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        df = stage(spark, df, "")
+    got = sorted(r.text for r in df.collect())
+    assert len(got) == 2 and got[0].startswith("v0") and got[1] in (text, text + " end")

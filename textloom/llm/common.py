@@ -57,9 +57,9 @@ def unwrapped(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in added.items()])
 
 
-def row_ids(docs: DataFrame, doc_id: str, text: str) -> Column:
-    """``doc_id`` where it is a key; else a hash of id and text.  Over ``wrapped`` rows."""
+def row_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, bool]:
+    """``doc_id`` where it is a key; else a hash of id and text, and true.  Over ``wrapped`` rows."""
     ids = docs.select(F.col(doc_id).alias("id"))
     shared = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count()
     doc, body = F.col("row").getField(doc_id), F.col("row").getField(text)
-    return F.xxhash64(doc, body) if shared else doc.cast("long")
+    return (F.xxhash64(doc, body), True) if shared else (doc.cast("long"), False)

@@ -14,7 +14,8 @@ a text of fewer words is one n-gram.
 
 Returned per document: ``class_id``, ``n_links`` (other documents of Jaccard at
 least the threshold, copies included), ``component_id`` (smallest id reachable
-by links) and ``kept`` (the one document that stands for its component).
+by links) and ``kept`` (the one row that stands for its component, also where rows
+of one id and text repeat).
 
 Defined cases: null texts and texts without words link with nothing; documents
 that share an id, or have none, are told apart by their text (their ids are then
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_ids, small_batches, unwrapped, wrapped, written
@@ -65,24 +66,26 @@ def _signature(grams: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return low
 
 
-def _classes(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
-    """Written: ``id, k1, k2`` (the set's name), ``bands``."""
+def _signed(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
+    """Written, for every row: ``u`` (a number of its own), ``id, doc, has_doc``, and ``k1, k2`` (the set's name), ``bands`` where it has words."""
     rng = np.random.default_rng(11)
     a = (rng.integers(1, 2**31, bands * per_band) * 2 + 1).astype(np.uint32)
     c = rng.integers(0, 2**32, bands * per_band).astype(np.uint32)
 
     def sign(batches):
         for pdf in batches:
-            ids, out = pdf["id"].to_numpy(), []
+            out = [(False, 0, 0, [])] * len(pdf)
             for i, grams in _sets(pdf["text"], n):
                 low = _signature(grams, a, c).reshape(bands, per_band).astype(U64)
                 name = np.arange(bands, dtype=U64)
                 for r in range(per_band):
                     name = mix(name ^ low[:, r])
-                out.append((ids[i], np.sum(mix(grams, 1)).view(np.int64), np.sum(mix(grams, 2)).view(np.int64), name.view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "k1", "k2", "bands"])
+                out[i] = (True, np.sum(mix(grams, 1)).view(np.int64), np.sum(mix(grams, 2)).view(np.int64), name.view(np.int64))
+            signs = pd.DataFrame(out, columns=["words", "k1", "k2", "bands"], index=pdf.index)
+            yield pd.concat([pdf[["id", "doc", "has_doc"]], signs], axis=1)
 
-    return written(rows.mapInPandas(sign, "id long, k1 long, k2 long, bands array<long>"), "signatures")
+    found = rows.mapInPandas(sign, "id long, doc long, has_doc boolean, words boolean, k1 long, k2 long, bands array<long>")
+    return written(found.withColumn("u", F.monotonically_increasing_id()), "signatures")
 
 
 def _linked(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +110,15 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray
     return link, pdf["id"].to_numpy()
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``id`` (see ``row_ids``), ``class_id, n_links, component_id, kept`` for every row of ``docs``."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, Column, bool]:
+    """For every row ``id`` and the result's columns; the column that gives ``id``; and whether ``id`` may repeat."""
     small_batches(docs.sparkSession)
-    rows = wrapped(docs).select(row_ids(docs, doc_id, text).alias("id"), F.col("row").getField(text).alias("text"))
+    key, shared = row_ids(docs, doc_id, text)
+    doc = F.col("row").getField(doc_id).cast("long")
+    rows = wrapped(docs).select(key.alias("id"), F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNotNull().alias("has_doc"), F.col("row").getField(text).alias("text"))
     bands, per_band = banding(threshold, recall)
-    signed = _classes(rows, n, bands, per_band)
-    classes = written(signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
+    signed = _signed(rows, n, bands, per_band)
+    classes = written(signed.where("words").groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("class_id", F.posexplode("bands").alias("band", "hash"))
     centers = buckets.groupBy("band", "hash").agg(F.min("class_id").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "center")
     ties = buckets.join(centers, ["band", "hash"]).where("class_id != center").select(F.col("center").alias("a"), F.col("class_id").alias("b"))
@@ -127,7 +132,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             at = [i for i, _ in out]
             yield pdf.iloc[at][["component", "id", "blocks", "times"]].assign(grams=[g for _, g in out])
 
-    full = rows.join(members, "id").dropDuplicates(["id"]).mapInPandas(grams, "component long, id long, blocks long, times long, grams binary")
+    full = rows.select("id", "text").join(members, "id").dropDuplicates(["id"]).mapInPandas(grams, "component long, id long, blocks long, times long, grams binary")
     mine = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = mine.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
@@ -151,14 +156,33 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     state = classes.select("k1", "k2", F.col("class_id").alias("id"), "times").join(counts, "id", "left").join(joined, "id", "left")
     state = state.select("k1", "k2", F.col("id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    named = signed.select("id", "k1", "k2").join(state, ["k1", "k2"]).select("id", "class_id", "n_links", "component_id").dropDuplicates(["id"])
-    out = rows.select("id").join(named, "id", "left")
-    of = lambda c: F.coalesce(c, "id")
-    return out.select("id", of("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of("component_id").alias("component_id"), F.coalesce(F.col("id") == of("component_id"), F.lit(True)).alias("kept"))
+    worded = signed.where("words").join(state, ["k1", "k2"])
+    bare = signed.where("not words").withColumns({"class_id": F.col("id"), "n_links": F.lit(0).cast("long"), "component_id": F.col("id")})
+    columns = ["u", "id", "words", "class_id", "n_links", "component_id"]
+    every = worded.select(*columns).unionByName(bare.select(*columns))
+    if not shared:
+        return every.withColumn("kept", F.col("id") == F.col("component_id")), key, shared
+    # Rows may repeat: of those that stand for a component, the first by ``u`` is kept.
+    every = written(every, "rows")
+    first = every.where("words and id = component_id").groupBy("id").agg(F.min("u").alias("u")).select("u", F.lit(True).alias("first"))
+    return every.join(first, "u", "left").withColumn("kept", ~F.col("words") | F.coalesce("first", F.lit(False))), key, shared
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``id`` (see ``row_ids``), ``class_id, n_links, component_id, kept`` for every row of ``docs``."""
+    return _labelled(docs, doc_id, text, **options)[0].select("id", "class_id", "n_links", "component_id", "kept")
 
 
 def jaccard_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` and ``class_id, n_links, component_id, kept``."""
-    found = jaccard_classes(docs, doc_id, text, **options).dropDuplicates(["id"])
-    rows = wrapped(docs).withColumn("id", row_ids(docs, doc_id, text))
-    return unwrapped(rows.join(found, "id", "left"), {c: F.col(c) for c in ("class_id", "n_links", "component_id", "kept")})
+    added = ["class_id", "n_links", "component_id"]
+    found, key, shared = _labelled(docs, doc_id, text, **options)
+    rows = wrapped(docs).withColumn("id", key)
+    if not shared:
+        return unwrapped(rows.join(found.select("id", *added, "kept"), "id", "left"), {c: F.col(c) for c in (*added, "kept")})
+    # One state an id; where rows repeat the kept one, these are numbered once and the first of them stays.
+    states = found.groupBy("id").agg(*[F.min(c).alias(c) for c in added], F.max("kept").alias("kept"), (F.first("words") & F.max("kept") & (F.count("*") > 1)).alias("several"))
+    out = written(rows.join(states, "id", "left").withColumn("u", F.monotonically_increasing_id()), "rows")
+    first = out.where("several").groupBy("id").agg(F.min("u").alias("u")).select("u", F.lit(True).alias("first"))
+    several = out.where("several").join(first, "u", "left").withColumn("kept", F.coalesce("first", F.lit(False))).drop("first")
+    return unwrapped(out.where("not several").unionByName(several), {c: F.col(c) for c in (*added, "kept")})
