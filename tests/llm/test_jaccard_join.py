@@ -79,3 +79,17 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
         df = stage(spark, df, "")
     got = sorted(r.text for r in df.collect())
     assert len(got) == 2 and got[0].startswith("v0") and got[1] in (text, text + " end")
+
+
+def test_rows_keep_their_ids(spark):
+    docs = corpus() + [(None, "no id at all here", None), (None, "no id at all here", None), (3, "shares its id", None), (600, "m n o p q", None), (600, "m n o p q", None)]
+    rows = jaccard_classes(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
+    assert sorted((r.id is None, r.id or 0) for r in rows) == sorted((d is None, d or 0) for d, _, _ in docs)
+    want = brute(corpus())
+    for r in rows:
+        if r.id in want and r.id not in (3, 504):
+            assert (r.n_links, r.component_id, r.kept) == want[r.id] and r.class_id in want
+    assert {(r.n_links, r.component_id) for r in rows if r.id == 504} == {(1, 504)}  # 3 names two texts
+    assert sorted((r.n_links, r.class_id, r.component_id, r.kept) for r in rows if r.id == 600) == [(1, 600, 600, False), (1, 600, 600, True)]
+    assert sorted(r.kept for r in rows if r.id is None) == [False, True] and len({r.component_id for r in rows if r.id is None} - {None}) == 1
+    assert len({r.component_id for r in rows if r.id == 3}) == 2

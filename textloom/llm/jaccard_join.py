@@ -18,8 +18,9 @@ by links) and ``kept`` (the one row that stands for its component, also where ro
 of one id and text repeat).
 
 Defined cases: null texts and texts without words link with nothing; documents
-that share an id, or have none, are told apart by their text (their ids are then
-hashes); an empty table gives an empty table.
+that share an id, or have none, are told apart by their text.  Every row keeps
+its own id.  A class or component is named by the smallest id in it that only one
+text has, and by a hash if it has no such id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, Column, bool]:
-    """For every row ``id`` and the result's columns; the column that gives ``id``; and whether ``id`` may repeat."""
+    """For every row ``id`` (see ``row_ids``), ``doc, has_doc`` and the result's columns; the column that gives ``id``; and whether ``id`` may repeat."""
     small_batches(docs.sparkSession)
     key, shared = row_ids(docs, doc_id, text)
     doc = F.col("row").getField(doc_id).cast("long")
@@ -158,19 +159,26 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: fl
     state = state.select("k1", "k2", F.col("id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     worded = signed.where("words").join(state, ["k1", "k2"])
     bare = signed.where("not words").withColumns({"class_id": F.col("id"), "n_links": F.lit(0).cast("long"), "component_id": F.col("id")})
-    columns = ["u", "id", "words", "class_id", "n_links", "component_id"]
+    columns = ["u", "id", "doc", "has_doc", "words", "class_id", "n_links", "component_id"]
     every = worded.select(*columns).unionByName(bare.select(*columns))
     if not shared:
         return every.withColumn("kept", F.col("id") == F.col("component_id")), key, shared
-    # Rows may repeat: of those that stand for a component, the first by ``u`` is kept.
+    # Names: ids of one text before hashes.  Rows may repeat: the first by ``u`` of those that a component is named by is kept.
     every = written(every, "rows")
-    first = every.where("words and id = component_id").groupBy("id").agg(F.min("u").alias("u")).select("u", F.lit(True).alias("first"))
-    return every.join(first, "u", "left").withColumn("kept", ~F.col("words") | F.coalesce("first", F.lit(False))), key, shared
+    clear = every.where("has_doc").groupBy("doc").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low = high").select("doc", F.lit(True).alias("has_doc"), F.lit(False).alias("hashed"))
+    every = every.join(clear, ["doc", "has_doc"], "left").withColumn("hashed", F.coalesce("hashed", F.lit(True)))
+    every = written(every.withColumn("name", F.when(F.col("hashed"), F.col("id")).otherwise(F.col("doc"))), "rows")
+    for group in ("class_id", "component_id"):
+        names = every.groupBy(group).agg(F.min(F.struct("hashed", "name", "u")).alias(f"first_{group}"))
+        every = every.join(names, group)
+    kept = ~F.col("words") | (F.col("u") == F.col("first_component_id.u"))
+    named = {c: F.col(f"first_{c}.name") for c in ("class_id", "component_id")}
+    return every.select("id", "doc", "has_doc", "words", "n_links", *[n.alias(c) for c, n in named.items()], kept.alias("kept")), key, shared
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``id`` (see ``row_ids``), ``class_id, n_links, component_id, kept`` for every row of ``docs``."""
-    return _labelled(docs, doc_id, text, **options)[0].select("id", "class_id", "n_links", "component_id", "kept")
+    """``id`` (the row's ``doc_id``), ``class_id, n_links, component_id, kept`` for every row of ``docs``."""
+    return _labelled(docs, doc_id, text, **options)[0].select(F.when(F.col("has_doc"), F.col("doc")).alias("id"), "class_id", "n_links", "component_id", "kept")
 
 
 def jaccard_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
