@@ -98,3 +98,28 @@ def test_url_filter(spark):
     assert got[2] == ("net", "/x", "net/", "block") and got[3] == ("a.net", "", None, "allow") and got[4][2:] == ("net/", "block")
     assert got[5][2:] == ("example.net/en/", "allow") and got[6][1:] == ("/de/a", "example.com/de/", "block") and got[7][2:] == ("org/fr/", "allow")
     assert [g[3] for g in got[8:]] == ["allow", "block", "allow", "block", "allow"]
+
+
+def _lonely_pairs(labels, each, seed=8):
+    """Pairs of cosine about 0.94 without other near neighbours."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(labels * each, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.94 * x + math.sqrt(1 - 0.94**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    return [(2 * i + j, v[i].tolist(), i % labels) for i in range(len(x)) for j, v in enumerate((x, y))]
+
+
+def test_embedding_dedup_first_trees_go_by_label(spark):
+    from textloom.llm.embedding_dedup import _graph
+
+    rows = _lonely_pairs(20, 60)  # 120 vectors a label: one bucket
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label long")
+    assert _graph(df, range(1), 0.6, 32).where("a % 2 = 0 and b = a + 1").count() == len(rows) // 2
+
+
+def test_embedding_dedup_compares_short_labels_exactly(spark):
+    rows = _lonely_pairs(2, 700)
+    found = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), trees=1, most_trees=1)
+    assert found.where("n_links = 1 and component_id = vec_id - vec_id % 2").count() == len(rows)

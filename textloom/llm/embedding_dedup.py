@@ -1,15 +1,18 @@
 """Embedding near-dedup by NN-descent within a label.
 
 1. Equal vectors of a label form a class; one member stands for it.
-2. A first neighbour graph comes from random hyperplane buckets, large ones split
-   at random; each vector keeps its ``k`` nearest found.
-3. Descent rounds join neighbours of neighbours (over edges of at least
-   ``explore``) to vectors whose list is not saturated, and keep the best ``k``.
+2. A first neighbour graph comes from random hyperplane buckets, as many as the
+   label's vectors need, large ones split at random; each vector keeps its ``k``
+   nearest found of at least ``explore``.
+3. Descent rounds join neighbours of neighbours to vectors whose list is not
+   saturated, and keep the best ``k``, until next to no list changes.
 4. A list is saturated if all its members link.  Such lists are enlarged to the
    whole linked component: its members are compared in blocks, and only counts
    of links leave a task.
-5. An audit compares at most ``AUDIT`` vectors with all vectors; below
-   ``AUDIT_RECALL`` more trees and rounds follow (up to three times).
+5. An audit compares some vectors (their number grows with the table, and until
+   they hold ``AUDIT_LINKS`` links or are ``AUDIT_MOST``) with all vectors; below
+   ``AUDIT_RECALL`` more trees and rounds follow, and after ``MOST_TREES`` the
+   labels that fail are compared exactly, block by block.
 
 Links are pairs of cosine of at least ``threshold``, in double precision.
 
@@ -33,24 +36,37 @@ from .vectors import doubles, stacked, unit
 
 THRESHOLD, EXPLORE, K = 0.93, 0.6, 32
 TREES, BUCKET, BLOCK = 6, 128, 512
-AUDIT, AUDIT_RECALL = 200, 0.995
+AUDIT, AUDIT_LINKS, AUDIT_MOST, AUDIT_RECALL = 200, 1000, 65536, 0.995
+MOST_TREES, STILL, EXACT_BLOCK = 48, 0.001, 1024
 
 
-def _graph(classes: DataFrame, n: int, seeds: range, k: int) -> DataFrame:
+def _bits(n: int) -> int:
+    """Hyperplanes that split ``n`` vectors of a label into buckets of about ``BUCKET``."""
+    return max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
+
+
+def _nearest(ids: np.ndarray, s: np.ndarray, others: np.ndarray, explore: float, k: int) -> pd.DataFrame:
+    """The ``k`` best of each row of ``s`` that reach ``explore``."""
+    kk = min(k, s.shape[1])
+    top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+    found = pd.DataFrame({"a": np.repeat(ids, kk), "b": others[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
+    return found[found["sim"] >= explore]
+
+
+def _graph(classes: DataFrame, seeds: range, explore: float, k: int) -> DataFrame:
     """``a, b, sim``: nearest found in the buckets of some random trees."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    sizes = classes.groupBy("label", F.size("vec").alias("size")).agg(F.count("*").alias("n_label"))
 
     def place(batches):
         for pdf in batches:
-            lengths = pdf["vec"].map(len)
-            for size, part in pdf.groupby(lengths):
+            for (size, bits), part in pdf.groupby(["size", pdf["n_label"].map(_bits)]):
                 x = unit(stacked(part["vec"]))
                 for tree in seeds:
                     planes = np.random.default_rng([tree, size]).normal(size=(size, bits))
                     sig = ((x @ planes > 0) * (1 << np.arange(bits))).sum(1) if bits else np.zeros(len(x), np.int64)
                     yield pd.DataFrame({"id": part["id"], "label": part["label"], "size": size, "tree": tree, "sig": sig.astype(np.int64), "vec": part["vec"]})
 
-    rows = classes.select("id", "label", "vec").mapInPandas(place, "id long, label long, size int, tree int, sig long, vec array<double>")
+    rows = classes.select("id", "label", "vec", F.size("vec").alias("size")).join(sizes, ["label", "size"]).mapInPandas(place, "id long, label long, size int, tree int, sig long, vec array<double>")
     key = ["label", "size", "tree", "sig"]
     # Split buckets at random into parts of about BUCKET * 2 rows; counts are summed before they are joined.
     counts = rows.groupBy(*key).agg(F.count("*").alias("n_bucket")).where(F.col("n_bucket") > BUCKET * 4)
@@ -60,11 +76,7 @@ def _graph(classes: DataFrame, n: int, seeds: range, k: int) -> DataFrame:
         ids, x = pdf["id"].to_numpy(), unit(stacked(pdf["vec"]))
         s = x @ x.T
         np.fill_diagonal(s, -2)
-        kk = min(k, len(ids) - 1)
-        if kk < 1:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-        return pd.DataFrame({"a": np.repeat(ids, kk), "b": ids[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
+        return _nearest(ids, s, ids, explore, k)
 
     return rows.groupBy(*key, "part").applyInPandas(nearest, "a long, b long, sim double")
 
@@ -88,32 +100,58 @@ def _cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _descend(graph: DataFrame, classes: DataFrame, threshold: float, explore: float, k: int) -> DataFrame:
-    near = graph.where(F.col("sim") >= explore)
-    full = near.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
-    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    full = graph.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
+    both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     step = both.join(full, "a", "left_anti").join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
     pairs = step.select("a", F.col("c").alias("b")).where("a != b").distinct().join(graph.select("a", "b"), ["a", "b"], "left_anti")
-    return written(_best(graph.unionByName(_cosines(pairs, classes)), k), "graph")
+    return written(_best(graph.unionByName(_cosines(pairs, classes).where(F.col("sim") >= explore)), k), "graph")
 
 
-def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> float:
-    """Share of the true links of a few vectors (a fixed bound) that the graph holds."""
-    some = classes.orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "vec").toPandas()
-    if some.empty:
-        return 1.0
-    groups = {key: (part["id"].to_numpy(), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
+def _exact(classes: DataFrame, labels: list[int], explore: float, k: int) -> DataFrame:
+    """``a, b, sim``: nearest of all vectors of these labels, compared block by block."""
+    rows = classes.where(F.col("label").isin(labels)).select("id", "label", F.size("vec").alias("size"), "vec")
+    blocks = rows.groupBy("label", "size").agg(F.ceil(F.count("*") / EXACT_BLOCK).alias("blocks"))
+    rows = rows.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
-    def truth(batches):
-        for pdf in batches:
-            for key, part in pdf.groupby([pdf["label"], pdf["vec"].map(len)]):
-                if key in groups:
-                    ids, y = groups[key]
-                    i, j = np.nonzero(unit(stacked(part["vec"])) @ y.T >= threshold)
-                    yield pd.DataFrame({"a": ids[j], "b": part["id"].to_numpy()[i]})
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x, block, i, j = pdf["id"].to_numpy(), unit(stacked(pdf["vec"])), pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        s = x @ x.T
+        np.fill_diagonal(s, -2)
+        if i != j:
+            s[block[:, None] == block[None, :]] = -2
+        return _nearest(ids, s, ids, explore, k)
+
+    return pairs.groupBy("label", "size", "i", "j").applyInPandas(nearest, "a long, b long, sim double")
 
-    true = classes.select("id", "label", "vec").mapInPandas(truth, "a long, b long").where("a != b")
-    found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return found[1] / found[0] if found[0] else 1.0
+
+def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> tuple[float, list[int]]:
+    """Share of the true links of some vectors that the graph holds, and the labels that fall short."""
+    n = classes.count()
+    m = max(AUDIT, math.ceil(4 * math.sqrt(n)))
+    while True:
+        some = classes.orderBy(F.xxhash64("id")).limit(m).select("id", "label", "vec").toPandas()
+        if some.empty:
+            return 1.0, []
+        groups = {key: (part["id"].to_numpy(), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
+
+        def truth(batches):
+            for pdf in batches:
+                for key, part in pdf.groupby([pdf["label"], pdf["vec"].map(len)]):
+                    if key in groups:
+                        ids, y = groups[key]
+                        x = unit(stacked(part["vec"]))
+                        for lo in range(0, len(ids), BLOCK):
+                            i, j = np.nonzero(x @ y[lo : lo + BLOCK].T >= threshold)
+                            yield pd.DataFrame({"label": key[0], "a": ids[lo + j], "b": part["id"].to_numpy()[i]})
+
+        true = classes.select("id", "label", "vec").mapInPandas(truth, "label long, a long, b long").where("a != b")
+        found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).collect()
+        total, hits = sum(r["n"] for r in found), sum(r["hits"] for r in found)
+        if total >= AUDIT_LINKS or m >= min(n, AUDIT_MOST):
+            return hits / total if total else 1.0, [r["label"] for r in found if r["hits"] < AUDIT_RECALL * r["n"]]
+        m = min(4 * m, AUDIT_MOST)
 
 
 def _blocks(members: DataFrame, classes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
@@ -133,17 +171,20 @@ def _blocks(members: DataFrame, classes: DataFrame, sizes: DataFrame, threshold:
     return found.groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, explore: float = EXPLORE, k: int = K, trees: int = TREES, rounds: int = 2) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, explore: float = EXPLORE, k: int = K, trees: int = TREES, most_trees: int = MOST_TREES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     good = doubles(vectors, vec_id, vector, F.col(label).cast("long").alias("label")).where("label is not null")
     classes = written(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("times")), "classes")
     n = classes.count()
-    graph, seeds = None, range(trees)
-    for attempt in range(3):
-        fresh = _graph(classes, n, seeds, k)
+    graph, seeds, short = None, range(trees), []
+    while True:
+        exact = graph is not None and seeds.stop > most_trees
+        fresh = _exact(classes, short, explore, k) if exact else _graph(classes, seeds, explore, k)
         graph = written(_best(fresh if graph is None else graph.unionByName(fresh), k), "graph")
-        for _ in range(rounds):
-            graph = _descend(graph, classes, threshold, explore, k)
+        while not exact:
+            old, graph = graph, _descend(graph, classes, threshold, explore, k)
+            if graph.join(old, ["a", "b"], "left_anti").count() <= STILL * n:
+                break
         near = graph.where(F.col("sim") >= threshold).select("a", "b")
         links = written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
         grouped = components(links)
@@ -153,9 +194,12 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         sizes = members.groupBy("component").agg(F.count("*").alias("n_members"))
         # Saturated members' links are complete within their component; audit the others.
         loose = classes.join(members.select("id"), "id", "left_anti")
-        if _audit(links, loose, threshold) >= AUDIT_RECALL:
+        if exact:
+            break
+        recall, short = _audit(links, loose, threshold)
+        if recall >= AUDIT_RECALL:
             break
-        seeds = range(seeds.stop, seeds.stop + trees)
+        seeds = range(seeds.stop, 2 * seeds.stop)
     times = classes.select(F.col("id").alias("b"), "times")
     plain = links.join(members.select(F.col("id").alias("a")), "a", "left_anti").join(times, "b").groupBy("a").agg(F.sum("times").alias("n"))
     linked = plain.unionByName(_blocks(members, classes, sizes, threshold)).withColumnRenamed("a", "id")
