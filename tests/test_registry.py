@@ -43,5 +43,13 @@ def test_merge_neighbors(spark):
     assert [tuple(r) for r in merge_neighbors(hits, chunks).collect()] == [("d", 1, "a\n\nb", 3)]
 
 
+def test_every_chunk_gets_its_block(spark):
+    blocks = registry.queries()["merge_neighbors"](spark, SF)
+    chunks = registry.queries()["fixed_chunk"](spark, SF)
+    counts = (blocks.count(), chunks.count())
+    print(counts, chunks.where("chunk_index % 3 = 0").count())
+    assert counts[0] == counts[1]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

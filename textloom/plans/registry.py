@@ -72,7 +72,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "diverse_filter": lambda s, d: R.diverse_filter(_dense(s, d), "query_id", "label").select("query_id", "vec_id", "label", "rank"),
     "relevance_gap_filter": lambda s, d: R.relevance_gap_filter(_dense(s, d), "query_id", 0.1, 2).select("query_id", "vec_id", "rank"),
     "neighbor_join": _docs(lambda d: R.neighbor_join(R.fixed_chunk(d).where("chunk_index % 3 = 0"), R.fixed_chunk(d))),
-    "merge_neighbors": _docs(lambda d: R.merge_neighbors(R.fixed_chunk(d).where("chunk_index % 3 = 0"), R.fixed_chunk(d))),
+    "merge_neighbors": _docs(lambda d: R.merge_neighbors(R.fixed_chunk(d), R.fixed_chunk(d))),
     "rank_precision_recall": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 4).alias("precision")),
     "format_quantity": lambda s, d: _table(s, d, "events").select("event_id", T.format_quantity(F.col("value"), F.when(F.col("event_type") == "purchase", "USD").otherwise("GB")).alias("shown")),
     "retrieval_hit": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("label") == F.col("own")), F.lit(False)).alias("hit")),
