@@ -20,9 +20,17 @@ from textloom.llm.substring_dedup import substring_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+SPACES = r"[\x20\x09-\x0D]+"
+
+#: A document whose best language has a smaller score than this is rejected.
+LEAST_SCORE = 0.5
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a language: no text, no letter, or no label learned."""
-    return language_id(docs, learn(docs, trained_rows(F.col("doc_id")))).where(F.col("lang_pred") != UND).select(*COLUMNS)
+    """Documents get the predicted language; those without one, or of too small a score, go."""
+    found = language_id(docs, learn(docs, trained_rows(F.col("doc_id"))))
+    sure = (F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE)
+    return found.where(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +42,20 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts lose passages that repeat; texts that lose nothing stay as they are, emptied ones go."""
     found = substring_dedup(docs)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return found.where(~changed | (F.col("n_words") > F.col("n_removed"))).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    found = found.where(~changed | (F.col("n_words") > F.col("n_removed")))
+    found = found.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, the last time perhaps in part."""
+    """A row for each time that the mix takes a document; a part taken is its first words, joined by one space."""
     found = mix_sources(docs).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return found.withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+    found = found.withColumn("time", F.explode(F.sequence(F.lit(1), times)))
+    left = (F.col("taken") - (F.col("time") - 1) * F.col("size")).cast("int")
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, left), " "))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
