@@ -3,15 +3,16 @@
 Rules name a host and a path: a rule fits its host and all subdomains if the
 URL's path starts with the rule's; the longest fitting rule decides.  Without a
 rule the vocabulary decides: terms count where no letter or digit (ASCII)
-touches them; one strict term, or distinct soft terms of total weight of at
-least ``soft_limit``, reject the URL.
+touches them; one strict term, or several distinct soft terms of a total weight
+of at least ``soft_limit`` (more than any term weighs), reject the URL.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end.  Null URLs and URLs
 without ``://`` have neither, and are allowed.
 
-Defined cases: empty tables give empty tables; other columns pass through, and
-the operator's columns replace columns of the same name.
+Defined cases: empty tables give empty tables; repeated rows are judged alike;
+other columns pass through, and the operator's columns replace columns of the
+same name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,19 @@ from pyspark.sql import functions as F
 from .common import unwrapped, wrapped
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-STRICT = ("casino", "escort", "hentai", "jackpot", "malware", "phishing", "porn", "sexcam", "viagra", "warez", "xxx")
-SOFT = {"adult": 1, "bet": 1, "betting": 1, "bonus": 1, "cheap": 1, "crack": 1, "dating": 1, "free": 1, "keygen": 1, "loan": 1, "nude": 1, "pills": 1, "poker": 1, "replica": 1, "sex": 1, "torrent": 1}
-SOFT_LIMIT = 2
+# The vocabulary.  One strict term rejects; soft terms add up, each once.
+STRICT = (
+    "bestiality", "camgirls", "casino", "casinos", "cialis", "escort", "escorts", "hentai", "jackpot", "malware", "milf",
+    "phishing", "porn", "porno", "ransomware", "sexcam", "spyware", "viagra", "warez", "xxx",
+)
+SOFT = {
+    "adult": 2, "bet": 2, "betting": 2, "bingo": 2, "bonus": 1, "cheap": 1, "coupon": 1, "crack": 2, "crypto": 1, "dating": 2,
+    "discount": 1, "download": 1, "drugs": 1, "erotic": 2, "free": 1, "gambling": 2, "girls": 1, "hot": 1, "keygen": 2,
+    "loan": 1, "loans": 2, "lottery": 2, "naked": 2, "nude": 2, "nudes": 2, "payday": 2, "pharmacy": 1, "pills": 2, "poker": 2,
+    "promo": 1, "replica": 2, "roulette": 2, "serial": 1, "sex": 2, "sexy": 2, "slots": 2, "spam": 1, "strip": 1, "torrent": 2,
+    "torrents": 2, "weed": 1, "win": 1, "winner": 1,
+}
+SOFT_LIMIT = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
 _WORD = frozenset(_LOWER + "0123456789")
@@ -73,4 +84,5 @@ def url_filter(pages: DataFrame, url: str = "url", rules=RULES, strict=STRICT, s
         rule, said = F.when(fits, h + p).otherwise(rule), F.when(fits, verdict).otherwise(said)
     mine = F.when((F.col("hits.strict_hits") > 0) | (F.col("hits.soft_weight") >= soft_limit), "block").otherwise("allow")
     rows = rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(said, mine))
-    return unwrapped(rows, {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.col("verdict"), "strict_hits": F.col("hits.strict_hits"), "soft_weight": F.col("hits.soft_weight")})
+    added = {c: F.col(c) for c in ("host", "path", "rule", "verdict")}
+    return unwrapped(rows, added | {c: F.col("hits").getField(c) for c in ("strict_hits", "soft_weight")})
