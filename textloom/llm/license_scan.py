@@ -1,20 +1,25 @@
 """License scan: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file (a header notice is a line), and the whole text of a
-licence file (by its name), is a sparse vector of terms ``[a-z0-9]+``.  Document
-frequencies are counted over all lines; a term outside the templates weighs like
-one seen once.  The best template of cosine of at least ``threshold`` is the
-file's own licence.  A file without one inherits from the licence file in its
-nearest ancestor directory, found by joining ancestor paths.
-
-Only the templates' terms (a fixed vocabulary) are counted and broadcast.  Before
-scoring, lines that cannot reach the threshold fall to an upper bound: the
-squared weight that their terms can share with any template.
-
-Defined cases: null or empty text has no licence of its own; ties go to the
-template first by name, directories with several licence files take the first by
-path; ``path`` is a key, and rows without one are left out; an empty table gives an empty
-table.
+Units of a file are its lines, its blocks of several lines (between lines without
+letter or digit, so comment marks don't matter), and the whole text of a licence
+file (by its name).  A unit is a sparse vector of terms ``[a-z0-9]+``, weighted by
+the documents that hold them; a term outside the templates weighs like one seen
+once.  Licences share paragraphs, so a file's own licence is the one of most
+evidence: the sum, over units, of its best template's cosine where that reaches
+``threshold``; ``own_score`` is the largest of these cosines.  A file without one inherits from the licence
+file in its nearest ancestor directory: directories are joined with their
+ancestors' paths, files with their directory.
+
+Only the templates' terms, a fixed vocabulary, are counted and sent to tasks.
+Units that cannot reach the threshold fall to an upper bound, the squared weight
+that their terms can share with any template.
+
+Defined cases: null or empty text has no licence of its own; ties (to nine
+digits) go to the licence first by name; of several licence files in a
+directory the first by path (then by licence) is inherited; rows without a path
+inherit nothing; repeated rows and paths are judged row by row; an empty table
+gives an empty table; other columns pass through, and the operator's columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,89 +27,134 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-# Short notices by licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+from .common import small_batches, unwrapped, wrapped, written
+from .license_texts import TEMPLATES
+
 THRESHOLD = 0.7
 LICENCE_FILE = r"(?i)^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(\..*)?$"
+_FIND = re.compile("[a-z0-9]+").findall
+_BLANK = re.compile(r"\n[^\w\n]*\n")
 
 
-def _terms(text: str) -> Counter:
-    return Counter(re.findall("[a-z0-9]+", text.lower()))
+def terms_of(text: str) -> list[str]:
+    return _FIND(text.lower())
 
 
 class Model:
-    """Weights of the templates' terms, and the templates' unit vectors."""
+    """Weights of the templates' terms, and the templates' unit vectors by term."""
 
-    def __init__(self, templates: dict[str, str], counts: dict[str, int], lines: int):
-        self.names = sorted(templates)
-        self.lines = lines
+    def __init__(self, templates: dict[str, list[str]], counts: dict[str, int], files: int):
+        self.files = files
         self.idf = {t: self._idf(n) for t, n in counts.items()}
         self.other = self._idf(1)
-        self.vectors = []
-        for name in self.names:
-            v = {t: n * self.idf.get(t, self.other) for t, n in _terms(templates[name]).items()}
-            norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-            self.vectors.append({t: x / norm for t, x in v.items()})
-        self.bound = {t: max(v.get(t, 0.0) ** 2 for v in self.vectors) for t in {t for v in self.vectors for t in v}}
+        self.names, self.of_term, self.bound, self.licence = sorted(templates), {}, {}, []
+        for at, name in enumerate(self.names):
+            for block in [*templates[name], " ".join(templates[name])]:
+                weights, norm = self.vector(terms_of(block))
+                for t, x in weights.items():
+                    self.of_term.setdefault(t, []).append((len(self.licence), x / norm))
+                    self.bound[t] = max(self.bound.get(t, 0.0), (x / norm) ** 2)
+                self.licence.append(at)
 
     def _idf(self, n: int) -> float:
-        return math.log((1 + self.lines) / (1 + n)) + 1.0
-
-    def best(self, terms) -> tuple[str, float]:
-        v = {t: n * self.idf.get(t, self.other) for t, n in Counter(terms).items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        scores = [sum(x * u[t] for t, x in v.items() if t in u) / norm for u in self.vectors]
-        at = int(np.argmax(scores))
-        return self.names[at], scores[at]
-
-
-def license_scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``path, own_license, own_score, license, inherited_from`` for every path."""
+        return math.log((1 + self.files) / (1 + n)) + 1.0
+
+    def vector(self, terms: list[str]) -> tuple[dict[str, float], float]:
+        weights = {t: n * self.idf.get(t, self.other) for t, n in Counter(terms).items()}
+        return weights, math.sqrt(sum(x * x for x in weights.values())) or 1.0
+
+    def may_reach(self, terms: list[str], least: float) -> bool:
+        get = self.bound.get
+        return sum([get(t, 0.0) for t in set(terms)]) >= least
+
+    def cosines(self, terms: list[str]) -> dict[str, float]:
+        """The largest cosine with a template of each licence."""
+        weights, norm = self.vector(terms)
+        scores = [0.0] * len(self.licence)
+        for t, x in weights.items():
+            for i, y in self.of_term.get(t, ()):
+                scores[i] += x * y
+        best: dict[str, float] = {}
+        for at, x in zip(self.licence, scores):
+            best[self.names[at]] = max(best.get(self.names[at], 0.0), x / norm)
+        return best
+
+
+def units_of(text: str, whole: bool) -> Iterator[str]:
+    """Lines, blocks of several lines, and all of it."""
+    yield from text.split("\n")
+    yield from (b for b in _BLANK.split(text) if "\n" in b)
+    if whole:
+        yield text
+
+
+def own_license(model: Model, text: str | None, whole: bool, threshold: float) -> tuple[str | None, float | None]:
+    """The licence of most evidence, and its largest cosine."""
+    evidence, top, least = {}, {}, threshold * threshold - 1e-9
+    if text and model.may_reach(terms_of(text), least):
+        for unit in units_of(text, whole):
+            terms = terms_of(unit)
+            if terms and model.may_reach(terms, least):
+                for name, x in model.cosines(terms).items():
+                    if x >= threshold:
+                        evidence[name] = evidence.get(name, 0.0) + x
+                        top[name] = max(top.get(name, 0.0), x)
+    if not evidence:
+        return None, None
+    name = min(evidence, key=lambda n: (-round(evidence[n], 9), n))
+    return name, top[name]
+
+
+def license_scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``files`` and ``own_license, own_score, license, inherited_from``."""
     templates = templates or TEMPLATES
-    vocabulary = sorted({t for body in templates.values() for t in _terms(body)})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).where("path is not null")
-    name = F.element_at(F.split("path", "/"), -1)
-    lower = F.translate(F.col("part"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    units = rows.select("path", F.posexplode(F.split("text", "\n")).alias("line", "part")).unionByName(
-        rows.where(name.rlike(LICENCE_FILE)).select("path", F.lit(-1).alias("line"), F.col("text").alias("part"))
-    )
-    units = units.select("path", "line", F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)).alias("terms")).withColumn("hits", F.array_intersect("terms", known))
-    # One row a term of the vocabulary, and one (the empty term) for the number of lines.
-    counted = {r["term"]: r["n"] for r in units.where("line >= 0").select(F.explode(F.concat(F.array(F.lit("")), "hits")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    model = Model(templates, {t: n for t, n in counted.items() if t}, counted.get("", 0))
-    bound = F.create_map(*[F.lit(x) for t, b in model.bound.items() for x in (t, b)])
-    near = units.where(F.aggregate("hits", F.lit(0.0), lambda a, t: a + bound[t]) >= threshold * threshold - 1e-9)
+    small_batches(files.sparkSession)
+    spark = files.sparkSession
+    known = frozenset(t for blocks in templates.values() for b in blocks for t in terms_of(b))
+    rows = wrapped(files)
+    at, body = F.col("row").getField(path).cast("string"), F.col("row").getField(text)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = Counter(), 0
+        for pdf in batches:
+            n += len(pdf)
+            for t in pdf["text"]:
+                held.update(known.intersection(terms_of(t or "")))
+        yield pd.DataFrame({"term": ["", *held], "n": [n, *held.values()]})
+
+    # One row a term of the vocabulary, and one (the empty term) for the number of files.
+    counted = rows.select(body.alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {r["term"]: r["n"] for r in counted.collect()}
+    model = spark.sparkContext.broadcast(Model(templates, {t: n for t, n in counts.items() if t}, counts.get("", 0)))
 
     @F.pandas_udf("name string, score double")
-    def scored(terms: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.best(t) for t in terms], columns=["name", "score"])
-
-    matched = near.withColumn("found", scored("terms")).where(F.col("found.score") >= threshold)
-    own = written(matched.groupBy("path").agg(F.max_by("found", F.struct("found.score", -F.col("line"))).alias("found")).select("path", F.col("found.name").alias("own_license"), F.col("found.score").alias("own_score")), "licenses")
-
-    folder = F.regexp_replace("path", "/?[^/]*$", "")
-    given = own.where(name.rlike(LICENCE_FILE)).groupBy(folder.alias("folder")).agg(F.min_by(F.struct("path", "own_license"), "path").alias("given"))
-    all_files = rows.select("path").distinct().join(own, "path", "left")
-    parts = F.split(folder, "/")
-    ancestors = F.concat(F.array(F.lit("")), F.when(folder == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, F.lit(1), i)))))
-    wanting = all_files.where("own_license is null").select("path", F.explode(ancestors).alias("folder"))
-    heirs = wanting.join(given, "folder").groupBy("path").agg(F.max_by("given", F.length("folder")).alias("given"))
-    out = all_files.join(heirs, "path", "left")
-    return out.select("path", "own_license", "own_score", F.coalesce("own_license", "given.own_license").alias("license"), F.col("given.path").alias("inherited_from"))
+    def judged(texts: pd.Series, licence_file: pd.Series) -> pd.DataFrame:
+        found = [own_license(model.value, t, bool(w), threshold) for t, w in zip(texts, licence_file)]
+        return pd.DataFrame(found, columns=["name", "score"]).astype({"score": "float64"})
+
+    named = F.coalesce(F.element_at(F.split(at, "/"), -1).rlike(LICENCE_FILE), F.lit(False))
+    rows = rows.withColumns({"path": at, "named": named, "folder": F.regexp_replace(at, "/?[^/]*$", "")})
+    own = rows.withColumn("own", judged(body, F.col("named")))
+    given = own.where("named and own.name is not null").groupBy("folder").agg(F.min(F.struct("path", F.col("own.name").alias("license"))).alias("given"))
+    given = written(given, "given")
+
+    parts = F.split("wants", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    above = F.array_distinct(F.concat(F.array(F.lit("")), above))
+    folders = rows.where("folder is not null").select(F.col("folder").alias("wants")).distinct()
+    near = folders.select("wants", F.explode(above).alias("folder")).join(given, "folder")
+    heirs = near.groupBy("wants").agg(F.max_by("given", F.length("folder")).alias("given"))
+    found = own.join(heirs, own["folder"] == heirs["wants"], "left")
+    lacks = F.col("own.name").isNull()
+    return unwrapped(found, {
+        "own_license": F.col("own.name"),
+        "own_score": F.col("own.score"),
+        "license": F.when(lacks, F.col("given.license")).otherwise(F.col("own.name")),
+        "inherited_from": F.when(lacks, F.col("given.path")),
+    })

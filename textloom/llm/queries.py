@@ -66,12 +66,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as a tree: a folder a hundred ids, its first file the licence file, a folder a source below."""
-    doc = F.col("doc_id")
-    folder = F.concat_ws("/", (F.floor(doc / 1000)).cast("string"), (F.floor(doc / 100)).cast("string"))
-    path = F.when(doc % 100 == 0, F.concat(folder, F.lit("/LICENSE"))).otherwise(F.concat_ws("/", folder, F.coalesce("source", F.lit("none")), F.concat(doc.cast("string"), F.lit(".txt"))))
+    """Documents laid out as a tree, as the table has no paths: a folder a hundred ids, those that speak of a
+    license as licence files of the folder, the others in a folder a source below."""
+    doc = F.col("doc_id").cast("string")
+    folder = F.concat_ws("/", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"))
+    speaks = F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False))
+    plain = F.concat_ws("/", folder, F.coalesce("source", F.lit("none")), F.concat(doc, F.lit(".txt")))
+    path = F.when(speaks, F.concat(folder, F.lit("/LICENSE."), doc)).otherwise(plain)
     files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return files.select("doc_id", "path").join(license_scan(files), "path")
+    return license_scan(files).drop("text")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
