@@ -8,9 +8,12 @@ a text of fewer words is one n-gram.
 2. Bands and rows are chosen for the target recall at the threshold.  Classes
    that share a band hash are tied to the smallest of them, so a bucket of m
    gives m - 1 rows; candidates are the components of these ties.
-3. Each candidate component is verified exactly, block by block: a task holds
-   the full n-gram sets of two blocks of ``BLOCK`` classes and sends only link
-   counts and a spanning forest of the links that it found.
+3. Candidates are verified exactly, block by block: a task holds the full n-gram
+   sets of two blocks (``BLOCK`` classes or ``VOLUME`` n-grams) and sends only
+   link counts and a spanning forest of the links that it found.  A component
+   is compared as a whole, or bucket by bucket, whichever moves fewer n-grams:
+   groups of near copies cost less as a whole, long chains of chance candidates
+   by buckets.  By buckets, a pair counts in the first band that it shares.
 
 Returned per document: ``class_id``, ``n_links`` (other documents of Jaccard at
 least the threshold, copies included), ``component_id`` (smallest id reachable
@@ -35,7 +38,8 @@ from .components import components
 from .repeats import Windows
 from .windows import U64, mix
 
-N, THRESHOLD, RECALL, HASHES, BLOCK = 5, 0.8, 0.999, 150, 256
+N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 150
+BLOCK, VOLUME = 512, 1 << 20
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -68,24 +72,28 @@ def _signature(grams: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
-    """Written, for every row: ``u`` (a number of its own), ``id, doc, has_doc``, and ``k1, k2`` (the set's name), ``bands`` where it has words."""
+    """Written, for every row: ``u`` (a number of its own), ``id, doc, has_doc``.
+
+    Where it has words also ``k1, k2`` (the set's name), ``size`` (of the set) and ``bands``.
+    """
     rng = np.random.default_rng(11)
     a = (rng.integers(1, 2**31, bands * per_band) * 2 + 1).astype(np.uint32)
     c = rng.integers(0, 2**32, bands * per_band).astype(np.uint32)
 
     def sign(batches):
         for pdf in batches:
-            out = [(False, 0, 0, [])] * len(pdf)
+            out = [(False, 0, 0, 0, [])] * len(pdf)
             for i, grams in _sets(pdf["text"], n):
                 low = _signature(grams, a, c).reshape(bands, per_band).astype(U64)
                 name = np.arange(bands, dtype=U64)
                 for r in range(per_band):
                     name = mix(name ^ low[:, r])
-                out[i] = (True, np.sum(mix(grams, 1)).view(np.int64), np.sum(mix(grams, 2)).view(np.int64), name.view(np.int64))
-            signs = pd.DataFrame(out, columns=["words", "k1", "k2", "bands"], index=pdf.index)
+                k1, k2 = (np.sum(mix(grams, seed)).view(np.int64) for seed in (1, 2))
+                out[i] = (True, k1, k2, len(grams), name.view(np.int64))
+            signs = pd.DataFrame(out, columns=["words", "k1", "k2", "size", "bands"], index=pdf.index)
             yield pd.concat([pdf[["id", "doc", "has_doc"]], signs], axis=1)
 
-    found = rows.mapInPandas(sign, "id long, doc long, has_doc boolean, words boolean, k1 long, k2 long, bands array<long>")
+    found = rows.mapInPandas(sign, "id long, doc long, has_doc boolean, words boolean, k1 long, k2 long, size long, bands array<long>")
     return written(found.withColumn("u", F.monotonically_increasing_id()), "signatures")
 
 
@@ -111,6 +119,38 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray
     return link, pdf["id"].to_numpy()
 
 
+def _blocks(n: str, volume: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(volume) / VOLUME)).cast("long")
+
+
+def _cells(grouped: DataFrame, classes: DataFrame) -> DataFrame:
+    """Written: ``id, times, component, band, hash, blocks``: what is compared with what.
+
+    ``band`` is -1 where a component is one cell; elsewhere cells are its buckets,
+    and ``bands`` tells which pairs an earlier bucket holds.
+    """
+    members = written(grouped.join(classes.select(F.col("class_id").alias("id"), "times", "size", "bands"), "id"), "members")
+    whole = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("volume")).withColumn("blocks", _blocks("n", "volume"))
+    large = whole.where("blocks > 1").select("component", F.col("volume").alias("all"), F.col("blocks").alias("cuts"))
+    spread = members.join(large, "component").select("component", "id", "times", "size", "bands", F.posexplode("bands").alias("band", "hash"))
+    buckets = spread.groupBy("component", "band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("volume")).where("n > 1")
+    buckets = written(buckets.withColumn("blocks", _blocks("n", "volume")).select("component", "band", "hash", "volume", "blocks"), "buckets")
+    moved = buckets.groupBy("component").agg(F.sum(F.col("volume") * F.col("blocks")).alias("moved"))
+    split = large.join(moved, "component").where(F.col("moved") < F.col("all") * F.col("cuts")).select("component")
+    one = members.join(whole.join(split, "component", "left_anti").select("component", "blocks"), "component")
+    one = one.select("id", "times", "component", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "blocks", F.array().cast("array<long>").alias("bands"))
+    some = spread.join(split, "component", "left_semi").join(buckets.drop("volume"), ["component", "band", "hash"])
+    return written(one.unionByName(some.select("id", "times", "component", "band", "hash", "blocks", "bands")), "cells")
+
+
+def _earlier(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share a band before ``band``."""
+    out = np.zeros((len(bands), len(bands)), bool)
+    for b in range(band):
+        out |= bands[:, b, None] == bands[None, :, b]
+    return out
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, Column, bool]:
     """For every row ``id`` (see ``row_ids``), ``doc, has_doc`` and the result's columns; the column that gives ``id``; and whether ``id`` may repeat."""
     small_batches(docs.sparkSession)
@@ -119,22 +159,21 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: fl
     rows = wrapped(docs).select(key.alias("id"), F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNotNull().alias("has_doc"), F.col("row").getField(text).alias("text"))
     bands, per_band = banding(threshold, recall)
     signed = _signed(rows, n, bands, per_band)
-    classes = written(signed.where("words").groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
+    classes = written(signed.where("words").groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("times"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("class_id", F.posexplode("bands").alias("band", "hash"))
     centers = buckets.groupBy("band", "hash").agg(F.min("class_id").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "center")
     ties = buckets.join(centers, ["band", "hash"]).where("class_id != center").select(F.col("center").alias("a"), F.col("class_id").alias("b"))
     grouped = components(ties)
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = grouped.join(sizes, "component").join(classes.select(F.col("class_id").alias("id"), "times"), "id")
+    cells = _cells(grouped, classes)
 
     def grams(batches):
         for pdf in batches:
             out = [(i, g.tobytes()) for i, g in _sets(pdf["text"], n)]
-            at = [i for i, _ in out]
-            yield pdf.iloc[at][["component", "id", "blocks", "times"]].assign(grams=[g for _, g in out])
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[[i for i, _ in out]], "grams": [g for _, g in out]})
 
-    full = rows.select("id", "text").join(members, "id").dropDuplicates(["id"]).mapInPandas(grams, "component long, id long, blocks long, times long, grams binary")
-    mine = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    full = rows.select("id", "text").join(cells.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(grams, "id long, grams binary")
+    mine = cells.join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = mine.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,6 +181,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: fl
         block, i, j = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
         if i != j:  # pairs within one block are counted where i = j
             link &= block[:, None] != block[None, :]
+        if (band := int(pdf["band"].iloc[0])) > 0:
+            link &= ~_earlier(np.stack(list(pdf["bands"])), band)
         root = np.arange(len(ids))  # smallest place reachable
         while True:
             near = np.where(link, root[None, :], len(ids)).min(1)
@@ -152,7 +193,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: fl
             root = new
         return pd.DataFrame({"id": ids, "n": link @ pdf["times"].to_numpy(), "root": ids[root]})
 
-    found = written(pairs.groupBy("component", "i", "j").applyInPandas(verify, "id long, n long, root long").where("n > 0"), "links")
+    found = written(pairs.groupBy("component", "band", "hash", "i", "j").applyInPandas(verify, "id long, n long, root long").where("n > 0"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     state = classes.select("k1", "k2", F.col("class_id").alias("id"), "times").join(counts, "id", "left").join(joined, "id", "left")
