@@ -4,21 +4,25 @@
 2. A first neighbour graph comes from random hyperplane buckets, as many as the
    label's vectors need, large ones split at random; each vector keeps its ``k``
    nearest found of at least ``explore``.
-3. Descent rounds join neighbours of neighbours to vectors whose list is not
-   saturated, and keep the best ``k``, until next to no list changes.
+3. Descent rounds join neighbours of neighbours, over lists of ``k`` both ways, to
+   vectors whose list is not saturated, and keep the best ``k``, until next to no
+   list changes.
 4. A list is saturated if all its members link.  Such lists are enlarged to the
    whole linked component: its members are compared in blocks, and only counts
    of links leave a task.
 5. An audit compares some vectors (their number grows with the table, and until
    they hold ``AUDIT_LINKS`` links or are ``AUDIT_MOST``) with all vectors; below
    ``AUDIT_RECALL`` more trees and rounds follow, and after ``MOST_TREES`` the
-   labels that fail are compared exactly, block by block.
+   labels that fail are compared exactly, block by block.  The last audit's
+   recall is part of the result.
 
 Links are pairs of cosine of at least ``threshold``, in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components, and vectors without label, link with nothing; vectors of different
-length never link; an empty table gives an empty table.  ``vec_id`` is a key.
+components, and vectors without label or ``vec_id``, link with nothing; labels of
+any type are equal if they are equal as text; vectors of different length never
+link; every row comes back once, and rows that share a ``vec_id`` count as
+vectors of their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
-from .vectors import doubles, stacked, unit
+from .vectors import stacked, unit, usable
 
 THRESHOLD, EXPLORE, K = 0.93, 0.6, 32
-TREES, BUCKET, BLOCK = 6, 128, 512
+TREES, BUCKET, BLOCK, STRIP = 6, 128, 4096, 512
 AUDIT, AUDIT_LINKS, AUDIT_MOST, AUDIT_RECALL = 200, 1000, 65536, 0.995
 MOST_TREES, STILL, EXACT_BLOCK = 48, 0.001, 1024
 
@@ -66,7 +70,7 @@ def _graph(classes: DataFrame, seeds: range, explore: float, k: int) -> DataFram
                     sig = ((x @ planes > 0) * (1 << np.arange(bits))).sum(1) if bits else np.zeros(len(x), np.int64)
                     yield pd.DataFrame({"id": part["id"], "label": part["label"], "size": size, "tree": tree, "sig": sig.astype(np.int64), "vec": part["vec"]})
 
-    rows = classes.select("id", "label", "vec", F.size("vec").alias("size")).join(sizes, ["label", "size"]).mapInPandas(place, "id long, label long, size int, tree int, sig long, vec array<double>")
+    rows = classes.select("id", "label", "vec", F.size("vec").alias("size")).join(sizes, ["label", "size"]).mapInPandas(place, "id long, label string, size int, tree int, sig long, vec array<double>")
     key = ["label", "size", "tree", "sig"]
     # Split buckets at random into parts of about BUCKET * 2 rows; counts are summed before they are joined.
     counts = rows.groupBy(*key).agg(F.count("*").alias("n_bucket")).where(F.col("n_bucket") > BUCKET * 4)
@@ -101,13 +105,17 @@ def _cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _descend(graph: DataFrame, classes: DataFrame, threshold: float, explore: float, k: int) -> DataFrame:
     full = graph.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
-    both = graph.select("a", "b").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # Lists both ways are bounded: what a hub's reverse list loses, the audit decides on.
+    back = _best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), k)
+    both = written(graph.select("a", "b").unionByName(back.select("a", "b")).distinct(), "lists")
     step = both.join(full, "a", "left_anti").join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
     pairs = step.select("a", F.col("c").alias("b")).where("a != b").distinct().join(graph.select("a", "b"), ["a", "b"], "left_anti")
-    return written(_best(graph.unionByName(_cosines(pairs, classes).where(F.col("sim") >= explore)), k), "graph")
+    out = written(_best(graph.unionByName(_cosines(pairs, classes).where(F.col("sim") >= explore)), k), "graph")
+    discard(both)
+    return out
 
 
-def _exact(classes: DataFrame, labels: list[int], explore: float, k: int) -> DataFrame:
+def _exact(classes: DataFrame, labels: list[str], explore: float, k: int) -> DataFrame:
     """``a, b, sim``: nearest of all vectors of these labels, compared block by block."""
     rows = classes.where(F.col("label").isin(labels)).select("id", "label", F.size("vec").alias("size"), "vec")
     blocks = rows.groupBy("label", "size").agg(F.ceil(F.count("*") / EXACT_BLOCK).alias("blocks"))
@@ -126,28 +134,38 @@ def _exact(classes: DataFrame, labels: list[int], explore: float, k: int) -> Dat
     return pairs.groupBy("label", "size", "i", "j").applyInPandas(nearest, "a long, b long, sim double")
 
 
-def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> tuple[float, list[int]]:
-    """Share of the true links of some vectors that the graph holds, and the labels that fall short."""
+def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> tuple[float, list[str]]:
+    """Share of the true links of some vectors that are found, and the labels that fall short.
+
+    ``classes`` has ``whole``: the component of vectors that are compared with all
+    of it, so links within it are found whether or not the graph holds them.
+    """
     n = classes.count()
     m = max(AUDIT, math.ceil(4 * math.sqrt(n)))
     while True:
-        some = classes.orderBy(F.xxhash64("id")).limit(m).select("id", "label", "vec").toPandas()
+        some = classes.orderBy(F.xxhash64("id")).limit(m).select("id", "label", "vec", "whole").toPandas()
         if some.empty:
             return 1.0, []
-        groups = {key: (part["id"].to_numpy(), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
+        groups = {key: (part["id"].to_numpy(), part["whole"].to_numpy(), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
 
         def truth(batches):
             for pdf in batches:
                 for key, part in pdf.groupby([pdf["label"], pdf["vec"].map(len)]):
                     if key in groups:
-                        ids, y = groups[key]
-                        x = unit(stacked(part["vec"]))
-                        for lo in range(0, len(ids), BLOCK):
-                            i, j = np.nonzero(x @ y[lo : lo + BLOCK].T >= threshold)
-                            yield pd.DataFrame({"label": key[0], "a": ids[lo + j], "b": part["id"].to_numpy()[i]})
-
-        true = classes.select("id", "label", "vec").mapInPandas(truth, "label long, a long, b long").where("a != b")
-        found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("label").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).collect()
+                        ids, wholes, y = groups[key]
+                        x, mine, whole = unit(stacked(part["vec"])), part["id"].to_numpy(), part["whole"].to_numpy()
+                        for lo in range(0, len(ids), STRIP):
+                            i, j = np.nonzero(x @ y[lo : lo + STRIP].T >= threshold)
+                            a, b = ids[lo + j], mine[i]
+                            sure = (whole[i] >= 0) & (whole[i] == wholes[lo + j])
+                            yield pd.DataFrame({"label": key[0], "a": a[~sure], "b": b[~sure], "n": 1})
+                            if times := int((sure & (a != b)).sum()):
+                                yield pd.DataFrame({"label": [key[0]], "a": [-1], "b": [-2], "n": [times]})
+
+        true = classes.select("id", "label", "vec", "whole").mapInPandas(truth, "label string, a long, b long, n long").where("a != b")
+        found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+        hit = F.when((F.col("a") == -1) & (F.col("b") == -2), F.col("n")).otherwise(F.coalesce("hit", F.lit(0)))
+        found = found.groupBy("label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hits")).collect()
         total, hits = sum(r["n"] for r in found), sum(r["hits"] for r in found)
         if total >= AUDIT_LINKS or m >= min(n, AUDIT_MOST):
             return hits / total if total else 1.0, [r["label"] for r in found if r["hits"] < AUDIT_RECALL * r["n"]]
@@ -156,25 +174,38 @@ def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> tuple[floa
 
 def _blocks(members: DataFrame, classes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """``a, n``: linked vectors of each member, comparing a component block by block."""
-    rows = members.join(sizes, "component").join(classes, "id").select("component", "id", "vec", "times", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_members") / BLOCK)).alias("block"), F.ceil(F.col("n_members") / BLOCK).alias("n_blocks"))
+    cuts = F.ceil(F.col("n_members") / BLOCK)
+    rows = members.join(sizes, "component").join(classes, "id")
+    rows = rows.select("component", "id", "vec", "times", F.pmod(F.xxhash64("id"), cuts).alias("block"), cuts.alias("n_blocks"))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
 
     def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "n": []})
-        s = unit(stacked(x["vec"])) @ unit(stacked(y["r_vec"])).T >= threshold
-        s &= x["id"].to_numpy()[:, None] != y["r_id"].to_numpy()[None, :]
-        return pd.DataFrame({"a": x["id"], "n": s @ y["r_times"].to_numpy()})
-
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns]).withColumn("mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_n_blocks") - 1)))
+        mine, other, times = x["id"].to_numpy(), y["r_id"].to_numpy(), y["r_times"].to_numpy()
+        p, q, n = unit(stacked(x["vec"])), unit(stacked(y["r_vec"])), np.zeros(len(x), np.int64)
+        for lo in range(0, len(p), STRIP):
+            s = p[lo : lo + STRIP] @ q.T >= threshold
+            s &= mine[lo : lo + STRIP, None] != other[None, :]
+            n[lo : lo + STRIP] = s @ times
+        return pd.DataFrame({"a": mine, "n": n})
+
+    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns])
+    right = right.withColumn("mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_n_blocks") - 1)))
     found = left.groupBy("component", "block", "other").cogroup(right.groupBy("r_component", "mine", "r_block")).applyInPandas(count, "a long, n long")
     return found.groupBy("a").agg(F.sum("n").alias("n"))
 
 
 def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, explore: float = EXPLORE, k: int = K, trees: int = TREES, most_trees: int = MOST_TREES) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row."""
-    good = doubles(vectors, vec_id, vector, F.col(label).cast("long").alias("label")).where("label is not null")
-    classes = written(good.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("times")), "classes")
+    """``vec_id, n_links, component_id, kept, audited_recall`` for every row."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vec"))
+    good = usable(F.col("vec")) & F.col("id").isNotNull() & F.col("label").isNotNull()
+    classes = written(rows.where(good).groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("times")), "classes")
+    if classes.groupBy("id").count().where("count > 1").limit(1).count():
+        # Rows share ids: classes are numbered, and their smallest vec_id is put back at the end.
+        classes = written(classes.withColumn("vec_id", F.col("id")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    else:
+        classes = classes.withColumn("vec_id", F.col("id"))
     n = classes.count()
     graph, seeds, short = None, range(trees), []
     while True:
@@ -183,7 +214,9 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         graph = written(_best(fresh if graph is None else graph.unionByName(fresh), k), "graph")
         while not exact:
             old, graph = graph, _descend(graph, classes, threshold, explore, k)
-            if graph.join(old, ["a", "b"], "left_anti").count() <= STILL * n:
+            changed = graph.join(old, ["a", "b"], "left_anti").count()
+            discard(old)
+            if changed <= STILL * n:
                 break
         near = graph.where(F.col("sim") >= threshold).select("a", "b")
         links = written(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -192,18 +225,20 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         large = written(grouped.join(degree.select(F.col("a").alias("id")), "id", "left_semi").select("component").distinct(), "large")
         members = grouped.join(large, "component", "left_semi")
         sizes = members.groupBy("component").agg(F.count("*").alias("n_members"))
-        # Saturated members' links are complete within their component; audit the others.
-        loose = classes.join(members.select("id"), "id", "left_anti")
-        if exact:
-            break
-        recall, short = _audit(links, loose, threshold)
-        if recall >= AUDIT_RECALL:
+        # Saturated members are compared with their whole component, so links within it count as found.
+        known = classes.join(members.select("id", F.col("component").alias("whole")), "id", "left").fillna(-1, ["whole"])
+        recall, short = _audit(links, known, threshold)
+        if exact or not short and recall >= AUDIT_RECALL:
             break
         seeds = range(seeds.stop, 2 * seeds.stop)
     times = classes.select(F.col("id").alias("b"), "times")
     plain = links.join(members.select(F.col("id").alias("a")), "a", "left_anti").join(times, "b").groupBy("a").agg(F.sum("times").alias("n"))
     linked = plain.unionByName(_blocks(members, classes, sizes, threshold)).withColumnRenamed("a", "id")
-    state = classes.join(linked, "id", "left").join(grouped, "id", "left").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    rows = good.join(state, ["label", "vec"]).select("id", "n", "component")
-    out = vectors.select(F.col(vec_id).cast("long").alias("id")).join(rows, "id", "left")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"))
+    state = classes.join(linked, "id", "left").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = state.groupBy("component").agg(F.min("vec_id").alias("name"))
+    state = state.join(names, "component").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), "name")
+    found = rows.where(good).join(state, ["label", "vec"]).select("id", "n", "name")
+    alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("name"))
+    out = found.unionByName(alone)
+    kept = F.coalesce(F.col("id") == F.col("name"), F.lit(True)).alias("kept")
+    return out.select(F.col("id").alias("vec_id"), F.col("n").cast("long").alias("n_links"), F.col("name").alias("component_id"), kept, F.lit(recall).alias("audited_recall"))
