@@ -1,8 +1,11 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Fit (on at most ``SAMPLE`` vectors, by id hash): coarse centroids by k-means, and
-codebooks of the residuals' sub-vectors.  ``probes`` is the least number of
-cells that reaches ``RECALL`` on queries held out of that sample.
+Every vector length is a space of its own.  Fit (on at most ``SAMPLE`` vectors or
+``SAMPLE_BYTES`` a space, by id hash): coarse centroids by k-means, and codebooks of
+the residuals' sub-vectors.  Cells grow with the square root of the corpus: beyond
+what the sample can train, every coarse centroid is split by shared second-level
+centroids of the residuals.  ``probes`` is the least number of cells that reaches
+``RECALL`` on some of the sample.
 
 Index: every vector gets its nearest cell and a code.  Cells are cut at random
 into blocks of about ``BLOCK`` rows, and so are a cell's queries, so no task
@@ -14,8 +17,10 @@ Equal vectors beyond the ``k + 1`` of smallest id can't be among the answers
 (ties go to the smaller id), so they stay out of the search.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part; vectors of other than the commonest length take no part; fewer
-candidates than ``k`` give all of them; an empty table gives an empty table.
+components take no part; vectors of different length are no candidates for each
+other; rows that share a ``vec_id`` count as one, the one of smallest vector (it asks
+if one of them does); fewer candidates than ``k`` give all of them; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,12 +33,16 @@ from pyspark.sql import functions as F
 from .common import written
 from .vectors import doubles, stacked, unit
 
-SAMPLE, RECALL, RERANK, BLOCK = 20_000, 0.998, 96, 4096
-SUBSPACES, CODES = 16, 64
+SAMPLE, SAMPLE_BYTES, RECALL, RERANK, BLOCK = 20_000, 64 << 20, 0.998, 96, 4096
+SUBSPACES, CODES, MOST_CELLS = 16, 64, 1 << 15
+_FLOATS = 1 << 23  # of a table of distances held at once
 
 
 def _nearest(x: np.ndarray, c: np.ndarray, m: int = 1) -> np.ndarray:
     """The ``m`` nearest rows of ``c`` for each row of ``x``, nearest first."""
+    step = max(1, _FLOATS // len(c))
+    if len(x) > step:
+        return np.concatenate([_nearest(x[lo : lo + step], c, m) for lo in range(0, len(x), step)])
     d = (c * c).sum(1) - 2 * x @ c.T
     if m == 1:
         return d.argmin(1)[:, None]
@@ -52,11 +61,16 @@ def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
 
 
 class Index:
-    """Coarse centroids and residual codebooks; a few hundred KB, whatever the corpus."""
+    """Coarse centroids, at most ``MOST_CELLS``, and residual codebooks."""
 
     def __init__(self, x: np.ndarray, cells: int, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.coarse = _kmeans(x, cells, rng)
+        first = min(cells, max(1, int(np.sqrt(len(x)))))
+        self.coarse = _kmeans(x, first, rng)
+        if cells > first:
+            rest = x - self.coarse[_nearest(x, self.coarse)[:, 0]]
+            second = _kmeans(rest, -(-cells // first), rng)
+            self.coarse = (self.coarse[:, None] + second[None]).reshape(-1, x.shape[1])
         rest = x - self.coarse[_nearest(x, self.coarse)[:, 0]]
         m = min(SUBSPACES, x.shape[1])
         self.cuts = np.array_split(np.arange(x.shape[1]), m)
@@ -64,6 +78,8 @@ class Index:
         self.probes = self._tuned(x, rng)
 
     def _tuned(self, x: np.ndarray, rng, k: int = 5) -> int:
+        if len(x) < 2:
+            return len(self.coarse)
         q = rng.choice(len(x), min(len(x), 200), replace=False)
         s = x[q] @ x.T
         s[np.arange(len(q)), q] = -2
@@ -87,48 +103,66 @@ class Index:
         return out
 
 
+def _indexes(base: DataFrame) -> dict[int, Index]:
+    """An index for each vector length, fitted on its sample."""
+    counts = {r["size"]: r["n"] for r in base.groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n")).collect()}
+    within = F.lit(False)
+    for size, n in counts.items():
+        most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * size)) // max(1, len(counts) // 4))
+        share = min(1 << 40, -(-(most << 40) // n))
+        within = within | ((F.size("vec") == size) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share))
+    sample = base.where(within).toPandas().sort_values("id")
+    groups = sample.groupby(sample["vec"].map(len))["vec"]
+    return {size: Index(unit(stacked(part)), int(np.clip(np.sqrt(counts[size]), 1, MOST_CELLS))) for size, part in groups}
+
+
 def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = RERANK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows where ``queries`` holds, their nearest others."""
-    rows = written(doubles(vectors, vec_id, vector, F.coalesce(queries, F.lit(False)).alias("asks")), "vectors")
-    schema = "query_id long, rank int, vec_id long, score double"
-    length = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("vec") == length["n"])
+    rows = doubles(vectors, vec_id, vector, F.coalesce(queries, F.lit(False)).alias("asks"))
+    if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
+    rows = written(rows, "vectors")
     first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
-    base = first.select("id", "vec")
-    sample = unit(stacked(base.orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["vec"]))
-    index = vectors.sparkSession.sparkContext.broadcast(Index(sample, int(np.clip(np.sqrt(len(sample)), 1, 256))))
+    base = written(first.select("id", "vec"), "base")
+    indexes = _indexes(base)
+    if not indexes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)
 
     def coded(batches):
         for pdf in batches:
-            if len(pdf):
-                cell, codes = index.value.encode(unit(stacked(pdf["vec"])))
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "id": pdf["id"], "codes": [c.tobytes() for c in codes], "vec": pdf["vec"]})
+            for size, part in pdf.groupby(pdf["vec"].map(len)):
+                cell, codes = shared.value[size].encode(unit(stacked(part["vec"])))
+                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "id": part["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "vec": part["vec"].to_numpy()})
 
     def asked(batches):
         for pdf in batches:
-            if len(pdf):
-                cells = _nearest(unit(stacked(pdf["vec"])), index.value.coarse, index.value.probes)
-                yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cells": list(cells.astype(np.int32))})
-
-    table = written(base.mapInPandas(coded, "cell int, id long, codes binary, vec array<double>"), "index")
-    ask = written(rows.where("asks").select("id", "vec").mapInPandas(asked, "id long, vec array<double>, cells array<int>"), "queries").select("id", "vec", F.explode("cells").alias("cell"))
-    # One row a cell (at most 256): how many blocks its vectors and its queries make.
-    n_rows = table.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    n_asks = ask.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
-    shape = written(n_rows.join(n_asks, "cell"), "cells")
-    table = table.join(F.broadcast(shape), "cell").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts"))).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
-    shape = shape.select("cell", F.col("cuts").alias("q_cuts"), F.col("asks").alias("q_asks"))
-    ask = ask.join(F.broadcast(shape), "cell").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("q_asks"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_cuts") - 1)))
+            for size, part in pdf.groupby(pdf["vec"].map(len)):
+                index = shared.value[size]
+                cells = _nearest(unit(stacked(part["vec"])), index.coarse, index.probes)
+                yield pd.DataFrame({"size": size, "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cells": list(cells.astype(np.int32))})
+
+    table = written(base.mapInPandas(coded, "size int, cell int, id long, codes binary, vec array<double>"), "index")
+    ask = written(rows.where("asks").select("id", "vec").mapInPandas(asked, "size int, id long, vec array<double>, cells array<int>"), "queries")
+    ask = ask.select("size", "id", "vec", F.explode("cells").alias("cell"))
+    # One row a cell: how many blocks its vectors and its queries make.
+    cell = ["size", "cell"]
+    n_rows = table.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    n_asks = ask.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
+    shape = written(n_rows.join(n_asks, cell), "cells")  # at most MOST_CELLS rows of four numbers a space: broadcast
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    table = table.join(F.broadcast(shape), cell).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts"))).withColumn("lot", every("asks"))
+    shape = shape.select(*cell, F.col("cuts").alias("q_cuts"), F.col("asks").alias("q_asks"))
+    ask = ask.join(F.broadcast(shape), cell).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("q_asks"))).withColumn("cut", every("q_cuts"))
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
+            index = shared.value[int(key[0])]
             ids, qid, qv, xv = x["id"].to_numpy(), q["id"].to_numpy(), unit(stacked(q["vec"])), unit(stacked(x["vec"]))
             codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]])
             for lo in range(0, len(q), 256):
-                near = index.value.scores(qv[lo : lo + 256], int(key[0]), codes)
+                near = index.scores(qv[lo : lo + 256], int(key[1]), codes)
                 near[qid[lo : lo + 256, None] == ids[None, :]] = -np.inf
                 kk = min(rerank, len(ids))
                 top = np.argpartition(-near, kk - 1, axis=1)[:, :kk]
@@ -139,6 +173,7 @@ def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vect
                     out.append(pd.DataFrame({"query_id": qid[lo + i], "vec_id": ids[t][best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = ask.groupBy("cell", "lot", "cut").cogroup(table.groupBy("cell", "lot", "cut")).applyInPandas(search, "query_id long, vec_id long, score double")
+    group = [*cell, "lot", "cut"]
+    found = ask.groupBy(*group).cogroup(table.groupBy(*group)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
