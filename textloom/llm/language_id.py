@@ -5,8 +5,8 @@ softmax give a window's probabilities.  A text is cut whole into windows of
 ``LENGTH`` bytes (the last one padded); its probabilities are the windows' mean,
 weighted by their bytes.
 
-Training reads text and language of at most ``per_lang`` rows a language (the
-rows of smallest id hash that ``train`` marks), ``WINDOWS`` windows of each.
+Training reads text and language of at most ``per_lang`` distinct rows a language
+(the rows of smallest hash that ``train`` marks), ``WINDOWS`` windows of each.
 The weights (a few KB) travel in the tasks' closure.
 
 Defined cases: null text and text without a letter get ``und`` and score 0; a
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, unwrapped, wrapped
@@ -106,13 +106,23 @@ class ByteCNN:
 
 
 def learn(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> ByteCNN | None:
-    """The network trained on a bounded sample; None where nothing is labelled."""
-    row = wrapped(docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))).select(F.col("row").getField(lang).alias("lang"), F.xxhash64(F.col("row").getField(doc_id)).alias("at"), F.col("row").getField(text).alias("text"))
-    first = row.select("lang", "at").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("place") <= per_lang)
-    # One hash per language and row of the sample: at most per_lang rows a language reach the driver.
-    bound = {r["lang"]: r["most"] for r in first.groupBy("lang").agg(F.max("at").alias("most")).collect()}
-    if not bound:
+    """The network trained on a bounded sample; None where nothing is labelled.
+
+    A row belongs to the sample if its hash falls under its language's threshold,
+    which is set for ``per_lang`` distinct rows; repeated rows count once.
+    """
+    row = wrapped(docs.where(train & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")))
+    body = F.col("row").getField(text)
+    row = row.select(F.col("row").getField(lang).alias("lang"), F.xxhash64(F.col("row").getField(doc_id), body).alias("at"), body.alias("text"))
+    # One row a language; counts of distinct rows are estimated in the map tasks.
+    counted = row.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).collect()
+    if not counted:
         return None
+    within = F.lit(False)
+    for r in counted:
+        most = min(2**63 - 1, int(2**64 * min(1.0, 1.2 * per_lang / r["n"])) - 2**63)
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("at") <= most))
+    few = row.where(within).groupBy("lang", "at").agg(F.min("text").alias("text"))
 
     def windows(batches):
         for pdf in batches:
@@ -122,11 +132,9 @@ def learn(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                 pick = np.random.default_rng(at & 0xFFFFFFFF).choice(len(w), min(len(w), WINDOWS), replace=False)
                 yield pd.DataFrame({"lang": lang_, "at": at, "bytes": [w[i].tobytes() for i in np.sort(pick)]})
 
-    within = F.lit(False)
-    for name, most in bound.items():
-        within = within | ((F.col("lang") == name) & (F.col("at") <= most))
-    got = row.where(within).mapInPandas(windows, "lang string, at long, bytes binary").toPandas().sort_values(["lang", "at", "bytes"])
-    langs = sorted(bound)
+    got = few.mapInPandas(windows, "lang string, at long, bytes binary").toPandas().sort_values(["lang", "at", "bytes"])
+    got = got[got.groupby("lang")["at"].rank("dense") <= per_lang]
+    langs = sorted(got["lang"].unique())
     model = ByteCNN(langs)
     model.fit(np.stack([np.frombuffer(b, np.uint8) for b in got["bytes"]]), got["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy())
     return model
