@@ -16,8 +16,10 @@ What comes back to all rows is one row a source; it is broadcast only if there
 are at most ``BROADCAST_SOURCES`` of them.
 
 Defined cases: null text has size 0 and takes 0; null source is a source of its
-own; rows equal in id share a key and what the key gets; an empty table gives an
-empty table; other columns pass through and the operator's replace their like.
+own; at the cut, rows equal in id (or without one) and in quality weight share in
+proportion to their sizes, rounded down, what their key gets; an empty table
+gives an empty table; other columns pass through and the operator's replace their
+like.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import unwrapped, wrapped, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
-BUCKETS = 1024
+BUCKETS = 1 << 16
 BROADCAST_SOURCES = 10_000
 
 
@@ -43,7 +45,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """``docs`` and ``size``, ``source_size``, ``target``, ``taken`` (words, repeats counted)."""
     row = F.col("row")
     body = row.getField(text)
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(row.getField(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
+    name = F.concat(F.coalesce(row.getField(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    u = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
     rows = wrapped(docs).select(
         "row",
         row.getField(source).cast("string").alias("source"),
@@ -52,7 +55,9 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         (-F.log(u) / quality_weight(body)).alias("key"),
     ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
 
-    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
+    # One slim row a document, written once: texts are read here and for the result only.
+    slim = written(rows.select("source", "id", "size", "key", "bucket"), "sizes")
+    sums = written(slim.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket")), "buckets")
     targets = _targets(sums, weights, share, most)
     # The bucket of each source in which the prefix sum reaches what is left after whole epochs.
     by_bucket = Window.partitionBy("source").orderBy("bucket")
@@ -62,21 +67,28 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         .where("upto >= rest and upto - in_bucket < rest")
         .select("of_source", F.col("bucket").alias("edge"), (F.col("upto") - F.col("in_bucket")).alias("before"))
     )
-    plan = written(targets.join(reached.withColumnRenamed("of_source", "r_source"), F.expr("of_source <=> r_source"), "left").drop("r_source"), "plan")
+    plan = targets.join(reached.withColumnRenamed("of_source", "r_source"), F.expr("of_source <=> r_source"), "left")
+    plan = written(plan.drop("r_source"), "plan")
     small = plan.count() <= BROADCAST_SOURCES
     plan = F.broadcast(plan) if small else plan
 
-    edge = rows.select("source", "id", "size", "key", "bucket").join(plan, F.expr("source <=> of_source and bucket = edge"))
+    # Only that bucket is ordered; documents equal in key and id stand as one there.
+    edge = slim.join(plan, F.expr("source <=> of_source and bucket = edge")).groupBy("of_source", "before", "rest", "key", "id").agg(F.sum("size").alias("sizes"))
     in_edge = Window.partitionBy("of_source").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = edge.withColumn("upto", F.col("before") + F.sum("size").over(in_edge)).where("upto >= rest and upto - size < rest").select(F.col("of_source").alias("c_source"), F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), (F.col("rest") - F.col("upto") + F.col("size")).alias("part"))
-    cut = written(cut, "cut")
+    edge = edge.withColumn("upto", F.col("before") + F.sum("sizes").over(in_edge)).where("upto >= rest and upto - sizes < rest")
+    part = (F.col("rest") - F.col("upto") + F.col("sizes")).alias("part")
+    cut = written(edge.select(F.col("of_source").alias("c_source"), F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), "sizes", part), "cut")
     plan = plan.join(cut, F.expr("of_source <=> c_source"), "left").drop("c_source")
 
     found = rows.join(F.broadcast(plan) if small else plan, F.expr("source <=> of_source"), "left")
-    last = (F.col("key") == F.col("cut_key")) & F.col("id").eqNullSafe(F.col("cut_id"))
-    before = (F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & (F.coalesce(F.col("id") < F.col("cut_id"), F.col("id").isNull() & F.col("cut_id").isNotNull())))
-    taken = F.col("epochs") * F.col("size") + F.when(F.col("cut_key").isNull(), 0).when(last, F.least("part", "size")).when(before, F.col("size")).otherwise(0)
-    return unwrapped(found, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("long")})
+    tied = F.col("key") == F.col("cut_key")
+    last = tied & F.col("id").eqNullSafe(F.col("cut_id"))
+    smaller = F.coalesce(F.col("id") < F.col("cut_id"), F.col("id").isNull() & F.col("cut_id").isNotNull())
+    before = (F.col("key") < F.col("cut_key")) | (tied & smaller)
+    share_of_part = F.expr("part * size div sizes")
+    more = F.when(F.col("cut_key").isNull(), 0).when(last, share_of_part).when(before, F.col("size")).otherwise(0)
+    taken = (F.col("epochs") * F.col("size") + more).cast("long")
+    return unwrapped(found, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken})
 
 
 def _targets(sums: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
