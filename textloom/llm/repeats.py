@@ -5,8 +5,8 @@ Steps, for windows of words or of bytes:
 1. Every task sketches the anchors of its ranges (see ``windows``); the merged
    count-min sketch never estimates a window below its count, so windows that
    it puts at one are settled.
-2. Ranges estimated repeated are grouped by the 128-bit name of their content
-   (map-side combined: a class of copies costs one row a task).  In a bucket of
+2. Ranges estimated repeated are grouped by anchor and, within it, a 64-bit name
+   of their content (map-side combined: a class of copies costs one row a task).  In a bucket of
    ranges with one anchor and one content, all is known.
 3. In buckets with several contents, one or two members of each content are
    cut into single windows, which are grouped by their 128-bit names.  Members
@@ -129,7 +129,7 @@ class Repeats:
                 for _, _, b in windows.chunks(pdf["text"]):
                     yield b.anchor
 
-        self.twice = sketches.broadcast(self.spark, sketches.build(self.slim.select("text"), anchors, self.bits)[1])
+        self.twice = sketches.broadcast(self.spark, sketches.build(self.slim.select("text"), anchors, self.bits, "twice"))
 
     def _place(self, code: str = "code", start: str = "start"):
         return F.expr(f"cast({code} * cast({self.shift} as {self.whole}) + {start} as {self.whole})")
@@ -173,7 +173,7 @@ class Repeats:
             for pdf in batches:
                 yield _member(*(pdf[c].to_numpy() for c in ("anchor", "name", "mark", "start")))
 
-        known = sketches.broadcast(self.spark, sketches.build(members.select("anchor", "name", F.xxhash64(self._code("place")).alias("mark"), self._start("place").alias("start")), hashes, member_bits)[0])
+        known = sketches.broadcast(self.spark, sketches.build(members.select("anchor", "name", F.xxhash64(self._code("place")).alias("mark"), self._start("place").alias("start")), hashes, member_bits, "once"))
 
         def singles(batches):
             for pdf in batches:

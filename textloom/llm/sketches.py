@@ -1,13 +1,15 @@
 """Count-min sketches and Bloom filters over 64-bit hashes, built by tasks and merged.
 
 A sketch keeps two bits a slot, as two planes: seen at least once, and at least
-twice.  Partition sketches merge with bit operations, block by block, so no task
-holds more than one block of many sketches.  Estimates never fall below the true
-count (up to two).
+twice.  Every input partition makes one sketch, and sends its blocks packed, so
+that a partition sends about as much as it set bits.  Sketches merge with bit
+operations, block by block in two steps, so no task holds more than one block of
+many sketches.  Estimates never fall below the true count (up to two).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,7 +45,9 @@ class Sketch:
         for r in range(ROWS):
             planes = [self.once[r].tobytes(), self.twice[r].tobytes()]
             at = range(0, len(planes[0]), _BLOCK)
-            yield pd.DataFrame({"block": [r * len(at) + i for i in range(len(at))], "once": [planes[0][i : i + _BLOCK] for i in at], "twice": [planes[1][i : i + _BLOCK] for i in at]})
+            on = [i for i, lo in enumerate(at) if self.once[r, lo : lo + _BLOCK].any()]
+            packed = [[zlib.compress(p[at[i] : at[i] + _BLOCK], 1) for i in on] for p in planes]
+            yield pd.DataFrame({"block": [r * len(at) + i for i in on], "once": packed[0], "twice": packed[1]})
 
 
 def _set(plane: np.ndarray, slot: np.ndarray) -> None:
@@ -61,19 +65,20 @@ def slots(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     once = twice = None
     for a, b in zip(pdf["once"], pdf["twice"]):
-        a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        a, b = np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)
         once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "once": [once.tobytes()], "twice": [twice.tobytes()]})
+    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
 
 
 _SCHEMA = "block int, once binary, twice binary"
 
 
-def build(df: DataFrame, hashes: Callable[[Iterator[pd.DataFrame]], Iterator[np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The merged planes ``(once, twice)``, each ``ROWS x 2**bits / 8`` bytes.
+def build(df: DataFrame, hashes: Callable[[Iterator[pd.DataFrame]], Iterator[np.ndarray]], bits: int, plane: str) -> np.ndarray:
+    """One merged plane (``once`` or ``twice``) of ``ROWS x 2**bits / 8`` bytes.
 
-    ``hashes`` turns a task's batches into hash arrays.  A task a core builds one
-    sketch of ``ROWS * 2**bits / 4`` bytes; the merged one reaches the driver.
+    ``hashes`` turns a task's batches into hash arrays.  A task builds one sketch
+    of ``ROWS * 2**bits / 4`` bytes; only the asked plane of the merged one reaches
+    the driver, packed.
     """
 
     def task(batches):
@@ -84,14 +89,15 @@ def build(df: DataFrame, hashes: Callable[[Iterator[pd.DataFrame]], Iterator[np.
         yield from sketch.blocks()
 
     # Each group holds the like block of at most (tasks / ways), then ways, sketches.
-    parts = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)).mapInPandas(task, _SCHEMA).withColumn("way", F.spark_partition_id() % _MERGE_WAYS)
+    parts = df.mapInPandas(task, _SCHEMA).withColumn("way", F.spark_partition_id() % _MERGE_WAYS)
     some = parts.groupBy("block", "way").applyInPandas(lambda _, p: _merge(p), _SCHEMA)
-    rows = some.groupBy("block").applyInPandas(_merge, _SCHEMA).collect()
-    rows.sort(key=lambda r: r["block"])
-    size = ROWS * (1 << bits) // 8
-    if not rows:
-        return np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-    return tuple(np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.uint8) for k in ("once", "twice"))
+    merged = np.zeros(ROWS * (1 << bits) // 8, np.uint8)
+    per_row = -(-((1 << bits) // 8) // _BLOCK)
+    for row in some.groupBy("block").applyInPandas(_merge, _SCHEMA).select("block", plane).collect():
+        lo = row["block"] // per_row * ((1 << bits) // 8) + row["block"] % per_row * _BLOCK
+        got = np.frombuffer(zlib.decompress(row[plane]), np.uint8)
+        merged[lo : lo + len(got)] = got
+    return merged
 
 
 def test(plane: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
