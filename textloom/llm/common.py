@@ -14,10 +14,12 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Only where the session names none and runs in one process (local tests) a temporary one is set.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
@@ -33,13 +35,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    Cuts the lineage in a way that survives lost executors.
+    Cuts the lineage in a way that survives lost executors.  The files go with
+    the session, or earlier by ``discard``.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _files(df.sparkSession, path)
+    files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, at = _files(df.sparkSession, folder)
+        files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def text_tag(text: Column) -> Column:
     """31 bits of the text, to tell apart rows that share a ``doc_id``."""
     return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(heard, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         new = written(near.join(jump, "component", "left").select("id", "old", F.least("component", "far").alias("component")), "labels")
+        discard(labels)
         labels = new.select("id", "component")
         if not new.where("component != old").limit(1).count():
+            discard(both)
             return labels

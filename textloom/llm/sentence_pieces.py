@@ -16,8 +16,9 @@ Spaces become U+2581, one is put in front, nothing else is normalised; a
 character without a piece becomes its UTF-8 bytes' pieces (or ``unk``).
 
 Defined cases: null text has null ids, empty text none; U+2581 in a text comes
-back as a space, as in the library; other columns pass through, and the
-operator's columns replace columns of the same name.
+back as a space, as in the library; repeated rows are coded alike; an empty table
+gives an empty table; other columns pass through, and the operator's columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import small_batches, unwrapped, wrapped, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DICTIONARY, LONGEST_WORD, CACHE = 40_000, 48, 400_000
+DICTIONARY, LONGEST_WORD, CACHE, BINS = 40_000, 48, 400_000, 16
 
 
 class Pieces:
@@ -238,7 +239,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def common_words(docs: DataFrame, text: Column, pieces: Pieces, most: int = DICTIONARY) -> DataFrame:
-    """The commonest words, at most ``most`` (ties to the smaller word)."""
+    """The commonest words, at most ``most``: whole bins of like counts, from the commonest down."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
@@ -252,7 +253,16 @@ def common_words(docs: DataFrame, text: Column, pieces: Pieces, most: int = DICT
             yield pd.DataFrame({"word": [w for w, _ in kept], "n": [n for _, n in kept]})
 
     counted = docs.select(text.alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(most).select(F.translate("word", " ", SPACE).alias("word"))
+    counted = written(counted.withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "counts")
+    # One row a bin (a sixteenth of a power of two, so under a thousand), taken from the commonest down.
+    least, held = None, 0
+    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > most:
+            break
+        least = r["bin"]
+    kept = counted.where(F.col("bin") >= least) if least is not None else counted.limit(0)
+    return kept.select(F.translate("word", " ", SPACE).alias("word"))
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, most: int = DICTIONARY) -> DataFrame:
