@@ -56,15 +56,16 @@ def rate_limit(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMI
 def trace_checks(traces: DataFrame, banner: str, budget: int = LENGTH_BUDGET) -> DataFrame:
     """``trace_id``, five checks as booleans, and ``passed`` where all hold.
 
-    Columns read: answer, tool_calls, is_refusal, used_web, n_chunks, expected, actual; nulls
-    count as empty, false, 0 and ``answer``.
+    Columns read: answer, tool_calls, is_refusal, used_web, n_chunks, expected, actual and, if there,
+    document_ids; nulls count as empty, false, 0 and ``answer``; answers are trimmed first.
     """
-    answer = F.coalesce("answer", F.lit(""))
+    answer = F.trim(F.regexp_replace(F.coalesce("answer", F.lit("")), r"^\s+|\s+$", ""))
     refusal, web = F.coalesce("is_refusal", F.lit(False)), F.coalesce("used_web", F.lit(False))
     outcome = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("answer"))))
     linked = answer.rlike(r"\[[^\]]+\]\([^)]+\)")
     calls = F.coalesce("tool_calls", F.array().cast("array<string>"))
-    no_source = ~web & (outcome("actual") != "web") & (F.coalesce("n_chunks", F.lit(0)) <= 0)
+    no_ids = F.size(F.coalesce("document_ids", F.array().cast("array<string>"))) == 0 if "document_ids" in traces.columns else F.lit(True)
+    no_source = ~web & (outcome("actual") != "web") & (F.coalesce("n_chunks", F.lit(0)) <= 0) & no_ids
     checks: dict[str, Column] = {
         "used_tool": F.arrays_overlap(calls, F.array(*map(F.lit, TOOLS))) | refusal,
         "citation_present": refusal | no_source | linked,

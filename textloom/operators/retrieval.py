@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from textloom.functions.text import tokenize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Numbers that a broadcast matrix of queries is made of, at most; rows of a product.
+MOST_WEIGHTS, _ROWS = 1 << 21, 256
 
 
 def fixed_chunk(docs: DataFrame, size: int = 500) -> DataFrame:
@@ -21,33 +26,88 @@ def fixed_chunk(docs: DataFrame, size: int = 500) -> DataFrame:
     return rows.select(document.alias("document_id"), "chunk_index", F.concat(document, F.lit("__chunk_"), F.col("chunk_index")).alias("chunk_id"), F.expr(f"substring(text, chunk_index * {size} + 1, {size})").alias("text"))
 
 
+def bm25_corpus_stats(chunks: DataFrame, key: str) -> DataFrame:
+    """``term, df``: document frequencies over the whole corpus."""
+    return chunks.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def term_counts(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, term, tf, length``; a text's terms are folded in its own row, without a shuffle."""
+    """``key, term, tf, length`` of every document; counts are combined before the shuffle."""
     terms = chunks.select(key, tokenize(F.col(text)).alias("terms")).withColumn("length", F.size("terms"))
     return terms.select(key, "length", F.explode("terms").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_corpus_stats(chunks: DataFrame, key: str) -> DataFrame:
-    """``term, df``: document frequencies over the whole corpus."""
-    return chunks.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _asked(chunks: DataFrame, queries: DataFrame, query: str) -> tuple[DataFrame, Column]:
+    """``query, term, weight`` (repeats times idf) of the queries' terms, and the corpus' mean length.
+
+    One pass counts documents by term; the row of the empty term holds their number and length.
+    A negative idf becomes a share of the mean idf over all terms.
+    """
+    held = chunks.select(tokenize(F.col("text")).alias("terms"))
+    held = held.select(F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
+    counted = held.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("all_length"))
+    whole = counted.where("term = ''")
+    n, mean = whole.select("df").scalar(), whole.select(F.col("all_length") / F.col("df")).scalar()
+    stats = counted.where("term <> ''").withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = stats.select(F.avg("raw") * EPSILON).scalar()
+    words = queries.select(query, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    idf = F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))
+    return words.join(stats, "term").select(query, "term", (F.col("qtf") * idf).alias("weight")), mean
 
 
-def bm25_topk(chunks: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10) -> DataFrame:
+def bm25_topk(chunks: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10, most: int = MOST_WEIGHTS) -> DataFrame:
     """``query, key, score, rank``: Okapi scores above zero; repeated query terms count again.
 
-    Only terms of the queries meet the corpus; a negative idf becomes a share of the mean idf.
+    Up to ``most`` weights of query terms go to the tasks as one matrix: each batch of documents is
+    scored by a product and sends its ``k`` best a query, so no posting is shuffled.  More of them
+    are joined with the documents' terms by shuffles.  Both give the same scores.
     """
-    lengths = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col("text")))).alias("mean")).first()
-    n, mean = lengths["n"], lengths["mean"] or 1.0
-    raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = bm25_corpus_stats(chunks, key).withColumn("raw", raw)
-    floor = EPSILON * (stats.agg(F.avg("raw")).first()[0] or 0.0)
-    idf = stats.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select(query, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf")).join(idf, "term")
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    scored = asked.join(term_counts(chunks, key), "term").groupBy(query, key).agg(F.sum(F.col("qtf") * F.col("idf") * weight).alias("score"))
+    asked, mean = _asked(chunks, queries, query)
+    weights = asked.withColumn("mean", mean).limit(most + 1).toPandas()
+    if len(weights) > most:
+        length = F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)
+        scored = asked.join(term_counts(chunks, key), "term").groupBy(query, key).agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / length).alias("score"))
+        return _ranked(scored.where("score > 0"), query, key, k)
+    average = weights["mean"].max() or 1.0
+    asks, row = np.unique(weights[query].to_numpy(), return_inverse=True)
+    terms, column = np.unique(weights["term"].to_numpy(dtype=object), return_inverse=True)
+    matrix = np.zeros((len(terms), len(asks)))
+    matrix[column, row] = weights["weight"]
+    place = chunks.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, matrix))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, by_term = place.value
+        for pdf in batches:
+            for lo in range(0, len(pdf) if len(asks) else 0, _ROWS):
+                part = pdf.iloc[lo : lo + _ROWS]
+                tf = np.zeros((len(part), len(known)))
+                for i, words in enumerate(part["terms"]):
+                    for t, n in Counter(words).items():
+                        if (at := known.get(t)) is not None:
+                            tf[i, at] = n
+                size = part["terms"].map(len).to_numpy(dtype=float)
+                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)[:, None])
+                yield _top(tf @ by_term, part["key"].to_numpy(), asks, k, 0.0)
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query, queries), (key, chunks))}
+    rows = chunks.select(F.col(key).alias("key"), tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    found = rows.mapInPandas(score, f"query {kinds[query]}, key {kinds[key]}, score double")
+    return _ranked(found.select(F.col("query").alias(query), F.col("key").alias(key), "score"), query, key, k)
+
+
+def _top(scores: np.ndarray, keys: np.ndarray, asks: np.ndarray, k: int, above: float) -> pd.DataFrame:
+    """The ``k`` best rows a column, with all that tie with the last; ``scores`` is rows x queries."""
+    if len(keys) > k:
+        least = np.maximum(np.partition(scores, len(keys) - k, axis=0)[len(keys) - k] - 1e-9, above)
+    else:
+        least = np.full(len(asks), above)
+    row, column = np.nonzero((scores >= least) & (scores > above))
+    return pd.DataFrame({"query": asks[column], "key": keys[row], "score": scores[row, column]})
+
+
+def _ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def cosine(x: Column, y: Column) -> Column:
@@ -59,21 +119,59 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Column | None = None) -> DataFrame:
-    """``query_id, vec_id, label, score, rank``: exact; the scope filters before the cut."""
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Column | None = None, most: int = MOST_WEIGHTS) -> DataFrame:
+    """``query_id, vec_id, label, score, rank``: exact cosine; the scope filters before the cut.
+
+    Queries (``vec_id, embedding``) go to the tasks in lots of at most ``most`` numbers; every batch of
+    vectors is compared by one product and sends its ``k`` best a query.  A query isn't its own
+    answer; vectors that are null, of norm zero or of another length than the query's take no part.
+    """
     base = vectors if scope is None else vectors.where(scope)
-    # The queries are a stated set, compared with all rows; the smaller side is Spark's to choose.
-    pairs = base.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", "label", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asks = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
+    size = asks.agg(F.sum(F.size("q")).alias("n")).first()["n"] or 0
+    lots = -(-size // most) or 1
+    rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    found = None
+    for lot in range(lots):
+        part = asks if lots == 1 else asks.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot)
+        held = vectors.sparkSession.sparkContext.broadcast(_by_length(part.toPandas(), "query_id", "q"))
+
+        def nearest(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for n, (ids, x) in _by_length(pdf, "vec_id", "v").items():
+                    if n in held.value:
+                        asked, q = held.value[n]
+                        s = x @ q.T
+                        s[ids[:, None] == asked[None, :]] = -2
+                        yield _top(s, ids, asked, k, -1.5)
+
+        near = rows.mapInPandas(nearest, "query long, key long, score double")
+        found = near if found is None else found.unionByName(near)
+    ranked = _ranked(found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "score"), "query_id", "vec_id", k)
+    # The labels meet the few rows that are left.
+    return ranked.join(base.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "score", "rank")
+
+
+def _by_length(pdf: pd.DataFrame, key: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors by vector length; vectors of norm zero, or without a norm, are left out."""
+    out = {}
+    for n, part in pdf.groupby(pdf[vector].map(len)):
+        x = np.stack([np.asarray(v, dtype=float) for v in part[vector]])
+        norm = np.sqrt((x * x).sum(1))
+        good = (norm > 0) & np.isfinite(norm)
+        if good.any():
+            out[n] = part[key].to_numpy()[good], x[good] / norm[good, None]
+    return out
 
 
 def rrf_fuse(dense: DataFrame, keyword: DataFrame, query: str, key: str, rrf_k: int = RRF_K) -> DataFrame:
     """``query, key, score, rank`` by reciprocal ranks; ties keep the dense order first."""
-    both = dense.select(query, key, F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("keyword_rank")).unionByName(keyword.select(query, key, F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("keyword_rank")))
+    none = F.lit(None).cast("int")
+    both = dense.select(query, key, F.col("rank").alias("dense_rank"), none.alias("keyword_rank"))
+    both = both.unionByName(keyword.select(query, key, none.alias("dense_rank"), F.col("rank").alias("keyword_rank")))
     one = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
-    fused = both.groupBy(query, key).agg(F.min("dense_rank").alias("dense_rank"), F.min("keyword_rank").alias("keyword_rank")).withColumn("score", one("dense_rank") + one("keyword_rank"))
+    fused = both.groupBy(query, key).agg(F.min("dense_rank").alias("dense_rank"), F.min("keyword_rank").alias("keyword_rank"))
+    fused = fused.withColumn("score", one("dense_rank") + one("keyword_rank"))
     order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 12)), F.col("dense_rank").asc_nulls_last(), F.col("keyword_rank").asc_nulls_last(), key)
     return fused.select(query, key, "score", F.row_number().over(order).alias("rank"))
 
@@ -92,16 +190,134 @@ def relevance_gap_filter(ranked: DataFrame, query: str, gap: float = 1.0, least:
     return ranked.withColumn("best", best).where((F.col("score") >= F.col("best") - gap) | (F.col("rank") <= least)).drop("best")
 
 
+def hydrate_hits(hits: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Hits with stored text and title; where none is stored, or only blanks, the hit's own fields stay.
+
+    Hits are few (after a top-k), so the stored side meets them by its key.  ``hits`` may hold
+    ``text, title``; ``chunks`` has ``key, text, title``.
+    """
+    own = {c: F.col(f"h.{c}") if c in hits.columns else F.lit(None).cast("string") for c in ("text", "title")}
+    stored = F.coalesce(F.trim("c.text") != "", F.lit(False))
+    both = hits.alias("h").join(chunks.select(key, "text", "title").alias("c"), F.col(f"h.{key}") == F.col(f"c.{key}"), "left")
+    kept = [F.col(f"h.{c}") for c in hits.columns if c not in own]
+    title = F.coalesce(F.expr("nullif(trim(c.title), '')"), own["title"])
+    return both.select(*kept, F.when(stored, F.col("c.text")).otherwise(own["text"]).alias("text"), F.when(stored, title).otherwise(own["title"]).alias("title"))
+
+
+def lookup_chunks(asked: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Rows of the asked keys (each once), from ``first``, else from ``second``; unknown keys are absent."""
+    both = first.withColumn("source_no", F.lit(0)).unionByName(second.withColumn("source_no", F.lit(1)))
+    found = both.join(asked.select(key).distinct(), key, "left_semi")
+    order = Window.partitionBy(key).orderBy("source_no")
+    return found.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place", "source_no")
+
+
 def neighbor_join(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
-    """``document_id, chunk_index, neighbor_index, neighbor_text``; an equi-join on document and index."""
-    near = hits.select("document_id", "chunk_index", F.explode(F.sequence(F.col("chunk_index") - radius, F.col("chunk_index") + radius)).alias("neighbor_index")).where("neighbor_index >= 0 and neighbor_index <> chunk_index")
+    """``document_id, chunk_index, neighbor_index, neighbor_text``; an equi-join on document and index.
+
+    A radius of 0 or less gives no neighbours; ``distance`` orders them, lower index first if equal.
+    """
+    around = [i for i in range(-radius, radius + 1) if i] if radius > 0 else []
+    near = hits.select("document_id", "chunk_index", F.explode(F.array(*map(F.lit, around)).cast("array<int>")).alias("step"))
+    near = near.select("document_id", "chunk_index", (F.col("chunk_index") + F.col("step")).alias("neighbor_index")).where("neighbor_index >= 0")
     other = chunks.select("document_id", F.col("chunk_index").alias("neighbor_index"), F.col("text").alias("neighbor_text")).where("trim(neighbor_text) <> ''")
     return near.join(other, ["document_id", "neighbor_index"])
 
 
+def merge_hits(hits: DataFrame, chunks: DataFrame, radius: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """One block a hit: itself and its neighbours in index order, equal texts once.
+
+    Returns ``document_id, chunk_index, first_index`` (the block's smallest), ``chunk_ids`` (in index
+    order, repeats included), ``block``; ``by`` names more columns of a hit (its query, its rank).
+    Chunks of a document are numbered once, so one hit's parts are bounded by the radius.
+    """
+    around = F.sequence(F.col("chunk_index") - max(radius, 0), F.col("chunk_index") + max(radius, 0))
+    near = hits.select(*by, "document_id", "chunk_index", F.explode(around).alias("at"))
+    chunk_id = F.col("chunk_id") if "chunk_id" in chunks.columns else F.concat("document_id", F.lit("__chunk_"), F.col("chunk_index").cast("string"))
+    stored = chunks.select("document_id", F.col("chunk_index").alias("at"), chunk_id.alias("chunk_id"), F.trim("text").alias("t"))
+    parts = near.join(stored, ["document_id", "at"]).where("t <> '' or at = chunk_index")
+    rows = parts.groupBy(*by, "document_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("at", "chunk_id", "t"))).alias("parts"))
+    texts = F.array_distinct(F.filter("parts.t", lambda t: t != ""))
+    first, block = F.array_min("parts.at").cast("int"), F.array_join(texts, "\n\n")
+    return rows.select(*by, "document_id", "chunk_index", first.alias("first_index"), F.col("parts.chunk_id").alias("chunk_ids"), block.alias("block"))
+
+
 def merge_neighbors(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
-    """One block a hit: itself and its neighbours in index order, equal texts once."""
-    own = chunks.select("document_id", "chunk_index", F.col("chunk_index").alias("neighbor_index"), F.col("text").alias("neighbor_text"))
-    parts = neighbor_join(hits, chunks, radius).unionByName(hits.select("document_id", "chunk_index").join(own, ["document_id", "chunk_index"]))
-    rows = parts.groupBy("document_id", "chunk_index").agg(F.sort_array(F.collect_list(F.struct("neighbor_index", F.trim("neighbor_text").alias("t")))).alias("parts"))
-    return rows.select("document_id", "chunk_index", F.array_join(F.array_distinct(F.col("parts.t")), "\n\n").alias("block"), F.size("parts").alias("n_parts"))
+    """``document_id, chunk_index, block, n_parts`` of every hit's merged block."""
+    return merge_hits(hits, chunks, radius).select("document_id", "chunk_index", "block", F.size("chunk_ids").alias("n_parts"))
+
+
+def expand_neighbors(hits: DataFrame, chunks: DataFrame, radius: int = 1, query: str = "query_id") -> DataFrame:
+    """``query, document_id, chunk_index, place``: every hit, then its neighbours, each chunk once.
+
+    Neighbours come by distance, the lower index first; a chunk keeps its first place.
+    """
+    near = neighbor_join(hits, chunks, radius).select("document_id", "chunk_index", "neighbor_index").distinct()
+    near = hits.select(query, "rank", "document_id", "chunk_index").join(near, ["document_id", "chunk_index"])
+    step = F.abs(F.col("neighbor_index") - F.col("chunk_index")) * 2 + (F.col("neighbor_index") > F.col("chunk_index")).cast("int")
+    every = near.select(query, "rank", "document_id", F.col("neighbor_index").alias("chunk_index"), step.alias("step"))
+    every = every.unionByName(hits.select(query, "rank", "document_id", "chunk_index", F.lit(0).alias("step")))
+    first = every.groupBy(query, "document_id", "chunk_index").agg(F.min(F.struct("rank", "step")).alias("at"))
+    order = Window.partitionBy(query).orderBy("at", "document_id", "chunk_index")
+    return first.select(query, "document_id", "chunk_index", F.row_number().over(order).alias("place"))
+
+
+def context_cap(blocks: DataFrame, n: int, query: str = "query_id", place: str = "rank") -> DataFrame:
+    """The first ``n`` blocks of a query; all of them for ``n`` of 0 or less."""
+    if n <= 0:
+        return blocks
+    order = Window.partitionBy(query).orderBy(place)
+    return blocks.withColumn("kept_place", F.row_number().over(order)).where(F.col("kept_place") <= n).drop("kept_place")
+
+
+def context_chunk_ids(blocks: DataFrame, query: str = "query_id", place: str = "rank") -> DataFrame:
+    """``query, chunk_ids``: the merged ids of a query's blocks, or their own id, in order, repeats kept."""
+    own = F.when(F.size("chunk_ids") > 0, F.col("chunk_ids")).otherwise(F.array("chunk_id"))
+    rows = blocks.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("place"), own.alias("ids")))).alias("parts"))
+    return rows.select(query, F.flatten("parts.ids").alias("chunk_ids"))
+
+
+def format_context(blocks: DataFrame, query: str = "query_id", place: str = "rank") -> DataFrame:
+    """``query, context``: numbered blocks, each headed by title, url, document and chunk ids.
+
+    Columns read: ``title, source_url, document_id, chunk_id, chunk_ids, text``.
+    """
+    number = F.row_number().over(Window.partitionBy(query).orderBy(place))
+    ids = F.when(F.size("chunk_ids") > 0, F.array_join("chunk_ids", ", ")).otherwise(F.col("chunk_id"))
+    url = F.when(F.coalesce("source_url", F.lit("")) != "", F.concat(F.lit(" | url: "), F.col("source_url"))).otherwise("")
+    head = F.concat(F.lit("["), F.col("n"), F.lit("] title: "), F.coalesce("title", F.lit("")), url, F.lit(" | document_id: "), F.col("document_id"), F.lit(" | chunk_id: "), ids)
+    rows = blocks.withColumn("n", number).select(query, "n", F.concat(head, F.lit("\n"), F.col("text")).alias("part"))
+    return rows.groupBy(query).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
+
+
+def source_label(url: Column, title: Column, source: Column, document: Column) -> Column:
+    """The first of url, title, source and document id that isn't blank, else ``unknown``."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (url, title, source, document)], F.lit("unknown"))
+
+
+def hybrid_retrieve(dense: DataFrame, keyword: DataFrame, groups: DataFrame, query: str, key: str, group: str, per_group: int = 2, k: int = 5) -> DataFrame:
+    """Both rankings fused by reciprocal ranks, then at most ``per_group`` of a group and ``k`` in all."""
+    fused = rrf_fuse(dense, keyword, query, key)
+    return diverse_filter(fused.join(groups.select(key, group), key), query, group, per_group, k)
+
+
+def debug_rankings(dense: DataFrame, keyword: DataFrame, query: str, key: str, k: int = 10) -> DataFrame:
+    """``query, list, rank, key, score`` of the dense, the keyword and the fused ranking, first ``k`` of each."""
+    lists = {"dense": dense, "keyword": keyword, "fused": rrf_fuse(dense, keyword, query, key)}
+    out = None
+    for name, rows in lists.items():
+        rows = rows.where(F.col("rank") <= k).select(query, F.lit(name).alias("list"), "rank", key, "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def golden_eval(hits: DataFrame, expected: DataFrame, query: str, key: str) -> DataFrame:
+    """``query, hit, retrieved`` (ids in rank order, each once) for every question of ``expected`` (``query, expected``: ids).
+
+    Ids are compared trimmed and in lower case; questions without hits or expected ids have no hit.
+    """
+    got = hits.groupBy(query).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", key))), lambda x: x[key].cast("string")).alias("ids"))
+    plain = lambda c: F.transform(c, lambda x: F.lower(F.trim(x.cast("string"))))
+    rows = expected.join(got, query, "left")
+    hit = F.coalesce(F.arrays_overlap(plain(F.col("ids")), plain(F.col("expected"))), F.lit(False))
+    return rows.select(query, hit.alias("hit"), F.array_distinct(F.coalesce("ids", F.array().cast("array<string>"))).alias("retrieved"))

@@ -12,6 +12,7 @@ from textloom.functions import text as T
 from textloom.operators import chunking as C
 from textloom.operators import metering as M
 from textloom.operators import retrieval as R
+from textloom.plans import corpus
 from textloom.plans.relational import PLANS, SPELLING
 
 
@@ -57,7 +58,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redact_secrets": _docs(lambda d: d.select("doc_id", T.redact_secrets(F.col("text")).alias("text"))),
     "strip_citations": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", T.strip_citations(F.col("text")).alias("text")),
     "has_markdown_link": lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", T.has_markdown_link(F.col("text")).alias("cited")),
-    "url_path_section_site": lambda s, d: _table(s, d, "pages").select("page_id", T.url_path(F.col("url")).alias("path"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")),
+    "url_path_section_site": lambda s, d: _table(s, d, "pages").select("page_id", T.url_path(F.col("url")).alias("path"), T.url_section(F.col("url")).alias("section"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("site")),
     "url_doc_id": lambda s, d: _table(s, d, "pages").select("page_id", T.url_doc_id(F.col("url")).alias("slug")),
     "normalize_pdf_url": lambda s, d: _table(s, d, "pages").select("page_id", T.normalize_pdf_url(F.col("url")).alias("url")),
     "fixed_chunk": _docs(R.fixed_chunk),
@@ -71,7 +72,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_topk": lambda s, d: _dense(s, d).where("rank <= 10").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"),
     "diverse_filter": lambda s, d: R.diverse_filter(_dense(s, d), "query_id", "label").select("query_id", "vec_id", "label", "rank"),
     "relevance_gap_filter": lambda s, d: R.relevance_gap_filter(_dense(s, d), "query_id", 0.1, 2).select("query_id", "vec_id", "rank"),
-    "neighbor_join": _docs(lambda d: R.neighbor_join(R.fixed_chunk(d).where("chunk_index % 3 = 0"), R.fixed_chunk(d))),
+    "neighbor_join": _docs(lambda d: R.neighbor_join(R.fixed_chunk(d), R.fixed_chunk(d))),
     "merge_neighbors": _docs(lambda d: R.merge_neighbors(R.fixed_chunk(d), R.fixed_chunk(d))),
     "rank_precision_recall": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 4).alias("precision")),
     "format_quantity": lambda s, d: _table(s, d, "events").select("event_id", T.format_quantity(F.col("value"), F.when(F.col("event_type") == "purchase", "USD").otherwise("GB")).alias("shown")),
@@ -92,11 +93,11 @@ _SQL: dict[str, str] = {
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "tokenize": f"SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents",
     "redact_secrets": r"SELECT doc_id, regexp_replace(regexp_replace(text, '\b(sk-|pcsk_)[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted]', 'g') AS text FROM documents",
-    "strip_citations": r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '\*\*', '', 'g') AS text FROM conversations",
+    "strip_citations": r"SELECT conv_id, turn, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '\*\*', '', 'g'), chr(10)), lambda x: trim(x) <> ''), chr(10)) AS text FROM conversations",
     "has_markdown_link": r"SELECT conv_id, turn, regexp_matches(text, '\[[^\]]+\]\([^)]+\)') AS cited FROM conversations",
-    "url_path_section_site": "SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages",
+    "url_path_section_site": "SELECT page_id, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)', 1), ''), 'home') AS section, regexp_extract(url, '://([^/?#]*)', 1) AS site FROM pages",
     "url_doc_id": r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/'), '^/+|/+$|\.html$', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), ''), 'index') AS slug FROM pages",
-    "normalize_pdf_url": "SELECT page_id, 'https://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS url FROM pages",
+    "normalize_pdf_url": "SELECT page_id, 'https://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS url FROM pages",
     "fixed_chunk": f"WITH {_C500} SELECT * FROM c",
     "assign_chunk_ids": f"WITH {_C200} SELECT document_id, chunk_index, chunk_id FROM c",
     "chunk_length_stats": f"WITH {_C500} SELECT round(avg(length(text)), 4) AS mean_length, CAST(min(length(text)) AS INT) AS least, CAST(max(length(text)) AS INT) AS most, count(*) AS n FROM c",
@@ -114,7 +115,7 @@ SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""
 o AS (SELECT query_id, vec_id, label, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM g WHERE n <= 2) SELECT * FROM o WHERE rank <= 5""",
     "relevance_gap_filter": f"WITH {_DENSE} SELECT query_id, vec_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM t) WHERE score >= best - 0.1::DOUBLE OR rank <= 2",
     "neighbor_join": f"""WITH {_C500} SELECT a.document_id, b.chunk_index AS neighbor_index, a.chunk_index, b.text AS neighbor_text FROM c a JOIN c b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) = 1
-WHERE a.chunk_index % 3 = 0 AND trim(b.text) <> ''""",
+WHERE trim(b.text) <> ''""",
     "rank_precision_recall": f'WITH {_DENSE} SELECT query_id, round(avg(CASE WHEN label = own THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS "precision" FROM t WHERE rank <= 10 GROUP BY query_id',
     "format_quantity": """SELECT event_id, CASE WHEN event_type = 'purchase' THEN '$' || printf('%.2f', value) WHEN abs(value) >= 100 THEN format('{:,}', CAST(round_even(value, 0) AS BIGINT)) || ' GB'
 WHEN abs(value) >= 10 THEN printf('%.1f', value) || ' GB' ELSE printf('%.2f', value) || ' GB' END AS shown FROM events""",
@@ -128,8 +129,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _plan(sql) for name, sql in PLANS.items()} | _QUERIES
+    return {name: _plan(sql) for name, sql in PLANS.items()} | _QUERIES | corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _elsewhere(sql) for name, sql in PLANS.items()} | _SQL
+    return {name: _elsewhere(sql) for name, sql in PLANS.items()} | _SQL | corpus.SQL

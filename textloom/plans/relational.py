@@ -50,7 +50,6 @@ FROM (SELECT user_id, round(sum(value), 3) AS used FROM {events} GROUP BY user_i
 FROM (SELECT 'quality' AS name, quality = 1 AS passed FROM {labels} UNION ALL SELECT 'clean', toxic = 0 FROM {labels}) t GROUP BY name""",
     "check_summary_table": """SELECT 'all_checks' AS name, count(*) AS total, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS n_passed FROM {labels}
 UNION ALL SELECT 'quality', count(*), count(*) FILTER (WHERE quality = 1) FROM {labels} UNION ALL SELECT 'clean', count(*), count(*) FILTER (WHERE toxic = 0) FROM {labels}""",
-    "eval_averages": "SELECT count(*) AS questions, round(avg(CAST(length(text) AS DOUBLE)), 4) AS mean_length, round(avg(CAST(CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END AS DOUBLE)), 4) AS hit_rate FROM {benchmark}",
     "failure_taxonomy": "SELECT quality, toxic, count(*) AS n, min(doc_id) AS example FROM {labels} GROUP BY quality, toxic",
     "span_totals": "SELECT user_id, event_type, round(sum(value), 4) AS total_ms FROM {events} GROUP BY user_id, event_type",
     "span_pivot_report": """SELECT user_id, round(coalesce(sum(CASE WHEN event_type = 'click' THEN value END), 0), 4) AS click, round(coalesce(sum(CASE WHEN event_type = 'view' THEN value END), 0), 4) AS view_ms,
