@@ -39,7 +39,7 @@ from .common import small_batches, unwrapped, wrapped, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DICTIONARY, LONGEST_WORD, CACHE, BINS = 40_000, 48, 400_000, 16
+DICTIONARY, LONGEST_WORD, CACHE, BINS = 40_000, 48, 200_000, 16
 
 
 class Pieces:
