@@ -173,5 +173,6 @@ def language_id(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> D
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     body = F.col("row").getField(text)
+    judge = judge.asNondeterministic()  # so a filter on the prediction doesn't make it twice
     rows = wrapped(docs).withColumn("found", judge(body, F.coalesce(body.rlike(r"\p{L}"), F.lit(False))))
     return unwrapped(rows, {"lang_pred": F.col("found.lang_pred"), "score": F.col("found.score")})
