@@ -43,7 +43,7 @@ def _asked(chunks: DataFrame, queries: DataFrame, query: str) -> tuple[DataFrame
     One pass counts documents by term; the row of the empty term holds their number and length.
     A negative idf becomes a share of the mean idf over all terms.
     """
-    held = chunks.select(tokenize(F.col("text")).alias("terms"))
+    held = chunks.select(tokenize(F.coalesce("text", F.lit(""))).alias("terms"))  # null texts count as empty documents
     held = held.select(F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"))
     counted = held.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("all_length"))
     whole = counted.where("term = ''")
