@@ -59,6 +59,7 @@ def _nearest(ids: np.ndarray, s: np.ndarray, others: np.ndarray, explore: float,
 
 def _graph(classes: DataFrame, seeds: range, explore: float, k: int) -> DataFrame:
     """``a, b, sim``: nearest found in the buckets of some random trees."""
+    classes = classes.withColumn("label", F.col("label").cast("string"))
     sizes = classes.groupBy("label", F.size("vec").alias("size")).agg(F.count("*").alias("n_label"))
 
     def place(batches):
