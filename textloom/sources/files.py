@@ -76,3 +76,35 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header in each part and quotes doubled."""
     df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``filename, url`` of a manifest's ``pdfs``; entries without either are left out, of a repeated name the last counts.
+
+    A missing or broken manifest has no rows.
+    """
+    schema = "filename string, url string"
+    try:
+        rows = spark.read.schema("pdfs array<struct<filename:string,url:string>>").option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    entries = rows.select(F.posexplode("pdfs").alias("pos", "p")).select("pos", "p.filename", "p.url")
+    entries = entries.where("trim(filename) <> '' and trim(url) <> ''")
+    return entries.groupBy("filename").agg(F.max_by("url", "pos").alias("url"))
+
+
+def write_eval_json(results: DataFrame, path: str) -> None:
+    """Check results, one JSON object a line."""
+    write_jsonl(results, path)
+
+
+def read_eval_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Check results as written, null where there are none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
