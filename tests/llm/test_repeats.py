@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from textloom.llm.substring_dedup import substring_dedup
-from textloom.llm.suffix_dedup import suffix_dedup
+from textloom.llm.suffix_dedup import COVERS, suffix_dedup
 
 SCHEMA = "doc_id long, text string, n_removed string"
 
@@ -87,11 +87,32 @@ def test_tiny_sketch_changes_nothing(spark):
         sketches.fitting_bits = lambda *a: 10  # nearly every window is estimated repeated
         got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=12).collect())
         assert got == brute_words(docs, 12)
-        assert {(-1 if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(df, length=40).collect()} == brute_bytes(docs, 40)
     finally:
         sketches.fitting_bits = real
 
 
+def test_every_difference_meets_in_the_cover():
+    for v, on in COVERS.items():
+        assert {(a - b) % v for a in on for b in on} == set(range(v))
+
+
+@pytest.mark.parametrize("length,block,bucket", [(40, 1000, 300), (100, 1, 50), (3, 1 << 19, 100), (1, 500, 1 << 19)])
+def test_bytes_in_many_blocks_and_buckets(spark, length, block, bucket):
+    docs = corpus(6)
+    text = docs[3][1] + docs[9][1]
+    docs += [(200 + i, text[i % 7 :] + "z" * (i % 3), None) for i in range(12)]  # copies in step with the cover or not
+    found = suffix_dedup(spark.createDataFrame(docs, SCHEMA).repartition(3), length=length, block=block, bucket=bucket)
+    assert {(-1 if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()} == brute_bytes(docs, length)
+
+
+def test_bytes_of_repeated_rows_and_ids(spark):
+    docs = [(1, "q w e r t y " * 20, "a"), (1, "q w e r t y " * 20, "b"), (1, "other " * 30, "c"), (2, "q w e r t y " * 20, None), (None, None, None)]
+    found = suffix_dedup(spark.createDataFrame(docs, SCHEMA), length=30)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in found.collect())
+    assert got == [(0, 0, 0), (1, 180, 174), (1, 240, 228), (1, 240, 228), (2, 240, 240)]
+    assert found.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"]
+
+
 def test_wide_ids(spark):
     docs = [(-(2**62), "x y " * 40, None), (2**62, "x y " * 40, None), (5, "q" * 130, None)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
