@@ -10,9 +10,11 @@ UTF-8 bytes; strings are judged on the input and never cross documents.
 2. *Ranks.* The samples are sorted by name, some buckets a pass; the rank of a
    sample is the first place that holds its name.  A sample that no other place
    shares has none.
-3. *Long ties.* Where consecutive samples of a document rank at consecutive places
-   of one earlier place's text, all strings in the stretch start there too.  They
-   are settled by the ranks alone, however many copies there are.
+3. *Long ties.* Samples of a document that rank at one distance before it, and
+   overlap, make a stretch that is the earlier text's too; all strings in it start
+   there.  They are settled by the ranks alone, however many copies there are.  As
+   ``v`` is at most half of ``length``, the offsets at which two copies meet the cover
+   (at least one in ``v``) make such a stretch whatever their distance is.
 4. *Buckets.* Of the other suffixes only those tie with anything that have a ranked
    sample at an offset below ``v``.  They are sorted by the 128-bit names of their
    first ``length`` bytes, some buckets a pass; of equal ones the first place stays.
@@ -32,6 +34,7 @@ pass through, and the operator's columns replace columns of the same name.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -46,7 +49,7 @@ from .common import discard, small_batches, text_tag, unwrapped, wrapped, writte
 from .windows import U64, Fingerprints, mix
 
 LENGTH = 100
-BLOCK, BUCKET = 1 << 19, 1 << 19  # bytes of text handled at once; suffixes in a bucket
+BLOCK, BUCKET = 1 << 18, 1 << 18  # bytes of text handled at once; suffixes in a bucket
 #: Perfect difference sets, by modulus.
 COVERS = {
     1: [0],
@@ -96,7 +99,7 @@ class Cover:
 
     def __init__(self, length: int, shift: int):
         self.length, self.shift = length, shift
-        self.v = max(v for v in COVERS if v == 1 or v <= 0.6 * length)
+        self.v = max(v for v in COVERS if v == 1 or v <= 0.5 * length)
         self.sample = length - self.v + 1
         self.on = np.isin(np.arange(self.v), COVERS[self.v])
 
@@ -107,7 +110,7 @@ class Texts:
     def __init__(self, row, cover: Cover):
         self.cover, self.codes, sizes = cover, np.frombuffer(row.codes, np.int64), np.frombuffer(row.sizes, np.int64)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.hashes = _BYTES[np.frombuffer(row.body, np.uint8)]
+        self.hashes = _BYTES[np.frombuffer(zlib.decompress(row.body), np.uint8)]
         self.names = Fingerprints(self.hashes, 0)
         here = np.arange(self.begin[-1])
         self.start = here - np.repeat(self.begin[:-1], sizes)
@@ -123,12 +126,13 @@ class Texts:
         """Masks of the string starts that the samples' ranks (-1: none) settle, and of those that may tie beside them."""
         n, cover = len(self.start), self.cover
         back = first - self.place[at]
-        good = (first >= 0) & (back < 0)
-        on = np.zeros(len(at), bool)  # goes on with the stretch of the sample before
-        on[1:] = good[1:] & good[:-1] & (back[1:] == back[:-1]) & (self.start[at[1:]] > self.start[at[:-1]])
-        begin = np.flatnonzero(good & ~on)
-        end = np.flatnonzero(good & ~np.append(on[1:], False))
-        lo, hi = at[begin], at[end] + (cover.sample - cover.length + 1)
+        good = np.flatnonzero((first >= 0) & (back < 0))
+        good = good[np.argsort(back[good], kind="stable")]
+        where, back, doc = at[good], back[good], self.place[at[good]] >> cover.shift
+        on = np.zeros(len(good), bool)  # goes on with the stretch of the sample before
+        on[1:] = (back[1:] == back[:-1]) & (doc[1:] == doc[:-1]) & (where[1:] - where[:-1] <= cover.sample)
+        begin, end = np.flatnonzero(~on), np.flatnonzero(~np.append(on[1:], False)[: len(on)])
+        lo, hi = where[begin], where[end] + (cover.sample - cover.length + 1)
         whole = (hi > lo) & (end > begin)
         settled = _between(lo[whole], hi[whole], n)
         ranked = at[first >= 0]
@@ -201,7 +205,7 @@ def _packed(batches: Iterator[pd.DataFrame], size_of_block: int) -> Iterator[pd.
     def block(held):
         held.sort(key=lambda h: h[0])
         sizes = np.array([len(raw) for _, raw in held], np.int64)
-        return pd.DataFrame({"codes": [np.array([c for c, _ in held], np.int64).tobytes()], "sizes": [sizes.tobytes()], "body": [b"".join(raw for _, raw in held)]})
+        return pd.DataFrame({"codes": [np.array([c for c, _ in held], np.int64).tobytes()], "sizes": [sizes.tobytes()], "body": [zlib.compress(b"".join(raw for _, raw in held), 1)]})
 
     held, size = [], 0
     for pdf in batches:
