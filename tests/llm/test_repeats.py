@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm.substring_dedup import substring_dedup
 from textloom.llm.suffix_dedup import COVERS, suffix_dedup
@@ -113,6 +114,39 @@ def test_bytes_of_repeated_rows_and_ids(spark):
     assert found.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept"]
 
 
+def agreeing(spark, bits=31):
+    """Two different texts, the second longer, whose 64-bit hashes agree in so many low bits."""
+    text = F.concat(F.lit("row "), F.col("id").cast("string"), F.repeat(F.lit(" of one id"), 12 + F.col("id") % 2 * 20))
+    low = F.xxhash64("text").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = spark.range(250_000).select("id", text.alias("text")).withColumn("low", low)
+    one = rows.where("id % 2 = 0").select("low", F.col("text").alias("a"))
+    pair = one.join(rows.where("id % 2 = 1").select("low", F.col("text").alias("b")), "low").orderBy("low").first()
+    return pair.a, pair.b
+
+
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_of_one_id_whose_hashes_agree(spark, shared):
+    a, b = agreeing(spark)
+    docs = [(shared, a, None), (shared, b, None), (9, b, None)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    words = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=12).collect()]
+    assert sorted(words) == brute_words(docs, 12)
+    got = {(r.doc_id, r.text): bytes(r.kept) for r in suffix_dedup(df, length=100).collect()}
+    orders = [brute_bytes([(i, d[1], None) for i, d in enumerate(o)], 100) for o in (docs, [docs[1], docs[0], docs[2]])]
+    assert [got[shared, a], got[shared, b], got[9, b]] in ([orders[0][i][3] for i in (0, 1, 2)], [orders[1][i][3] for i in (1, 0, 2)])
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(5)
+    docs = [(None, " ".join(rng.choice("abcdefgh") for _ in range(60)), None) for _ in range(200)]
+    docs += [(None, d[1] + " tail", None) for d in docs[:40]]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    got = sorted((-1, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df, window=12).collect())
+    assert got == brute_words(docs, 12)
+    found = suffix_dedup(df, length=40).collect()
+    assert len(found) == 240 and sum(r.n_removed for r in found) >= 40 * 119
+
+
 def test_wide_ids(spark):
     docs = [(-(2**62), "x y " * 40, None), (2**62, "x y " * 40, None), (5, "q" * 130, None)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}

@@ -71,11 +71,6 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def text_tag(text: Column) -> Column:
-    """31 bits of the text, to tell apart rows that share a ``doc_id``."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-
-
 def wrapped(docs: DataFrame) -> DataFrame:
     """The rows as one struct column ``row``, so that no name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -94,3 +89,31 @@ def row_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, bool]:
     shared = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count()
     doc, body = F.col("row").getField(doc_id), F.col("row").getField(text)
     return (F.xxhash64(doc, body), True) if shared else (doc.cast("long"), False)
+
+
+def coded(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+    """``row, text, code``; the bits that a place in the longest text needs; the bytes of all texts.
+
+    Codes are longs that ascend with ``doc_id``, null first, and leave room for the bits
+    of a place.  Where ids repeat or spread too far, the distinct rows are numbered, by
+    id and then by two 64-bit hashes of the text: only rows equal in both share a code.
+    """
+    rows = wrapped(docs)
+    rows = rows.select("row", F.col("row").getField(text).alias("text"), F.col("row").getField(doc_id).cast("long").alias("id"))
+    low, high, longest, volume = rows.agg(F.min("id"), F.max("id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
+    shift, volume = int(longest or 1).bit_length(), int(volume or 0)
+    shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not shared and ((high or 0) - (low or 0) + 2) << shift < 1 << 62:
+        return rows.select("row", "text", F.coalesce(F.col("id") - F.lit((low or 0) - 1), F.lit(0).cast("long")).alias("code")), shift, volume
+    tags = {"tag1": F.xxhash64("text"), "tag2": F.xxhash64(F.lit("again"), F.col("text"))}
+    tagged = rows.withColumns(tags)
+    keys = written(tagged.select("id", *tags).distinct().orderBy(F.col("id").asc_nulls_first(), *tags).withColumn("at", F.monotonically_increasing_id()), "codes")
+    part = F.shiftright("at", 33)
+    begins, total = [], 0
+    for p, n in sorted(keys.groupBy(part.alias("part")).count().collect()):  # one row a partition
+        begins.append((p, total))
+        total += n
+    begins = docs.sparkSession.createDataFrame(begins, "part long, begin long")
+    keys = keys.withColumn("part", part).join(F.broadcast(begins), "part").select(F.col("id").alias("key"), *[F.col(t).alias(f"key_{t}") for t in tags], (F.col("begin") + F.col("at") - F.shiftleft("part", 33)).alias("code"))
+    same = [F.col("id").eqNullSafe(F.col("key")), *[F.col(t) == F.col(f"key_{t}") for t in tags]]
+    return tagged.join(keys, same).select("row", "text", "code"), shift, volume

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from .common import small_batches, text_tag, wrapped, written
+from .common import coded, small_batches, written
 from .windows import U64, Batch, covered, mix, spread
 
 _BYTES = mix(np.arange(256, dtype=U64), 11)
@@ -98,31 +98,18 @@ class Repeats:
     two rows, 1 bit a slot.  Beyond it more windows are estimated repeated and
     grouped exactly; the result does not change.
 
-    A row's ``code`` orders rows by ``doc_id``, null first (rows that share an id
-    are told apart by their text); a ``place`` is ``code * 2**shift + start``.
-    Both are longs where they fit, which keeps the grouping in hash aggregates,
-    and decimals of 38 digits where not.
+    A row's ``code`` orders rows by ``doc_id`` (see ``coded``); a ``place`` is
+    ``code << shift | start``.
     """
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, windows: Windows, keep_first: bool, most_bits: int = 27):
         self.windows, self.keep_first, self.most_bits, self.spark = windows, keep_first, most_bits, docs.sparkSession
         small_batches(self.spark)
-        self.rows = wrapped(docs)
-        self.text = F.col("row").getField(text)
-        ids = self.rows.select(F.col("row").getField(doc_id).cast("long").alias("doc_id"), F.octet_length(self.text).alias("size"))
-        low, high, longest, volume = ids.agg(F.min("doc_id"), F.max("doc_id"), F.max("size"), F.sum("size")).first()
-        shared = ids.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
-        low, self.shift = low or 0, 1 << int(longest or 1).bit_length()
-        tags = 1 << 31 if shared else 1
-        wide = ((high or 0) - low + 2) * tags * self.shift >= 1 << 62
-        self.whole = "decimal(38,0)" if wide else "long"
-        code = F.coalesce(F.col("row").getField(doc_id).cast("long").cast(self.whole) - F.lit(low - 1).cast(self.whole), F.lit(0).cast(self.whole)).cast(self.whole)
-        if shared:
-            code = (code * F.lit(tags).cast(self.whole) + text_tag(self.text).cast(self.whole)).cast(self.whole)
-        self.rows = self.rows.withColumn("code", code)
-        self.slim = self.rows.select("code", F.xxhash64("code").alias("mark"), self.text.alias("text")).where(F.octet_length("text") >= windows.length)
+        self.rows, self.shift, volume = coded(docs, doc_id, text)
+        self.text = F.col("text")
+        self.slim = self.rows.select("code", F.xxhash64("code").alias("mark"), "text").where(F.octet_length("text") >= windows.length)
         per_token = 1 if windows.tokens == "bytes" else 6
-        self.bits = sketches.fitting_bits((volume or 0) / per_token * 2 / (windows.length - windows.gram + 2), 16, most_bits)
+        self.bits = sketches.fitting_bits(volume / per_token * 2 / (windows.length - windows.gram + 2), 16, most_bits)
 
         def anchors(batches):
             for pdf in batches:
@@ -131,14 +118,14 @@ class Repeats:
 
         self.twice = sketches.broadcast(self.spark, sketches.build(self.slim.select("text"), anchors, self.bits, "twice"))
 
-    def _place(self, code: str = "code", start: str = "start"):
-        return F.expr(f"cast({code} * cast({self.shift} as {self.whole}) + {start} as {self.whole})")
+    def _place(self):
+        return F.shiftleft("code", self.shift) + F.col("start")
 
-    def _code(self, place: str):
-        return F.expr(f"cast(({place} - {place} % cast({self.shift} as {self.whole})) / cast({self.shift} as {self.whole}) as {self.whole})") if self.whole != "long" else F.expr(f"{place} div {self.shift}L")
+    def _code(self):
+        return F.shiftright("place", self.shift)
 
-    def _start(self, place: str):
-        return F.expr(f"cast({place} % cast({self.shift} as {self.whole}) as int)")
+    def _start(self):
+        return F.col("place").bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int")
 
     def exceptions(self) -> DataFrame:
         """``code`` (the row) and ``spans``: ``start << 32 | n`` of windows that stay."""
@@ -152,7 +139,7 @@ class Repeats:
                     name = b.first.at(start, count + (windows.length - 1)).view(np.int64)
                     yield pd.DataFrame({"anchor": b.anchor[on].view(np.int64), "name": name, "code": pdf["code"].to_numpy()[doc + first], "start": (start - b.begin[doc]).astype(np.int32), "n": count.astype(np.int32)})
 
-        found = self.slim.mapInPandas(ranges, f"anchor long, name long, code {self.whole}, start int, n int").withColumn("place", self._place())
+        found = self.slim.mapInPandas(ranges, f"anchor long, name long, code long, start int, n int").withColumn("place", self._place())
         high = [] if self.keep_first else [F.max("place").alias("high")]
         classes = written(found.groupBy("anchor", "name").agg(F.min("place").alias("low"), *high, F.count("*").alias("times"), F.max("n").alias("n")), "classes")
         several = written(classes.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor"), "several")
@@ -161,8 +148,8 @@ class Repeats:
         members = written(classes.join(several, "anchor").select("anchor", "name", "n", F.explode(F.array("low") if self.keep_first else F.array_distinct(F.array("low", "high"))).alias("place")), "members")
         if n := members.count():
             spans = spans.unionByName(members.select("place", (F.col("n") + _MEMBER).alias("n"))).unionByName(self._single(members, n))
-        span = F.shiftleft(self._start("place").cast("long"), 32) + F.col("n")
-        return spans.select(self._code("place").alias("code"), span.alias("span")).groupBy("code").agg(F.collect_list("span").alias("spans"))
+        span = F.shiftleft(self._start().cast("long"), 32) + F.col("n")
+        return spans.select(self._code().alias("code"), span.alias("span")).groupBy("code").agg(F.collect_list("span").alias("spans"))
 
     def _single(self, members: DataFrame, n: int) -> DataFrame:
         """Exceptions among the single windows of the members' ranges."""
@@ -173,7 +160,7 @@ class Repeats:
             for pdf in batches:
                 yield _member(*(pdf[c].to_numpy() for c in ("anchor", "name", "mark", "start")))
 
-        known = sketches.broadcast(self.spark, sketches.build(members.select("anchor", "name", F.xxhash64(self._code("place")).alias("mark"), self._start("place").alias("start")), hashes, member_bits, "once"))
+        known = sketches.broadcast(self.spark, sketches.build(members.select("anchor", "name", F.xxhash64(self._code()).alias("mark"), self._start().alias("start")), hashes, member_bits, "once"))
 
         def singles(batches):
             for pdf in batches:
@@ -190,7 +177,7 @@ class Repeats:
                     k1, k2 = b.names(a, windows.length)
                     yield pd.DataFrame({"k1": k1, "k2": k2, "code": codes[doc + first], "start": (a - b.begin[doc]).astype(np.int32)})
 
-        found = self.slim.mapInPandas(singles, f"k1 long, k2 long, code {self.whole}, start int").withColumn("place", self._place())
+        found = self.slim.mapInPandas(singles, f"k1 long, k2 long, code long, start int").withColumn("place", self._place())
         times = [] if self.keep_first else [F.count("*").alias("times")]
         found = found.groupBy("k1", "k2").agg(F.min("place").alias("place"), *times)
         if not self.keep_first:

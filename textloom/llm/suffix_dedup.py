@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, small_batches, text_tag, unwrapped, wrapped, written
+from .common import coded, discard, small_batches, unwrapped, written
 from .windows import U64, Fingerprints, mix
 
 LENGTH = 100
@@ -176,29 +176,6 @@ def _short_lived_shuffles(spark: SparkSession):
         spark.conf.set(key, was)
 
 
-def _coded(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
-    """``row, text, code``: codes ascend with ``doc_id``, null first, then by a hash of the text where ids repeat; the shift of places; the bytes of all texts."""
-    rows = wrapped(docs)
-    rows = rows.select("row", F.col("row").getField(text).alias("text"), F.col("row").getField(doc_id).cast("long").alias("id"))
-    low, high, longest, volume = rows.agg(F.min("id"), F.max("id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
-    shift = int(longest or 1).bit_length()
-    shared = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not shared and ((high or 0) - (low or 0) + 2) << shift < 1 << 62:
-        return rows.select("row", "text", F.coalesce(F.col("id") - F.lit((low or 0) - 1), F.lit(0).cast("long")).alias("code")), shift, int(volume or 0)
-    tagged = rows.withColumn("tag", F.coalesce(text_tag(F.col("text")), F.lit(-1)))
-    keys = written(tagged.select("id", "tag").distinct().orderBy(F.col("id").asc_nulls_first(), "tag").withColumn("at", F.monotonically_increasing_id()), "codes")
-    part = F.shiftright("at", 33)
-    sizes = sorted(keys.groupBy(part.alias("part")).count().collect())  # one row a partition
-    begins, total = [], 0
-    for p, n in sizes:
-        begins.append((p, total))
-        total += n
-    begins = docs.sparkSession.createDataFrame(begins, "part long, begin long")
-    keys = keys.withColumn("part", part).join(F.broadcast(begins), "part").select(F.col("id").alias("key"), "tag", (F.col("begin") + F.col("at") - F.shiftleft("part", 33)).alias("code"))
-    joined = tagged.join(keys, tagged["id"].eqNullSafe(keys["key"]) & (tagged["tag"] == keys["tag"]))
-    return joined.select("row", "text", "code"), shift, int(volume or 0)
-
-
 def _packed(batches: Iterator[pd.DataFrame], size_of_block: int) -> Iterator[pd.DataFrame]:
     """Texts in blocks of about so many bytes; a longer text stands alone."""
 
@@ -357,7 +334,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """``docs`` and ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept`` (bytes left)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows, shift, volume = _coded(docs, doc_id, text)
+    rows, shift, volume = coded(docs, doc_id, text)
     cover = Cover(length, shift)
     with _short_lived_shuffles(spark):
         long = rows.where(F.octet_length("text") >= length).select("code", "text")
