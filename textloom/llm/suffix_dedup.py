@@ -49,7 +49,7 @@ from .common import coded, discard, small_batches, unwrapped, written
 from .windows import U64, Fingerprints, mix
 
 LENGTH = 100
-BLOCK, BUCKET = 1 << 18, 1 << 18  # bytes of text handled at once; suffixes in a bucket
+BLOCK, BUCKET = 1 << 19, 1 << 19  # bytes of text handled at once; suffixes in a bucket
 #: Perfect difference sets, by modulus.
 COVERS = {
     1: [0],
@@ -62,6 +62,7 @@ COVERS = {
 }
 
 _BYTES = mix(np.arange(256, dtype=U64), 11)
+_SECOND = mix(_BYTES, 7)
 _BLOCK = "codes binary, sizes binary, body binary"
 _RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
@@ -101,49 +102,59 @@ class Cover:
         self.length, self.shift = length, shift
         self.v = max(v for v in COVERS if v == 1 or v <= 0.5 * length)
         self.sample = length - self.v + 1
-        self.on = np.isin(np.arange(self.v), COVERS[self.v])
 
 
 class Texts:
-    """A block of whole texts laid end to end, in the order of their codes."""
+    """A block of whole texts laid end to end, in the order of their codes; none is shorter than a string."""
 
     def __init__(self, row, cover: Cover):
-        self.cover, self.codes, sizes = cover, np.frombuffer(row.codes, np.int64), np.frombuffer(row.sizes, np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.hashes = _BYTES[np.frombuffer(zlib.decompress(row.body), np.uint8)]
-        self.names = Fingerprints(self.hashes, 0)
-        here = np.arange(self.begin[-1])
-        self.start = here - np.repeat(self.begin[:-1], sizes)
-        self.room = np.repeat(self.begin[1:], sizes) - here
-        self.place = np.repeat(self.codes << cover.shift, sizes) + self.start
+        self.cover, self.sizes = cover, np.frombuffer(row.sizes, np.int64)
+        self.codes, self.begin = np.frombuffer(row.codes, np.int64), np.concatenate([[0], np.cumsum(self.sizes)])
+        self.raw = np.frombuffer(zlib.decompress(row.body), np.uint8)
+        self.names = Fingerprints(_BYTES[self.raw], 0)
+        self.base = (self.codes << cover.shift) - self.begin[:-1]  # a place less its number in the block
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """Places of ascending numbers in the block."""
+        return at + np.repeat(self.base, np.diff(np.searchsorted(at, self.begin)))
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the cover samples in the block, and their names."""
-        at = np.flatnonzero(self.cover.on[self.start % self.cover.v] & (self.room >= self.cover.sample))
+        """Numbers of the cover samples in the block, and their names."""
+        v, whole = self.cover.v, self.sizes - self.cover.sample + 1
+        cycles = -(-whole // v)
+        first = np.cumsum(cycles) - cycles
+        at = np.repeat(self.begin[:-1] - v * first, cycles) + v * np.arange(cycles.sum())
+        at, end = at[:, None] + np.asarray(COVERS[v]), np.repeat(self.begin[:-1] + whole, cycles)
+        at = at[at < end[:, None]]
         return at, self.names.at(at, self.cover.sample)
 
     def ties(self, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Masks of the string starts that the samples' ranks (-1: none) settle, and of those that may tie beside them."""
-        n, cover = len(self.start), self.cover
-        back = first - self.place[at]
+        n, cover = len(self.raw), self.cover
+        place = self.places(at)
+        back = first - place
         good = np.flatnonzero((first >= 0) & (back < 0))
         good = good[np.argsort(back[good], kind="stable")]
-        where, back, doc = at[good], back[good], self.place[at[good]] >> cover.shift
+        where, back, doc = at[good], back[good], place[good] >> cover.shift
         on = np.zeros(len(good), bool)  # goes on with the stretch of the sample before
         on[1:] = (back[1:] == back[:-1]) & (doc[1:] == doc[:-1]) & (where[1:] - where[:-1] <= cover.sample)
         begin, end = np.flatnonzero(~on), np.flatnonzero(~np.append(on[1:], False)[: len(on)])
         lo, hi = where[begin], where[end] + (cover.sample - cover.length + 1)
         whole = (hi > lo) & (end > begin)
         settled = _between(lo[whole], hi[whole], n)
-        ranked = at[first >= 0]
-        near = _between(ranked - np.minimum(self.start[ranked], cover.v - 1), ranked + 1, n)
-        return settled, near & (self.room >= cover.length) & ~settled
+        ranked, start = at[first >= 0], place[first >= 0] & ((1 << cover.shift) - 1)
+        near = _between(ranked - np.minimum(start, cover.v - 1), ranked + 1, n)
+        near &= _between(self.begin[:-1], self.begin[1:] - cover.length + 1, n)
+        return settled, near & ~settled
 
-    def suffixes(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the wanted starts: places in the block and 128-bit names."""
+    def strings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the wanted starts: numbers in the block and 64-bit names."""
         at = np.flatnonzero(wanted)
-        second = Fingerprints(mix(self.hashes, 7), 1)
-        return at, self.names.at(at, self.cover.length), second.at(at, self.cover.length)
+        return at, self.names.at(at, self.cover.length)
+
+    def seconds(self, at: np.ndarray) -> np.ndarray:
+        """The other 64 bits of the names."""
+        return Fingerprints(_SECOND[self.raw], 1).at(at, self.cover.length)
 
 
 def _between(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
@@ -209,7 +220,7 @@ def _ranks(blocks: DataFrame, cover: Cover, buckets: int, passes: int) -> list[D
                     b = _bucket(names, buckets)
                     on = (b >= lo) & (b < hi)
                     at, names = at[on], names[on]
-                    member, _, low, several = _classes(names, texts.place[at])
+                    member, _, low, several = _classes(names, texts.places(at))
                     names = names[member]
                     out = [(row.block, b, names[s].tobytes(), low[s].tobytes(), several[s].tobytes()) for b, s in _shares(names, buckets)]
                     yield pd.DataFrame(out, columns=["block", "bucket", "names", "places", "several"])
@@ -252,7 +263,7 @@ def _tied(blocks: DataFrame, ranks: list[DataFrame], cover: Cover, buckets: int)
             for row in pdf.itertuples(index=False):
                 texts = Texts(row, cover)
                 at, names = texts.samples()
-                member, group, *_ = _classes(names, texts.place[at])
+                member, group, *_ = _classes(names, at)
                 begin = {b: s.start for b, s in _shares(names[member], buckets)}
                 first = np.full(len(member), -1, np.int64)
                 for part in row.parts:
@@ -272,11 +283,12 @@ def _firsts(tied: DataFrame, cover: Cover, buckets: int, passes: int) -> list[Da
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
                     texts = Texts(row, cover)
-                    at, k1, k2 = texts.suffixes(_filled(row.wanted, len(texts.start)))
+                    at, k1 = texts.strings(_filled(row.wanted, len(texts.raw)))
                     b = _bucket(k1, buckets)
                     on = (b >= lo) & (b < hi)
-                    at, k1, k2 = at[on], k1[on], k2[on]
-                    member, _, low, _ = _classes(k1, texts.place[at], k2)
+                    at, k1 = at[on], k1[on]
+                    k2 = texts.seconds(at)
+                    member, _, low, _ = _classes(k1, texts.places(at), k2)
                     k1, k2 = k1[member], k2[member]
                     out = [(row.block, b, k1[s].tobytes(), k2[s].tobytes(), low[s].tobytes()) for b, s in _shares(k1, buckets)]
                     yield pd.DataFrame(out, columns=["block", "bucket", "k1", "k2", "places"])
@@ -302,17 +314,18 @@ def _removed(tied: DataFrame, firsts: list[DataFrame], cover: Cover, buckets: in
             out = []
             for row in pdf.itertuples(index=False):
                 texts = Texts(row, cover)
-                n = len(texts.start)
+                n = len(texts.raw)
                 gone = _filled(row.settled, n)
                 if row.n:
-                    at, k1, k2 = texts.suffixes(_filled(row.wanted, n))
-                    member, group, low, _ = _classes(k1, texts.place[at], k2)
+                    at, k1 = texts.strings(_filled(row.wanted, n))
+                    place = texts.places(at)
+                    member, group, low, _ = _classes(k1, place, texts.seconds(at))
                     stays = np.zeros(len(member), bool)
                     shares = dict(_shares(k1[member], buckets))
                     for part in row.parts:
                         s = shares[part["bucket"]]
                         stays[s] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), count=s.stop - s.start)
-                    gone[at] = ~(stays[group] & (texts.place[at] == low[group]))
+                    gone[at] = ~(stays[group] & (place == low[group]))
                 starts = np.concatenate([np.zeros(cover.length, np.int64), np.cumsum(gone)])
                 covered = starts[cover.length :] > starts[:-cover.length]
                 for i in np.flatnonzero(np.add.reduceat(covered, texts.begin[:-1], dtype=np.int64)):
