@@ -95,14 +95,62 @@ def test_files(spark, folder):
     assert {tuple(r) for r in files.parse_sitemap(spark, f"{folder}/s.xml").collect()} == {("u1", "2024"), ("u2", None)}
 
 
-def test_stream_rate_limit(spark, folder):
-    rows = sorted(requests(5, 200), key=lambda r: r[2])
-    for part in (rows[:100], rows[100:]):
+def test_rate_limit_cuts_keys_at_gaps(spark):
+    from textloom.operators.metering import client_key, islands
+
+    rows = [(i, "hot", (i // 30) * 1000 + i % 30) for i in range(900)] + [(2000 + i, None, 5 * i) for i in range(50)] + [(3000, "edge", 0), (3001, "edge", 60), (3002, "edge", 121)]
+    df = events(spark, rows)
+    got = {r.id: r.accepted for r in rate_limit(df.unionByName(events(spark, [(9999, "hot", None)])), "k", "ts", "id", 5, 60).collect()}
+    assert not got.pop(9999) and got == brute_limit(rows, 5, 60)
+    cut = islands(df.select("id", "k", F.unix_micros("ts").alias("t")), "k", "t", 60_000_000)
+    numbers = {r.k: r.n for r in cut.groupBy("k").agg(F.countDistinct("island").alias("n")).collect()}
+    assert numbers == {"hot": 30, None: 1, "edge": 2}
+    spread = cut.where("k = 'hot'").repartition(8, "k", "island").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread >= 6  # a hot key with gaps uses many tasks
+    asks = spark.createDataFrame([(" i1 ", "9.9.9.9", "h"), ("", " 1.2.3.4 , 5.6.7.8", "h"), (None, " ", "h"), (None, None, " ")], "i string, f string, h string")
+    assert [r[0] for r in asks.select(client_key(F.col("i"), F.col("f"), F.col("h"))).collect()] == ["i1", "ip:1.2.3.4", "ip:h", "ip:unknown"]
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key, value = jobs.ROCKSDB
+    spark.conf.set(key, value)
+    yield
+    spark.conf.unset(key)
+
+
+def test_stream_rate_limit_orders_across_batches(spark, folder, rocksdb):
+    """Shuffled arrival over many micro-batches gives the batch result; a late event is dropped."""
+    rng = random.Random(3)
+    rows = sorted(requests(3, 300), key=lambda r: r[2] + rng.randrange(0, 300))
+    schema = "id long, k string, s long, ts timestamp"
+    parts = [rows[i : i + 60] for i in range(0, 300, 60)] + [[(1000, k, 100_000) for k in "ab"], [(1001, "a", 5), (1002, "b", 200_000)], [(1003, "b", 300_000)]]
+    for i, part in enumerate(parts):
         events(spark, part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema("id long, k string, s long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    limited = jobs.stream_rate_limit(source, "k", "ts", "id", 5, 60, late="1 hour")
-    limited.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    assert {r.id: r.accepted for r in spark.read.parquet(f"{folder}/out").collect()} == brute_limit(rows, 5, 60)
+        source = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        limited = jobs.stream_rate_limit(source, "k", "ts", "id", 5, 60, late="10 minutes")
+        # every micro-batch is a run of its own: state survives the restart
+        limited.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").collect()
+    want = brute_limit(rows, 5, 60)
+    assert len(got) == len({(r.id, r.k) for r in got}) and 1001 not in {r.id for r in got}
+    assert {r.id: r.accepted for r in got if r.id < 1000} == want
+
+
+def test_stream_state_fold_equals_batch(spark, folder, rocksdb):
+    rng = random.Random(9)
+    schema = "key string, seq long, field string, value string, appends boolean"
+    rows = [(rng.choice("xyz"), i, rng.choice(["name", "level"]), rng.choice(["", "a", "b", None]), False) for i in range(60)]
+    rows += [(rng.choice("xyz"), i, "notes", f"n{i}" if i % 9 else "", True) for i in range(60)] + [("x", 5, "notes", "tie", True), ("x", 5, "notes", "tie", True), ("y", 99, "name", "p", None), ("y", 99, "name", "q", False)]
+    rng.shuffle(rows)
+    states = {}
+    for i in range(0, len(rows), 30):
+        spark.createDataFrame(rows[i : i + 30], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.stream_state_fold(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        keep = lambda df, n: states.update({(r.key, r.field): (r.value, r["items"]) for r in df.collect()})
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    batch = {(r.key, r.field): (r.value, r["items"]) for r in jobs.state_fold(spark.createDataFrame(rows, schema)).collect()}
+    assert states == batch and batch["y", "name"][0] == "q" and "" in batch["x", "notes"][1] + batch["y", "notes"][1] + batch["z", "notes"][1]
 
 
 def test_stream_usage_month(spark, folder):

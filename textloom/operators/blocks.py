@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.sequences import overlap
+
 #: Blocks are parted by blank lines.
 BLANK = r"\n\s*\n"
 # Labels of tabs, headings and lines around articles, and the blocks that end or pair them.
@@ -172,9 +175,12 @@ def standard_lookup(asked: DataFrame, entries: DataFrame, limit: int = 8) -> Dat
 
 
 def overlap_text(chunks: DataFrame, key: str = "document_id", pos: str = "chunk_index", text: str = "text") -> DataFrame:
-    """``key, pos, overlap``: the longest end of a chunk that begins the next one; the last chunk has none."""
+    """``key, pos, overlap``: the longest end of a chunk that begins the next one, in time linear in both; the last chunk has none."""
     following = F.coalesce(F.lead(text).over(Window.partitionBy(key).orderBy(pos)), F.lit(""))
     rows = chunks.select(key, pos, F.coalesce(text, F.lit("")).alias("own"), following.alias("following"))
-    n = F.least(F.length("own"), F.length("following"))
-    sizes = F.filter(F.sequence(n, F.lit(0), F.lit(-1)), lambda i: F.col("own").substr(F.length("own") - i + 1, i) == F.col("following").substr(F.lit(1), i))
-    return rows.select(key, pos, F.col("following").substr(F.lit(1), F.get(sizes, 0)).alias("overlap"))
+
+    @F.pandas_udf("string")
+    def shared(own: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([b[: overlap(a, b)] for a, b in zip(own, after)], dtype=object)
+
+    return rows.select(key, pos, shared("own", "following").alias("overlap"))

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accepted requests in a window, its seconds, and the longest answer.
@@ -29,27 +29,55 @@ def accept(times: list[int], held: deque, limit: int, micros: int) -> list[bool]
     return out
 
 
+def client_key(install_id: Column, forwarded: Column, host: Column | None = None) -> Column:
+    """The install id; else ``ip:`` and the first forwarded address, the host, or ``unknown``.  Blanks count as missing."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    host = F.lit(None).cast("string") if host is None else host
+    address = F.coalesce(filled(F.get(F.split(forwarded, ","), 0)), filled(host), F.lit("unknown"))
+    return F.coalesce(filled(install_id), F.concat(F.lit("ip:"), address))
+
+
+def islands(events: DataFrame, key: str, t: str, span: int) -> DataFrame:
+    """``events`` with ``island``: numbers a key's stretches between gaps of more than ``span``; null where ``t`` is.
+
+    Events are first summed up by key and slot of length ``span``: within a slot no gap is that
+    long, so the window over a key sees its slots, however many events a slot holds.
+    """
+    slotted = events.withColumn("slot", F.col(t) - F.pmod(F.col(t), F.lit(span)))
+    slots = slotted.where("slot is not null").groupBy(key, "slot").agg(F.min(t).alias("low"), F.max(t).alias("high"))
+    order = Window.partitionBy(key).orderBy("slot")
+    begins = F.coalesce(F.col("low") - F.lag("high").over(order) > span, F.lit(False))
+    numbered = slots.withColumn("begins", begins).withColumn("island", F.sum(F.col("begins").cast("long")).over(order))
+    numbered = numbered.select(F.col(key).alias("its_key"), F.col("slot").alias("its_slot"), "island")
+    joined = slotted.join(numbered, F.col(key).eqNullSafe(F.col("its_key")) & (F.col("slot") == F.col("its_slot")), "left")
+    return joined.drop("slot", "its_key", "its_slot")
+
+
 def rate_limit(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``tie, key, accepted``: a sliding window over each key's accepted events, in order of ``ts, tie``.
 
-    Rows reach a task sorted by key and time (the sort spills), and the fold holds only the last
-    key's ``limit`` times, so a key of any size passes in bounded memory.  Null keys are one key;
-    rows without a time are refused and count for nothing.
+    A gap longer than the window empties the state, so a key is cut at its gaps and the parts go
+    to different tasks.  Rows reach a task sorted (the sort spills), and the fold holds only the
+    last ``limit`` times, so a part of any size passes in bounded memory.  Null keys are one
+    key; rows without a time are refused and count for nothing.
     """
     rows = events.select(F.col(tie).alias("tie"), F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    micros = seconds * 1_000_000
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, held = object(), deque()
         for batch in batches:
             accepted = []
-            for k, t in zip(batch["key"], batch["t"]):
-                if k != current:
-                    current, held = k, deque()
-                accepted += [False] if pd.isna(t) else accept([int(t)], held, limit, seconds * 1_000_000)
+            for k, part, t in zip(batch["key"], batch["island"], batch["t"]):
+                if (k, part) != current:
+                    current, held = (k, part), deque()
+                accepted += accept([int(t)], held, limit, micros)
             yield pd.DataFrame({"tie": batch["tie"], "key": batch["key"], "accepted": accepted})
 
     kind = events.schema[tie].dataType.simpleString()
-    done = rows.repartition("key").sortWithinPartitions("key", "t", "tie").mapInPandas(folded, f"tie {kind}, key string, accepted boolean")
+    cut = islands(rows.where("t is not null"), "key", "t", micros)
+    done = cut.repartition("key", "island").sortWithinPartitions("key", "island", "t", "tie").mapInPandas(folded, f"tie {kind}, key string, accepted boolean")
+    done = done.unionByName(rows.where("t is null").select("tie", "key", F.lit(False).alias("accepted")))
     return done.select(F.col("tie").alias(tie), F.col("key").alias(key), "accepted")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.sequences import difference
 from textloom.operators import blocks as B
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -125,17 +125,22 @@ def read_page(html: str | None, layout: Layout) -> tuple[list[str], int]:
     return [], 0
 
 
-def page_blocks(pages: DataFrame, key: str, html: str, layout: Layout = PAGES) -> DataFrame:
-    """``key, blocks, tabs`` of every page; null html and pages without a root have no blocks."""
+def page_blocks(pages: DataFrame, key: str, html: str, layout: Layout = PAGES, carried: dict[str, Column] | None = None) -> DataFrame:
+    """``key, blocks, tabs`` and the carried columns of every row; null html and pages without a root have no blocks.
+
+    Rows are neither joined nor told apart by their key: repeated and null keys keep a row each.
+    """
+    carried = carried or {}
+    rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), *[c.alias(f"with_{n}") for n, c in carried.items()])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [read_page(h, layout) for h in pdf["html"]]
-            yield pd.DataFrame({"key": pdf["key"], "blocks": [b for b, _ in found], "tabs": [n for _, n in found]})
+            yield pdf.drop(columns="html").assign(blocks=[b for b, _ in found], tabs=[n for _, n in found])
 
-    kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(read, f"key {kind}, blocks array<string>, tabs int")
-    return rows.withColumnRenamed("key", key)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "html"]
+    found = rows.mapInPandas(read, ", ".join([*kinds, "blocks array<string>", "tabs int"]))
+    return found.select(F.col("key").alias(key), *[F.col(f"with_{n}").alias(n) for n in carried], "blocks", "tabs")
 
 
 def body_length_validation(path: Column, text: Column, least: int = 20, least_research: int = 5, keywords: tuple[str, ...] = ()) -> tuple[Column, Column]:
@@ -167,7 +172,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     path = T.url_path(F.col(url))
     wanted = pages.where(~F.coalesce(excluded_path(path), F.lit(False)))
     title = F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)</title>", 1)
-    rows = wanted.select(key, url, path.alias("path"), title.alias("title")).join(page_blocks(wanted, key, html, layout), key)
+    rows = page_blocks(wanted, key, html, layout, {url: F.col(url), "path": path, "title": title})
     rows = rows.withColumn("blocks", F.filter(F.transform("blocks", lambda b: T.clean_markdown(b)), lambda b: b != ""))
     kept, removed = B.dedupe_consecutive_blocks(F.col("blocks"))
     rows = rows.withColumns({"kept": kept, "removed": removed})
@@ -180,7 +185,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 def extract_articles(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, slug, title, status, body`` of help pages: the article is the root, its first heading the title."""
-    rows = pages.select(key, T.article_slug(F.col(url)).alias("slug"), T.url_path(F.col(url)).alias("path")).join(page_blocks(pages, key, html, ARTICLES), key)
+    rows = page_blocks(pages, key, html, ARTICLES, {"slug": T.article_slug(F.col(url)), "path": T.url_path(F.col(url))})
     rows = rows.withColumn("blocks", F.filter(F.transform("blocks", lambda b: T.clean_markdown(b)), lambda b: b != ""))
     top = F.filter("blocks", lambda b: b.rlike(r"^#\s"))
     title = F.when(F.size(top) > 0, F.regexp_replace(F.get(top, 0), r"^#\s+", "")).otherwise(T.humanize_id(F.col("slug")))
@@ -224,7 +229,9 @@ def discover_links(pages: DataFrame, key: str, url: str, html: str, site: str, e
 def text_similarity(left: Column, right: Column) -> dict[str, Column]:
     """``ratio, word_delta, identical, excerpt`` of two texts, compared with their space collapsed.
 
-    Equal texts (found by their hash) are not compared; a pair is compared by words, whole.
+    ``ratio``: twice the words that both share in order, at most, by the words of both; ``excerpt``: the
+    first difference with five words around it, 140 characters at most.  Equal texts (found by their
+    hash) are not compared; a pair is compared by words, whole, in linear space.
     """
 
     @F.pandas_udf("ratio double, excerpt string")
@@ -235,9 +242,8 @@ def text_similarity(left: Column, right: Column) -> dict[str, Column]:
                 out.append((None, None))
                 continue
             p, q = x.split(" "), y.split(" ")
-            match = difflib.SequenceMatcher(None, p, q, autojunk=False)
-            first = next((o for o in match.get_opcodes() if o[0] != "equal"), None)
-            out.append((round(match.ratio(), 6), " ".join(p[max(0, first[1] - 5) : first[2] + 5])[:140] if first else None))
+            shared, first = difference(p, q)
+            out.append((round(2 * shared / (len(p) + len(q)), 6), " ".join(p[max(0, first[0] - 5) : first[1] + 5])[:140] if first else None))
         return pd.DataFrame(out, columns=["ratio", "excerpt"]).astype({"ratio": "float64"})
 
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, T.MARKS, ""), r"\s+", " "))

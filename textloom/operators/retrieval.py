@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokenize
+from textloom.operators.tiles import tiled
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -122,36 +123,44 @@ def cosine(x: Column, y: Column) -> Column:
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Column | None = None, most: int = MOST_WEIGHTS) -> DataFrame:
     """``query_id, vec_id, label, score, rank``: exact cosine; the scope filters before the cut.
 
-    Queries (``vec_id, embedding``) go to the tasks in lots of at most ``most`` numbers; every batch of
-    vectors is compared by one product and sends its ``k`` best a query.  A query isn't its own
-    answer; vectors that are null, of norm zero or of another length than the query's take no part.
+    Queries (``vec_id, embedding``) of at most ``most`` numbers go to the tasks, and every batch of
+    vectors is compared by one product; more of them meet the vectors in tiles of blocks.  Either
+    way a product sends its ``k`` best a query.  A query isn't its own answer; vectors that are
+    null, of norm zero or of another length than the query's take no part.
     """
     base = vectors if scope is None else vectors.where(scope)
     asks = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
-    size = asks.agg(F.sum(F.size("q")).alias("n")).first()["n"] or 0
-    lots = -(-size // most) or 1
     rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    found = None
-    for lot in range(lots):
-        part = asks if lots == 1 else asks.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot)
-        held = vectors.sparkSession.sparkContext.broadcast(_by_length(part.toPandas(), "query_id", "q"))
+    counted = asks.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("numbers")).first()
+    schema = "query long, key long, score double"
+    if (counted["numbers"] or 0) > most:
+        ids = lambda df, i, v: df.select(F.col(i).alias("id"), F.col(v).alias("vec"))
+        found = tiled(ids(asks, "query_id", "q"), ids(rows, "vec_id", "v"), lambda q, v: _nearest(_by_length(q, "id", "vec"), v, "id", "vec", k), schema, counted["n"], rows.count())
+    else:
+        held = vectors.sparkSession.sparkContext.broadcast(_by_length(asks.toPandas(), "query_id", "q"))
 
-        def nearest(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for n, (ids, x) in _by_length(pdf, "vec_id", "v").items():
-                    if n in held.value:
-                        asked, q = held.value[n]
-                        s = x @ q.T
-                        s[ids[:, None] == asked[None, :]] = -2
-                        yield _top(s, ids, asked, k, -1.5)
-
-        near = rows.mapInPandas(nearest, "query long, key long, score double")
-        found = near if found is None else found.unionByName(near)
+                yield _nearest(held.value, pdf, "vec_id", "v", k)
+
+        found = rows.mapInPandas(nearest, schema)
     ranked = _ranked(found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "score"), "query_id", "vec_id", k)
     # The labels meet the few rows that are left.
     return ranked.join(base.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "score", "rank")
 
 
+def _nearest(asked: dict, pdf: pd.DataFrame, key: str, vector: str, k: int) -> pd.DataFrame:
+    """The best rows of ``pdf`` for queries by length."""
+    parts = [pd.DataFrame({"query": [], "key": [], "score": []})]
+    for n, (ids, x) in _by_length(pdf, key, vector).items():
+        if n in asked:
+            mine, q = asked[n]
+            s = x @ q.T
+            s[ids[:, None] == mine[None, :]] = -2
+            parts.append(_top(s, ids, mine, k, -1.5))
+    return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
+
+
 def _by_length(pdf: pd.DataFrame, key: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors by vector length; vectors of norm zero, or without a norm, are left out."""
     out = {}
@@ -321,3 +330,31 @@ def golden_eval(hits: DataFrame, expected: DataFrame, query: str, key: str) -> D
     rows = expected.join(got, query, "left")
     hit = F.coalesce(F.arrays_overlap(plain(F.col("ids")), plain(F.col("expected"))), F.lit(False))
     return rows.select(query, hit.alias("hit"), F.array_distinct(F.coalesce("ids", F.array().cast("array<string>"))).alias("retrieved"))
+
+
+def first_keyword_match(texts: DataFrame, keywords: DataFrame, key: tuple[str, ...], text: str = "text", default: str = "none") -> DataFrame:
+    """``key`` and ``match``: the name of the keyword of smallest ``priority`` that the text holds, else ``default``.
+
+    ``keywords`` has ``keyword, name, priority``, a dimension of any size; both sides are compared in
+    lower case, blank and null keywords match nothing, equal priorities go by name.  A text meets
+    only the keywords whose first letters (three, or all of a shorter one) it holds: an equi-join
+    on grams; what meets is then compared whole.  Equal rows are compared once.
+    """
+    known = keywords.select(F.lower(F.trim("keyword")).alias("word"), "name", "priority").where("word <> ''").withColumn("gram", F.substring("word", 1, 3))
+    lengths = sorted(r[0] for r in known.select(F.length("gram")).distinct().collect())  # three rows at most
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = texts.select(*key, low.alias("low")).withColumns({"h1": F.xxhash64(*key, "low"), "h2": F.xxhash64(F.lit("again"), *key, "low")})
+    lettered = rows.select("h1", "h2", F.split("low", "").alias("letters"))
+
+    def grams(n):
+        out = F.col("letters")
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice("letters", k + 1, 1 << 30), lambda a, b: F.concat(a, b))
+        return out
+
+    every = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(grams, lengths)))
+    met = lettered.select("h1", "h2", F.explode(every).alias("gram")).join(known, "gram")
+    met = met.select("h1", "h2", "word", "name", "priority").distinct()
+    held = met.join(rows.select("h1", "h2", "low").distinct(), ["h1", "h2"]).where(F.col("low").contains(F.col("word")))
+    first = held.groupBy("h1", "h2").agg(F.min(F.struct("priority", "name"))["name"].alias("match"))
+    return rows.join(first, ["h1", "h2"], "left").select(*key, F.coalesce("match", F.lit(default)).alias("match"))

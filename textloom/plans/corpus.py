@@ -14,6 +14,7 @@ from textloom.operators import pages as P
 from textloom.operators import retrieval as R
 from textloom.operators import structure as S
 from textloom.operators import traces as A
+from textloom.streaming import jobs as J
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,12 +110,10 @@ def eval_averages(spark, sf_dir):
 
 
 def query_chunk_cross(spark, sf_dir):
-    """Every query of a label beside every vector of it: an equi-join on the label."""
+    """Every query against every vector, in tiles of blocks whatever their number; the five best stay."""
     vectors = _table(spark, sf_dir, "embeddings")
     asks = vectors.join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    both = asks.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")).join(vectors, "label").where("vec_id <> query_id")
-    scored = both.select("query_id", "vec_id", R.cosine(F.col("embedding"), F.col("q")).alias("score")).where("score is not null")
-    return _scores(R._ranked(scored, "query_id", "vec_id", 5))
+    return _scores(R.dense_topk(vectors, asks, 5, most=0).select("query_id", "vec_id", "score", "rank"))
 
 
 def cosine_similarity(spark, sf_dir):
@@ -202,13 +201,34 @@ def sync_summary(spark, sf_dir):
 
 
 def first_keyword_match(spark, sf_dir):
-    """The first nation (by key) whose first three letters occur in a message, else ``none``; the keywords are a bounded dimension."""
-    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    words = [(r["n_nationkey"], r["n_name"], r["n_name"][:3].lower()) for r in _table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1000).collect()]
-    found = F.lit("none")
-    for _, name, word in reversed(words):
-        found = F.when(F.col("low").contains(word), name).otherwise(found)
-    return talks.select("conv_id", "turn", found.alias("match"))
+    """The first nation (by key) whose first three letters occur in a message, else ``none``."""
+    nations = _table(spark, sf_dir, "nation").select(F.substring("n_name", 1, 3).alias("keyword"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("priority"))
+    return R.first_keyword_match(_table(spark, sf_dir, "conversations"), nations, ("conv_id", "turn"))
+
+
+def first_keyword_match_parts(spark, sf_dir):
+    """The same against the colours, metals and so on that part names are made of, a dimension of many rows."""
+    parts = _table(spark, sf_dir, "part")
+    names = parts.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("keyword"), "p_partkey").groupBy("keyword").agg(F.min("p_partkey").alias("priority"))
+    return R.first_keyword_match(_table(spark, sf_dir, "documents"), names.withColumn("name", F.col("keyword")), ("doc_id",))
+
+
+def overlap_text(spark, sf_dir):
+    """Chunks of 60 characters that step by 45, so that neighbours overlap, whole."""
+    docs = _table(spark, sf_dir, "documents").where("text <> ''")
+    at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 45).cast("int"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.explode(at).alias("chunk_index"))
+    return B.overlap_text(chunks.select("document_id", "chunk_index", F.expr("substring(text, chunk_index * 45 + 1, 60)").alias("text")))
+
+
+def state_fold(spark, sf_dir):
+    """Messages as updates of their conversation: roles are overwritten by their last text's opening, turns append."""
+    talks = _table(spark, sf_dir, "conversations").where("text is not null")
+    value = F.md5("text")
+    scalar = talks.select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), F.col("role").alias("field"), value.alias("value"), F.lit(False).alias("appends"))
+    listed = talks.select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), F.lit("turns").alias("field"), value.alias("value"), F.lit(True).alias("appends"))
+    found = J.state_fold(scalar.unionByName(listed))
+    return found.select("key", "field", F.coalesce("value", F.array_join("items", ",")).alias("state"))
 
 
 def exclude_articles(spark, sf_dir):
@@ -277,7 +297,7 @@ def text_similarity(spark, sf_dir):
     """Stored documents beside their text without secrets and marks: equal ones are found by hash."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), T.redact_secrets(F.col("text")).alias("b"))
     found = P.text_similarity(F.col("a"), F.col("b"))
-    return docs.select("doc_id", found["word_delta"].alias("word_delta"), found["identical"].alias("identical"))
+    return docs.select("doc_id", *[found[n].alias(n) for n in ("ratio", "word_delta", "identical", "excerpt")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -303,7 +323,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_marked_blocks": _over("documents", lambda t: t.select("doc_id", _joined(B.strip_marked_blocks(_LINES("text"), (("all rights", "reserved"),))).alias("digest"))),
     "strip_heading_pairs": _over("documents", lambda t: t.select("doc_id", _joined(B.strip_heading_pairs(_LINES("text"), "all rights reserved.", "the")).alias("digest"))),
     "heading_sections": _over("documents", lambda t: B.heading_sections(t.where("text is not null"), "doc_id").select("doc_id", "pos", F.md5("unit").alias("digest"))),
-    "overlap_text": lambda s, d: B.overlap_text(_chunks(s, d).select("document_id", "chunk_index", F.substring("text", 1, 60).alias("text"))),
+    "overlap_text": overlap_text,
+    "state_fold": state_fold,
+    "first_keyword_match_parts": first_keyword_match_parts,
     "structure_chunk": _over("documents", lambda t: S.structure_chunk(t)),
     "clean_title": _over("pages", lambda t: t.select("page_id", T.clean_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))),
     "pdf_basename": _over("pages", lambda t: t.select("page_id", T.pdf_basename(F.col("url")).alias("name"))),
@@ -421,7 +443,7 @@ SELECT item_id, string_agg('[' || rank || '] title: ' || coalesce(source, '') ||
     "golden_eval": f"WITH {_GOLD} SELECT * FROM g",
     "eval_averages": f"WITH {_GOLD} SELECT count(*) AS questions, coalesce(round(avg(CAST(hit AS INT)), 4), 0.0) AS hit_rate, round(avg(len(string_split(retrieved, ','))), 4) AS mean_found FROM g",
     "query_chunk_cross": f"""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM
-(SELECT q.vec_id AS query_id, e.vec_id, {_cosine('e.embedding', 'q.embedding')} AS score FROM ({_ASK}) q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.vec_id)) WHERE rank <= 5""",
+(SELECT q.vec_id AS query_id, e.vec_id, {_cosine('e.embedding', 'q.embedding')} AS score FROM ({_ASK}) q JOIN embeddings e ON e.vec_id <> q.vec_id)) WHERE rank <= 5""",
     "cosine_similarity": f"SELECT a.vec_id, round({_cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "lookup_chunks": "SELECT doc_id, lang, CAST(length(text) AS INT) AS n, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS found_in FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "hydrate_hits": f"""WITH {_kw(5)} SELECT item_id, kw.doc_id, rank, CASE WHEN lang = 'en' AND trim(substr(text, 1, 50), ' ') <> '' THEN substr(text, 1, 50) ELSE 'own text' END AS text,
@@ -455,8 +477,6 @@ SELECT doc_id, coalesce(len(ws) >= 20 AND len(counted) > 0 AND 1 - len(list_filt
     "body_length_validation": f"""WITH t AS (SELECT page_id, {_PATH} AS path, {_STRIP('html')} AS body FROM pages), n AS (SELECT *, {_WORDS('body')} AS n FROM t)
 SELECT page_id, CASE WHEN n < (CASE WHEN starts_with(path, '/research/') THEN 5 ELSE 120 END) THEN 'static_failed' WHEN NOT contains(lower(body), 'the') THEN 'incomplete' ELSE 'ok' END AS status,
 CASE WHEN n < (CASE WHEN starts_with(path, '/research/') THEN 5 ELSE 120 END) THEN 'body too short (' || n || ' words)' WHEN NOT contains(lower(body), 'the') THEN 'missing expected keywords: the' END AS reason FROM n""",
-    "text_similarity": r"""WITH t AS (SELECT doc_id, text AS a, regexp_replace(regexp_replace(text, '\b(sk-|pcsk_)[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[redacted]', 'g') AS b FROM documents)
-SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(a, '[\t\n\v\f\r ]+'), lambda w: w <> '')) - len(list_filter(regexp_split_to_array(b, '[\t\n\v\f\r ]+'), lambda w: w <> '')) AS INT) AS word_delta, a = b AS identical FROM t""",
     "link_sources": """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT link, count(*) AS n_pages, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM l GROUP BY link""",
     "sync_summary": f"""WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), s AS (SELECT {_PATH} AS link, count(*) AS n FROM pages GROUP BY 1)
 SELECT count(*) FILTER (l.link IS NOT NULL AND s.link IS NOT NULL) AS skipped_existing, count(*) FILTER (l.link <> '' AND s.link IS NULL) AS downloaded, count(*) FILTER (l.link = '') AS failed, CAST(coalesce(sum(s.n) FILTER (l.link IS NULL), 0) AS BIGINT) AS removed FROM l FULL JOIN s ON s.link = l.link""",
@@ -465,6 +485,13 @@ SELECT count(*) FILTER (l.link IS NOT NULL AND s.link IS NOT NULL) AS skipped_ex
     "seeded_sample_with_required": f"""WITH p AS (SELECT page_id, url, contains(url, '?page=2&ref=x') AND contains(url, 'www.') AS required, md5('7:' || page_id) AS o FROM pages WHERE NOT starts_with({_PATH}, '/es/') AND NOT contains(lower({_PATH}), 'espanol'))
 SELECT DISTINCT page_id, url, required FROM (SELECT * FROM (SELECT * FROM p ORDER BY required DESC, o, page_id LIMIT 100) UNION ALL SELECT * FROM p WHERE required)""",
     "first_keyword_match": """SELECT c.conv_id, c.turn, coalesce((SELECT min_by(n_name, n_nationkey) FROM nation n WHERE contains(lower(coalesce(c.text, '')), lower(substr(n_name, 1, 3)))), 'none') AS match FROM conversations c""",
+    "first_keyword_match_parts": """WITH w AS (SELECT lower(word) AS word, min_by(word, (k, word)) AS name, min(k) AS k FROM (SELECT word, min(p_partkey) AS k FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type, ' ')) AS word FROM part) WHERE word <> '' GROUP BY word) GROUP BY lower(word))
+SELECT d.doc_id, coalesce((SELECT min_by(name, (k, name)) FROM w WHERE contains(lower(coalesce(d.text, '')), w.word)), 'none') AS match FROM documents d""",
+    "overlap_text": """WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS INT) AS chunk_index, substr(text, i * 45 + 1, 60) AS text FROM (SELECT doc_id, text, unnest(range((length(text) - 1) // 45 + 1)) AS i FROM documents WHERE text <> '')),
+p AS (SELECT *, coalesce(lead(text) OVER (PARTITION BY document_id ORDER BY chunk_index), '') AS nxt FROM c)
+SELECT document_id, chunk_index, left(nxt, coalesce(list_max(list_filter(range(1, least(length(text), length(nxt)) + 1), lambda i: right(text, i) = left(nxt, i))), 0)) AS overlap FROM p""",
+    "state_fold": """SELECT conv_id AS key, role AS field, max_by(md5(text), (turn, md5(text))) AS state FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY conv_id, role
+UNION ALL SELECT conv_id, 'turns', string_agg(md5(text), ',' ORDER BY turn, md5(text)) FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""",
     "exclude_articles": r"SELECT doc_id, lang FROM documents d WHERE lang IS NOT NULL AND NOT coalesce(regexp_matches(regexp_extract(text, '^([^\n]*)', 1), '(?i)\(Spanish\)\s*$'), false) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)",
     "standard_lookup": f"""WITH e AS (SELECT p_brand AS state, {_CODE} length(p_name) AS code, CAST(min(p_partkey) AS VARCHAR) AS description FROM part GROUP BY ALL), a AS (SELECT DISTINCT p_brand AS state, {_CODE} (length(p_name) + 1) AS code FROM part),
 s AS (SELECT a.state, a.code, e.code AS other, row_number() OVER (PARTITION BY a.state, a.code ORDER BY e.code) AS n FROM a JOIN e ON e.state = a.state AND e.code <> a.code AND split_part(e.code, '.', 1) = split_part(a.code, '.', 1) AND split_part(e.code, '.', 2) = split_part(a.code, '.', 2)),
