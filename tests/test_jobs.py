@@ -81,7 +81,7 @@ def test_files(spark, folder):
     with open(f"{folder}/d.txt", "w") as f:
         f.write("  ")
     got = {tuple(r) for r in files.scan_corpus(spark, folder).collect()}
-    assert got == {("one", "U", "", "Body\n"), ("b", "b", "", "---\nopen\nBody"), ("c", "c", "", "plain")}
+    assert got == {("one", "U", "", "Body"), ("b", "b", "", "---\nopen\nBody"), ("c", "c", "", "plain")}
     assert files.scan_corpus(spark, f"{folder}/none").count() == 0
     rows = spark.createDataFrame([(1, "é\n", None)], "a int, b string, c string")
     files.write_jsonl(rows, f"{folder}/out")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from textloom.operators.tiles import tiled
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Numbers that a broadcast matrix of queries is made of, at most; rows of a product.
-MOST_WEIGHTS, _ROWS = 1 << 21, 256
+#: Numbers that a broadcast of queries is made of, at most; rows and columns of a block of scores.
+MOST_WEIGHTS, _ROWS, _COLUMNS = 1 << 21, 256, 4096
 
 
 def fixed_chunk(docs: DataFrame, size: int = 500) -> DataFrame:
@@ -56,46 +57,135 @@ def _asked(chunks: DataFrame, queries: DataFrame, query: str) -> tuple[DataFrame
     return words.join(stats, "term").select(query, "term", (F.col("qtf") * idf).alias("weight")), mean
 
 
-def bm25_topk(chunks: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10, most: int = MOST_WEIGHTS) -> DataFrame:
+@dataclass(frozen=True)
+class Scope:
+    """Which groups each query may find: ``table`` has a row a query with arrays ``include`` and ``exclude``.
+
+    A filled ``include`` wins; else ``exclude``, where an empty array excludes nothing; a null one,
+    and a query without a row, means ``default``.  Names are trimmed and blanks dropped; an
+    ``include`` of blanks alone limits nothing.  ``group`` is the column of the searched rows.
+    """
+
+    table: DataFrame
+    group: str
+    default: tuple[str, ...] = ()
+
+
+_LIMITS = ("only", "never")
+
+
+def resolved_scope(queries: DataFrame, query: str, scope: Scope | None) -> DataFrame:
+    """``queries`` with ``only`` and ``never``: arrays, or null where they limit nothing."""
+    none = F.lit(None).cast("array<string>")
+    if scope is None:
+        return queries.withColumns({"only": none, "never": none})
+    names = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    filled = lambda c: F.when(F.size(c) > 0, c)
+    rows = scope.table.select(F.col(query).alias("scope_of"), F.col("include").cast("array<string>").alias("include"), F.col("exclude").cast("array<string>").alias("exclude"))
+    rows = queries.join(rows.dropDuplicates(["scope_of"]), F.col(query) == F.col("scope_of"), "left")
+    wins = F.coalesce(F.size("include") > 0, F.lit(False))
+    never = F.coalesce(F.col("exclude"), F.array(*map(F.lit, scope.default)).cast("array<string>"))
+    rows = rows.withColumns({"only": F.when(wins, filled(names(F.col("include")))), "never": F.when(~wins, filled(names(never)))})
+    return rows.drop("scope_of", "include", "exclude")
+
+
+def _allowed(groups, only: list, never: list) -> np.ndarray:
+    """Rows x queries: may the query find the row?  A row without a group is in no list."""
+    code, names = pd.factorize(np.asarray(groups, dtype=object))
+    out, seen = np.ones((len(code), len(only)), bool), {}
+    for j, (inside, outside) in enumerate(zip(only, never)):
+        if inside is None and outside is None:
+            continue
+        at = (None if inside is None else tuple(inside), None if outside is None else tuple(outside))
+        if at not in seen:
+            known = np.isin(names, np.array(at[0] if at[1] is None else at[1], dtype=object)) if len(names) else np.zeros(0, bool)
+            known = np.append(known, False)[code]  # a null group has code -1
+            seen[at] = known if at[1] is None else ~known
+        out[:, j] = seen[at]
+    return out
+
+
+def _in_scope(group: str) -> Column:
+    """The same over columns ``only`` and ``never``."""
+    held = lambda c: F.coalesce(F.array_contains(c, F.col(group)), F.lit(False))
+    return (F.col("only").isNull() | held("only")) & (F.col("never").isNull() | ~held("never"))
+
+
+def bm25_topk(chunks: DataFrame, key: str, queries: DataFrame, query: str, k: int = 10, most: int = MOST_WEIGHTS, scope: Scope | None = None) -> DataFrame:
     """``query, key, score, rank``: Okapi scores above zero; repeated query terms count again.
 
-    Up to ``most`` weights of query terms go to the tasks as one matrix: each batch of documents is
-    scored by a product and sends its ``k`` best a query, so no posting is shuffled.  More of them
-    are joined with the documents' terms by shuffles.  Both give the same scores.
+    Up to ``most`` weights of query terms and names of scopes go to the tasks, by term: each batch of
+    documents is scored sparsely, ``_COLUMNS`` queries at a time, and sends its ``k`` best a query in
+    scope, so no posting is shuffled.  More of them are joined with the documents' terms by
+    shuffles.  Both give the same rows.  Statistics are of all documents, whatever the scopes.
     """
     asked, mean = _asked(chunks, queries, query)
-    weights = asked.withColumn("mean", mean).limit(most + 1).toPandas()
-    if len(weights) > most:
+    limits = resolved_scope(queries.select(query).distinct(), query, scope)
+    if scope is not None:
+        names = limits.agg(F.sum(F.coalesce(F.greatest(F.size("only"), F.size("never")), F.lit(0)))).first()[0] or 0
+        limits = limits.where("only is not null or never is not null")
+    weights = asked.withColumn("mean", mean).limit(most + 1).toPandas() if scope is None or names <= most else None
+    if weights is None or len(weights) > most:
         length = F.col("tf") + K1 * (1 - B + B * F.col("length") / mean)
-        scored = asked.join(term_counts(chunks, key), "term").groupBy(query, key).agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / length).alias("score"))
-        return _ranked(scored.where("score > 0"), query, key, k)
+        scored = asked.join(term_counts(chunks, key), "term").groupBy(query, key).agg(F.sum(F.col("weight") * F.col("tf") * (K1 + 1) / length).alias("score")).where("score > 0")
+        if scope is not None:
+            scored = scored.join(chunks.select(key, F.col(scope.group).alias("its_group")), key).join(limits, query, "left").where(_in_scope("its_group")).select(query, key, "score")
+        return _ranked(scored, query, key, k)
     average = weights["mean"].max() or 1.0
     asks, row = np.unique(weights[query].to_numpy(), return_inverse=True)
     terms, column = np.unique(weights["term"].to_numpy(dtype=object), return_inverse=True)
-    matrix = np.zeros((len(terms), len(asks)))
-    matrix[column, row] = weights["weight"]
-    place = chunks.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, matrix))
+    order = np.lexsort((column, row // _COLUMNS))
+    held = _Weights({t: i for i, t in enumerate(terms)}, asks, row[order], column[order], weights["weight"].to_numpy()[order])
+    if scope is not None:
+        own = limits.toPandas().set_index(query)
+        held.only, held.never = ([own[c].get(a) for a in asks] for c in _LIMITS)
+    place = chunks.sparkSession.sparkContext.broadcast(held)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, by_term = place.value
         for pdf in batches:
             for lo in range(0, len(pdf) if len(asks) else 0, _ROWS):
                 part = pdf.iloc[lo : lo + _ROWS]
-                tf = np.zeros((len(part), len(known)))
-                for i, words in enumerate(part["terms"]):
-                    for t, n in Counter(words).items():
-                        if (at := known.get(t)) is not None:
-                            tf[i, at] = n
-                size = part["terms"].map(len).to_numpy(dtype=float)
-                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)[:, None])
-                yield _top(tf @ by_term, part["key"].to_numpy(), asks, k, 0.0)
+                yield from place.value.best(part, average, k)
 
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query, queries), (key, chunks))}
-    rows = chunks.select(F.col(key).alias("key"), tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    group = F.lit(None).cast("string") if scope is None else F.col(scope.group).cast("string")
+    rows = chunks.select(F.col(key).alias("key"), group.alias("group"), tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
     found = rows.mapInPandas(score, f"query {kinds[query]}, key {kinds[key]}, score double")
     return _ranked(found.select(F.col("query").alias(query), F.col("key").alias(key), "score"), query, key, k)
 
 
+class _Weights:
+    """Sparse weights of query terms, in lots of ``_COLUMNS`` queries, by term within a lot."""
+
+    def __init__(self, known: dict, asks: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.known, self.asks, self.only, self.never = known, asks, None, None
+        self.row, self.term, self.weight = row, term, weight
+        self.cuts = np.searchsorted(row // _COLUMNS, np.arange(-(-len(asks) // _COLUMNS) + 1))
+
+    def best(self, part: pd.DataFrame, average: float, k: int) -> Iterator[pd.DataFrame]:
+        doc, term, tf = [], [], []
+        for i, words in enumerate(part["terms"]):
+            for t, n in Counter(words).items():
+                if (at := self.known.get(t)) is not None:
+                    doc.append(i)
+                    term.append(at)
+                    tf.append(n)
+        doc, term, tf = np.array(doc, np.int64), np.array(term, np.int64), np.array(tf, float)
+        size = part["terms"].map(len).to_numpy(dtype=float)
+        tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average)[doc])
+        for lot, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:])):
+            asks = self.asks[lot * _COLUMNS : (lot + 1) * _COLUMNS]
+            begin, end = (lo + np.searchsorted(self.term[lo:hi], term, side) for side in ("left", "right"))
+            count = end - begin
+            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            cell = np.repeat(doc, count) * len(asks) + self.row[at] - lot * _COLUMNS
+            scores = np.bincount(cell, np.repeat(tf, count) * self.weight[at], len(part) * len(asks)).reshape(len(part), -1)
+            if self.only is not None:
+                mine = slice(lot * _COLUMNS, (lot + 1) * _COLUMNS)
+                scores[~_allowed(part["group"], self.only[mine], self.never[mine])] = 0.0
+            yield _top(scores, part["key"].to_numpy(), asks, k, 0.0)
+
+
 def _top(scores: np.ndarray, keys: np.ndarray, asks: np.ndarray, k: int, above: float) -> pd.DataFrame:
     """The ``k`` best rows a column, with all that tie with the last; ``scores`` is rows x queries."""
     if len(keys) > k:
@@ -120,28 +210,32 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Column | None = None, most: int = MOST_WEIGHTS) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Column | Scope | None = None, most: int = MOST_WEIGHTS) -> DataFrame:
     """``query_id, vec_id, label, score, rank``: exact cosine; the scope filters before the cut.
 
-    Queries (``vec_id, embedding``) of at most ``most`` numbers go to the tasks, and every batch of
+    ``scope`` is a condition for all queries, or a :class:`Scope` (its table by ``query_id``).  Queries
+    (``vec_id, embedding``) of at most ``most`` numbers go to the tasks, and every batch of
     vectors is compared by one product; more of them meet the vectors in tiles of blocks.  Either
     way a product sends its ``k`` best a query.  A query isn't its own answer; vectors that are
     null, of norm zero or of another length than the query's take no part.
     """
-    base = vectors if scope is None else vectors.where(scope)
-    asks = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
-    rows = base.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    counted = asks.agg(F.count("*").alias("n"), F.sum(F.size("q")).alias("numbers")).first()
+    each = scope if isinstance(scope, Scope) else None
+    base = vectors if scope is None or each else vectors.where(scope)
+    asks = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec")).where("vec is not null")
+    asks = resolved_scope(asks, "query_id", each).select(F.col("query_id").alias("id"), "vec", *_LIMITS)
+    group = F.col(each.group).cast("string") if each else F.lit(None).cast("string")
+    rows = base.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), group.alias("group")).where("vec is not null")
+    size = F.size("vec") + F.coalesce(F.greatest(F.size("only"), F.size("never"), F.lit(0)), F.lit(0))
+    counted = asks.agg(F.count("*").alias("n"), F.sum(size).alias("numbers")).first()
     schema = "query long, key long, score double"
     if (counted["numbers"] or 0) > most:
-        ids = lambda df, i, v: df.select(F.col(i).alias("id"), F.col(v).alias("vec"))
-        found = tiled(ids(asks, "query_id", "q"), ids(rows, "vec_id", "v"), lambda q, v: _nearest(_by_length(q, "id", "vec"), v, "id", "vec", k), schema, counted["n"], rows.count())
+        found = tiled(asks, rows, lambda q, v: _nearest(_by_length(q, _LIMITS), v, k), schema, counted["n"], rows.count())
     else:
-        held = vectors.sparkSession.sparkContext.broadcast(_by_length(asks.toPandas(), "query_id", "q"))
+        held = vectors.sparkSession.sparkContext.broadcast(_by_length(asks.toPandas(), _LIMITS))
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield _nearest(held.value, pdf, "vec_id", "v", k)
+                yield _nearest(held.value, pdf, k)
 
         found = rows.mapInPandas(nearest, schema)
     ranked = _ranked(found.select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), "score"), "query_id", "vec_id", k)
@@ -149,27 +243,27 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, scope: Colum
     return ranked.join(base.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "score", "rank")
 
 
-def _nearest(asked: dict, pdf: pd.DataFrame, key: str, vector: str, k: int) -> pd.DataFrame:
+def _nearest(asked: dict, pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     """The best rows of ``pdf`` for queries by length."""
     parts = [pd.DataFrame({"query": [], "key": [], "score": []})]
-    for n, (ids, x) in _by_length(pdf, key, vector).items():
+    for n, (ids, x, (groups,)) in _by_length(pdf, ("group",)).items():
         if n in asked:
-            mine, q = asked[n]
+            mine, q, (only, never) = asked[n]
             s = x @ q.T
-            s[ids[:, None] == mine[None, :]] = -2
+            s[(ids[:, None] == mine[None, :]) | ~_allowed(groups, only, never)] = -2
             parts.append(_top(s, ids, mine, k, -1.5))
     return pd.concat(parts[1:]) if len(parts) > 1 else parts[0]
 
 
-def _by_length(pdf: pd.DataFrame, key: str, vector: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors by vector length; vectors of norm zero, or without a norm, are left out."""
+def _by_length(pdf: pd.DataFrame, others: tuple[str, ...]) -> dict[int, tuple[np.ndarray, np.ndarray, list]]:
+    """Ids, unit vectors and other columns by vector length; vectors of norm zero, or without a norm, are left out."""
     out = {}
-    for n, part in pdf.groupby(pdf[vector].map(len)):
-        x = np.stack([np.asarray(v, dtype=float) for v in part[vector]])
+    for n, part in pdf.groupby(pdf["vec"].map(len)):
+        x = np.stack([np.asarray(v, dtype=float) for v in part["vec"]])
         norm = np.sqrt((x * x).sum(1))
         good = (norm > 0) & np.isfinite(norm)
         if good.any():
-            out[n] = part[key].to_numpy()[good], x[good] / norm[good, None]
+            out[n] = part["id"].to_numpy()[good], x[good] / norm[good, None], [[v for v, g in zip(part[c], good) if g] for c in others]
     return out
 
 
@@ -358,3 +452,19 @@ def first_keyword_match(texts: DataFrame, keywords: DataFrame, key: tuple[str, .
     held = met.join(rows.select("h1", "h2", "low").distinct(), ["h1", "h2"]).where(F.col("low").contains(F.col("word")))
     first = held.groupBy("h1", "h2").agg(F.min(F.struct("priority", "name"))["name"].alias("match"))
     return rows.join(first, ["h1", "h2"], "left").select(*key, F.coalesce("match", F.lit(default)).alias("match"))
+
+
+def retrieve_context(chunks: DataFrame, dense: DataFrame, keyword: DataFrame, query: str, per_document: int = 2, k: int = 5, gap: float | None = None, radius: int = 1, lite: bool = False) -> DataFrame:
+    """``query, context``: both rankings fused, ``per_document`` chunks of a document, ``k`` in all; then what is near the best, with its neighbours.
+
+    ``chunks`` has ``document_id, chunk_index, chunk_id, text, title, source_url``; ``dense`` and ``keyword``
+    rank ``chunk_id``, with each query's scope applied before their cut.  ``lite`` leaves out the gap
+    and the neighbours.  Chunks keep their whole text.
+    """
+    fused = rrf_fuse(dense, keyword, query, "chunk_id").join(chunks.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+    hits = diverse_filter(fused, query, "document_id", per_document, k)
+    if gap is not None and not lite:
+        hits = relevance_gap_filter(hits, query, gap, 1)
+    blocks = merge_hits(hits, chunks, 0 if lite else radius, (query, "rank"))
+    heads = chunks.select("document_id", "chunk_index", "chunk_id", "title", "source_url")
+    return format_context(blocks.join(heads, ["document_id", "chunk_index"]).withColumnRenamed("block", "text"), query)

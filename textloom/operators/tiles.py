@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +12,14 @@ BLOCK = 1024  # rows of a block, about
 
 
 def _blocks(rows: DataFrame, side: str, n: int) -> DataFrame:
-    """Rows (``id, vec``) packed into ``n`` blocks, dealt by the row's own number, so that repeated rows spread."""
+    """Rows packed into ``n`` blocks, dealt by the row's own number, so that repeated rows spread."""
     at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    packed = rows.select(at.alias(f"{side}_block"), F.struct("id", "vec").alias("row")).groupBy(f"{side}_block").agg(F.collect_list("row").alias(f"{side}_rows"))
-    return packed.withColumn(f"{side}_rows", F.struct(F.col(f"{side}_rows.id").alias("id"), F.col(f"{side}_rows.vec").alias("vec")))
+    packed = rows.select(at.alias(f"{side}_block"), F.struct(*rows.columns).alias("row")).groupBy(f"{side}_block").agg(F.collect_list("row").alias(f"{side}_rows"))
+    return packed.withColumn(f"{side}_rows", F.struct(*[F.col(f"{side}_rows.{c}").alias(c) for c in rows.columns]))
 
 
 def tiled(asks: DataFrame, rows: DataFrame, best: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, asked: int, stored: int) -> DataFrame:
-    """What ``best`` gives for each pair of blocks; ``asks`` and ``rows`` have ``id, vec``, ``asked`` and ``stored`` say how many.
+    """What ``best`` gives for each pair of blocks; ``asked`` and ``stored`` say how many rows there are.
 
     The join is by the numbers of both blocks, so each tile is a key of its own, and a block of
     the one side is read once for a whole block of the other.
@@ -41,4 +40,4 @@ def tiled(asks: DataFrame, rows: DataFrame, best: Callable[[pd.DataFrame, pd.Dat
 
 
 def _frame(block) -> pd.DataFrame:
-    return pd.DataFrame({"id": np.asarray(block["id"]), "vec": list(block["vec"])})
+    return pd.DataFrame({c: list(block[c]) for c in (block if isinstance(block, dict) else block.asDict())})

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import blocks as B
+from textloom.operators import index as X
 from textloom.operators import metering as M
 from textloom.operators import pages as P
 from textloom.operators import retrieval as R
 from textloom.operators import structure as S
 from textloom.operators import traces as A
+from textloom.sources import folders
+from textloom.sources.snapshots import ChunkStore
 from textloom.streaming import jobs as J
 
 
@@ -65,16 +68,44 @@ def _titled(spark, sf_dir):
     return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("source", F.lit("")).alias("title"))
 
 
-def retrieve_context(spark, sf_dir, default_exclude=("src0",)):
-    """Scope, both rankings, fusion, diversity by source, then numbered blocks: the funnel without a reranker."""
-    docs = _table(spark, sf_dir, "documents").where(~F.lower(F.trim(F.coalesce("source", F.lit("")))).isin(*default_exclude))
-    keyword = _keyword(spark, sf_dir, 30).join(docs.select("doc_id"), "doc_id", "left_semi")
-    dense = _dense(spark, sf_dir, 30).join(docs.select("doc_id"), "doc_id", "left_semi")
-    found = R.hybrid_retrieve(dense, keyword, docs, "item_id", "doc_id", "source", 2, 5)
-    # Few rows are left: only they meet the texts.
-    rows = R.hydrate_hits(found, docs.select("doc_id", F.substring("text", 1, 200).alias("text"), F.col("source").alias("title")), "doc_id")
-    rows = rows.select("item_id", "rank", "title", F.lit("").alias("source_url"), F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.array().cast("array<string>").alias("chunk_ids"), "text")
-    return R.format_context(R.context_cap(rows, 5, "item_id"), "item_id")
+#: The scopes that questions get by turns: include, exclude.  Null excludes mean the default.
+SCOPES = ((("src1", " src2 ", ""), None), ((), ()), (None, ("src3", " ")), (None, None))
+DEFAULT_EXCLUDE = ("src0", "src5")
+
+
+def _scope(spark, sf_dir, query):
+    kind = lambda names: F.lit(None).cast("array<string>") if names is None else F.array(*map(F.lit, names)).cast("array<string>")
+    table, turn = _table(spark, sf_dir, "benchmark"), F.col("item_id") % len(SCOPES)
+    pick = lambda i: F.coalesce(*[F.when(turn == n, kind(s[i])) for n, s in enumerate(SCOPES)])
+    return R.Scope(table.select(F.col("item_id").alias(query), pick(0).alias("include"), pick(1).alias("exclude")), "source", DEFAULT_EXCLUDE)
+
+
+def _sourced(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+
+
+def _scoped_keyword(spark, sf_dir, k=10):
+    """Chunks of every question, within its scope."""
+    docs = _table(spark, sf_dir, "documents")
+    chunks = _chunks(spark, sf_dir).join(docs.select(F.col("doc_id").cast("string").alias("document_id"), "source"), "document_id")
+    return R.bm25_topk(chunks, "chunk_id", _table(spark, sf_dir, "benchmark"), "item_id", k, scope=_scope(spark, sf_dir, "item_id"))
+
+
+def _scoped_dense(spark, sf_dir, k=10, most=R.MOST_WEIGHTS):
+    """Documents of every question by their vectors, within its scope."""
+    vectors = _table(spark, sf_dir, "embeddings").join(_sourced(spark, sf_dir), "vec_id")
+    asks = _table(spark, sf_dir, "embeddings").join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return R.dense_topk(vectors, asks, k, _scope(spark, sf_dir, "query_id"), most).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+def retrieve_context(spark, sf_dir, lite=False):
+    """The funnel without a reranker: scopes before the cuts, both rankings (a document's vector is its first chunk's), fusion, two chunks a document, the gap, neighbours, numbered blocks."""
+    docs = _table(spark, sf_dir, "documents")
+    titled = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("title"), F.lit("").alias("source_url"))
+    chunks = _chunks(spark, sf_dir).join(titled, "document_id")
+    dense = _scoped_dense(spark, sf_dir).select("item_id", F.concat(F.col("doc_id").cast("string"), F.lit("__chunk_0")).alias("chunk_id"), "score", "rank")
+    found = R.retrieve_context(chunks, dense, _scoped_keyword(spark, sf_dir), "item_id", 2, 5, 0.0123, 1, lite)
+    return found.select("item_id", F.md5("context").alias("digest"), F.length("context").alias("characters"))
 
 
 def _golden(spark, sf_dir):
@@ -287,10 +318,34 @@ def trace_checks(spark, sf_dir):
     return M.trace_checks(rows, "The", 500)
 
 
+def _indexed(spark, sf_dir):
+    """A written index of all documents, in the session's shared folder."""
+    path = folders.scratch(spark, "index")
+    X.build_index(_table(spark, sf_dir, "documents"), "doc_id", path)
+    return path
+
+
 def build_chunk_index(spark, sf_dir):
-    """Chunks of every document and what an index of them holds."""
-    chunks = _chunks(spark, sf_dir)
-    return chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"), F.max("chunk_index").alias("last_index"))
+    """Chunks of every document, written as an index twice: what it holds by bucket of terms, and the stored count before and after."""
+    path, chunks = folders.scratch(spark, "index"), _chunks(spark, sf_dir)
+    first, again = X.build_index(chunks, "chunk_id", path), X.build_index(chunks, "chunk_id", path)
+    postings = spark.read.parquet(f"{path}/postings/version={X.current(spark, path)['version']}")
+    rows = postings.groupBy(F.substring("term", 1, 1).alias("letter")).agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"), F.round(F.max("best"), 6).alias("best"))
+    return rows.withColumns({"stored_before": F.lit(first["stored_before"]).cast("long"), "stored_again": F.lit(again["stored_before"]).cast("long"), "chunks": F.lit(again["documents"]).cast("long")})
+
+
+def index_topk(spark, sf_dir):
+    return _scores(X.index_topk(spark, _indexed(spark, sf_dir), _table(spark, sf_dir, "benchmark"), "item_id", "doc_id"))
+
+
+def replace_document_chunks(spark, sf_dir):
+    """A store of chunks: all documents, then shorter versions of the labelled low-quality ones, the same again, and toxic ones taken away."""
+    store = ChunkStore(spark, folders.scratch(spark, "chunks"))
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    shorter = docs.join(labels.where("quality = 0"), "doc_id", "left_semi").withColumn("text", F.substring("text", 1, 300))
+    versions = [store.replace(docs, R.fixed_chunk), store.replace(shorter, R.fixed_chunk), store.replace(shorter, R.fixed_chunk), store.delete(labels.where("toxic = 1").select("doc_id"))]
+    rows = store.chunks().groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").alias("last_index"), F.sum(F.length("text")).alias("characters"))
+    return rows.withColumn("versions", F.lit(",".join(map(str, versions))))
 
 
 def text_similarity(spark, sf_dir):
@@ -305,7 +360,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_retrieve": lambda s, d: R.hybrid_retrieve(_dense(s, d), _keyword(s, d), _table(s, d, "documents"), "item_id", "doc_id", "source").select("item_id", "doc_id", "source", "rank"),
     "diverse_dense_retrieve": lambda s, d: R.diverse_filter(_dense(s, d, 20), "item_id", "label", 1, 5).select("item_id", "doc_id", "label", "rank"),
     "debug_rankings": lambda s, d: R.debug_rankings(_dense(s, d), _keyword(s, d), "item_id", "doc_id", 5).withColumn("score", F.round("score", 6)),
-    "retrieve_context": lambda s, d: retrieve_context(s, d),
+    "retrieve_context": retrieve_context,
+    "retrieve_context_lite": lambda s, d: retrieve_context(s, d, True),
+    "scoped_keyword": lambda s, d: _scores(_scoped_keyword(s, d, 5)),
+    "scoped_dense": lambda s, d: _scores(_scoped_dense(s, d, 5)),
     "golden_eval": golden_eval,
     "eval_averages": eval_averages,
     "query_chunk_cross": query_chunk_cross,
@@ -360,6 +418,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trace_checks": trace_checks,
     "request_rate": _over("events", lambda t: A.request_rate(t, "user_id", "ts", "event_id", 86400)),
     "build_chunk_index": build_chunk_index,
+    "index_topk": index_topk,
+    "replace_document_chunks": replace_document_chunks,
 }
 
 # ---- the same in DuckDB's SQL
@@ -376,19 +436,19 @@ def _cosine(a, b):
 _ASK = "SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)"
 
 
-def _dn(k, name="dn"):
+def _dn(k, name="dn", where=""):
     return f"""{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank
-FROM (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, e.label, {_cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e JOIN ({_ASK}) q ON e.vec_id <> q.vec_id)) WHERE rank <= {k})"""
+FROM (SELECT q.vec_id AS item_id, e.vec_id AS doc_id, e.label, {_cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e JOIN ({_ASK}) q ON e.vec_id <> q.vec_id {where})) WHERE rank <= {k})"""
 
 
-def _kw(k, source="documents", key="doc_id", name="kw"):
+def _kw(k, source="documents", key="doc_id", name="kw", where=""):
     return f"""kd AS (SELECT {key} AS key, {_TOKENS} AS ws FROM {source}), kx AS (SELECT key, len(ws) AS n, unnest(ws) AS term FROM kd),
 ktf AS (SELECT key, n, term, count(*) AS tf FROM kx GROUP BY ALL), kg AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM kd),
 kdf AS (SELECT term, ln(n_docs - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM ktf, kg GROUP BY term, n_docs),
 ki AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM kdf) ELSE raw END AS idf FROM kdf),
 kq AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 ks AS (SELECT item_id, key, sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * n / mean)))) AS score FROM kq JOIN ki USING (term) JOIN ktf USING (term), kg GROUP BY ALL),
-{name} AS (SELECT item_id, key AS {key}, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, key) AS INT) AS rank FROM ks WHERE score > 0) WHERE rank <= {k})"""
+{name} AS (SELECT item_id, key AS {key}, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, key) AS INT) AS rank FROM ks WHERE score > 0 {where}) WHERE rank <= {k})"""
 
 
 def _rrf(dense="dn", keyword="kw"):
@@ -431,15 +491,39 @@ _CODE = "CAST(p_size AS VARCHAR) || '.' || upper(substr(p_type, 1, 2)) || '.' ||
 _FOUND = r"regexp_extract_all(lower(coalesce(text, '')), '[a-záéíóúüñ'']+')"
 _QUESTION = "CASE " + " ".join("WHEN regexp_matches(trim(coalesce(text, ''), ' '), '(?i)" + p.replace("'", "''") + f"') THEN '{n}'" for n, p in T.QUESTION_RULES) + " ELSE 'general' END"
 
+_NAMES = lambda names: "[" + ", ".join(f"'{n.strip()}'" for n in names if n.strip()) + "]"
+_SCOPES = "al AS (SELECT item_id, doc_id FROM benchmark, (SELECT doc_id, coalesce(source, '') AS s FROM documents) WHERE CASE item_id % 4 " + " ".join(
+    f"WHEN {n} THEN " + (f"list_contains({_NAMES(i)}, s)" if i else f"NOT list_contains({_NAMES(DEFAULT_EXCLUDE if e is None else e)}::VARCHAR[], s)") for n, (i, e) in enumerate(SCOPES)
+) + " END)"
+_KEYWORD_SCOPE = "AND (item_id, split_part(key, '__', 1)) IN (SELECT (item_id, CAST(doc_id AS VARCHAR)) FROM al)"
+_DENSE_SCOPE = "AND (q.vec_id, e.vec_id) IN (SELECT (item_id, doc_id) FROM al)"
+
+
+def _context(kept, radius):
+    dense = _dn(10, "dd", _DENSE_SCOPE) + ", dn AS (SELECT item_id, doc_id || '__chunk_0' AS doc_id, rank FROM dd)"
+    keyword = _kw(10, "c", "chunk_id", "kk", _KEYWORD_SCOPE) + ", kw AS (SELECT item_id, chunk_id AS doc_id, rank FROM kk)"
+    return f"""WITH {_CHUNKS}, {_SCOPES}, {dense}, {keyword}, {_rrf()}, s AS (SELECT fu.*, split_part(doc_id, '__', 1) AS document FROM fu JOIN c ON c.chunk_id = fu.doc_id), {_diverse('s', 'document', 2, 5)},
+w AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM dv) WHERE {kept}),
+h AS (SELECT item_id, rank, c.* FROM w JOIN c ON c.chunk_id = w.doc_id),
+m AS (SELECT h.item_id, h.rank, h.document_id, n.chunk_index, n.chunk_id, trim(n.text, ' ') AS t FROM h JOIN c n ON n.document_id = h.document_id AND abs(n.chunk_index - h.chunk_index) <= {radius}
+WHERE trim(n.text, ' ') <> '' OR n.chunk_index = h.chunk_index),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id, rank, t ORDER BY chunk_index) AS copy FROM m),
+b AS (SELECT item_id, rank, document_id, string_agg(chunk_id, ', ' ORDER BY chunk_index) AS ids, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY chunk_index) FILTER (copy = 1 AND t <> ''), '') AS block FROM o GROUP BY ALL),
+f AS (SELECT b.*, d.source, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS n FROM b JOIN documents d ON CAST(d.doc_id AS VARCHAR) = b.document_id),
+g AS (SELECT item_id, string_agg('[' || n || '] title: ' || coalesce(source, '') || ' | document_id: ' || document_id || ' | chunk_id: ' || ids || chr(10) || block, chr(10) || chr(10) ORDER BY n) AS context FROM f GROUP BY item_id)
+SELECT item_id, md5(context) AS digest, CAST(length(context) AS INT) AS characters FROM g"""
+
+
 SQL: dict[str, str] = {
     "rrf_fuse": f"WITH {_dn(10)}, {_kw(10)}, {_rrf()} SELECT item_id, doc_id, round(score, 9) AS score, rank FROM fu",
     "hybrid_retrieve": f"WITH {_dn(10)}, {_kw(10)}, {_rrf()}, s AS (SELECT fu.*, d.source FROM fu JOIN documents d USING (doc_id)), {_diverse('s', 'source', 2, 5)} SELECT item_id, doc_id, source, rank FROM dv",
     "diverse_dense_retrieve": f"WITH {_dn(20)}, {_diverse('dn', 'label', 1, 5)} SELECT item_id, doc_id, label, rank FROM dv",
     "debug_rankings": f"""WITH {_dn(10)}, {_kw(10)}, {_rrf()}, u AS (SELECT item_id, 'dense' AS list, rank, doc_id, score FROM dn UNION ALL SELECT item_id, 'keyword', rank, doc_id, score FROM kw UNION ALL SELECT item_id, 'fused', rank, doc_id, score FROM fu)
 SELECT item_id, list, rank, doc_id, round(score, 6) AS score FROM u WHERE rank <= 5""",
-    "retrieve_context": f"""WITH {_dn(30, 'dn0')}, {_kw(30, name='kw0')}, dn AS (SELECT * FROM dn0 WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(trim(coalesce(source, ''))) <> 'src0')),
-kw AS (SELECT * FROM kw0 WHERE doc_id IN (SELECT doc_id FROM documents WHERE lower(trim(coalesce(source, ''))) <> 'src0')), {_rrf()}, s AS (SELECT fu.*, d.source, d.text FROM fu JOIN documents d USING (doc_id)), {_diverse('s', 'source', 2, 5)}
-SELECT item_id, string_agg('[' || rank || '] title: ' || coalesce(source, '') || ' | document_id: ' || doc_id || ' | chunk_id: ' || doc_id || chr(10) || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM dv GROUP BY item_id""",
+    "scoped_keyword": f"WITH {_CHUNKS}, {_SCOPES}, {_kw(5, 'c', 'chunk_id', where=_KEYWORD_SCOPE)} SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM kw",
+    "scoped_dense": f"WITH {_SCOPES}, {_dn(5, where=_DENSE_SCOPE)} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM dn",
+    "retrieve_context": _context("best - score <= 0.0123 OR rank = 1", 1),
+    "retrieve_context_lite": _context("true", 0),
     "golden_eval": f"WITH {_GOLD} SELECT * FROM g",
     "eval_averages": f"WITH {_GOLD} SELECT count(*) AS questions, coalesce(round(avg(CAST(hit AS INT)), 4), 0.0) AS hit_rate, round(avg(len(string_split(retrieved, ','))), 4) AS mean_found FROM g",
     "query_chunk_cross": f"""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM
@@ -507,5 +591,12 @@ SELECT conv_id, turn, reason = '' AS accepted, reason FROM r""",
 c AS (SELECT trace_id, true AS used_tool, (NOT web AND NOT long AND n <= 0) OR regexp_matches(answer, '\[[^\]]+\]\([^)]+\)') AS citation_present, web = starts_with(answer, 'The') AS fallback_banner, NOT long AS outcome_appropriate, length(answer) <= 500 AS length_budget FROM t)
 SELECT *, used_tool AND citation_present AND fallback_banner AND outcome_appropriate AND length_budget AS passed FROM c""",
     "request_rate": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS requests FROM events",
-    "build_chunk_index": f"WITH {_CHUNKS} SELECT document_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters, max(chunk_index) AS last_index FROM c GROUP BY document_id",
+    "build_chunk_index": f"""WITH {_CHUNKS}, d AS (SELECT chunk_id, {_TOKENS} AS ws FROM c), g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d), x AS (SELECT chunk_id, len(ws) AS n, unnest(ws) AS term FROM d),
+t AS (SELECT chunk_id, term, n, count(*) AS tf FROM x GROUP BY ALL)
+SELECT left(term, 1) AS letter, count(DISTINCT term) AS terms, count(*) AS postings, round(max(tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25 + 0.75::DOUBLE * t.n / mean))), 6) AS best,
+CAST(0 AS BIGINT) AS stored_before, any_value(g.n) AS stored_again, any_value(g.n) AS chunks FROM t, g GROUP BY left(term, 1)""",
+    "index_topk": f"WITH {_kw(10)} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM kw",
+    "replace_document_chunks": """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN left(text, 300) ELSE text END AS text FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), c AS (SELECT document_id, CAST(ceil(length(text) / 500.0) AS BIGINT) AS chunks, length(text) AS characters FROM t WHERE text <> '')
+SELECT document_id, chunks, CAST(chunks - 1 AS INT) AS last_index, characters, '1,2,2,3' AS versions FROM c""",
 }

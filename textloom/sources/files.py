@@ -14,15 +14,16 @@ _DOCUMENT = "document_id string, title string, source_url string, text string"
 def parse_front_matter(text: Column) -> tuple[Column, Column]:
     """Fields and body: a leading ``---`` block as a map (last key wins), and what follows it.
 
-    Lines without a colon are left out; an unclosed block gives an empty map and the whole text.
+    Values lose the quotes around them, the body its blank ends.  Lines without a colon are left out; an unclosed block gives an empty map and the whole text.
     """
     block = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|$)(.*)$"
     closed = text.rlike(block)
+    unquoted = lambda v: F.regexp_replace(F.trim(v), r"""^["']+|["']+$""", "")
     lines = F.filter(F.split(F.regexp_extract(text, block, 1), r"\r?\n"), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring(x, F.lit(1), F.instr(x, ":") - 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring(x, F.lit(1), F.instr(x, ":") - 1)).alias("k"), unquoted(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     fields = F.when(closed, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
-    return fields, F.when(closed, F.regexp_extract(text, block, 2)).otherwise(text)
+    return fields, F.when(closed, F.regexp_replace(F.regexp_extract(text, block, 2), r"^\s+|\s+$", "")).otherwise(text)
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -63,9 +64,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parse_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """``url, lastmod`` of a sitemap; where a url repeats, the greater ``lastmod`` stays."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-    return rows.where(F.trim("loc") != "").groupBy(F.trim("loc").alias("url")).agg(F.max("lastmod").alias("lastmod"))
+    """``url, lastmod`` of sitemaps; where a url repeats, its last entry stays (files in order of their paths).
+
+    A file without ``<url>`` entries gives its bare ``<loc>`` ones, with no date.  A sitemap file is
+    small (the protocol allows 50 MB), so each is read whole and its entries are numbered.
+    """
+    inner = lambda tag: rf"(?s)<(?:\w+:)?{tag}\s*>(.*?)</(?:\w+:)?{tag}\s*>"
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("xml"))
+    entries = F.regexp_extract_all("xml", F.lit(inner("url")), F.lit(1))
+    bare = F.transform(F.regexp_extract_all("xml", F.lit(inner("loc")), F.lit(1)), lambda x: F.concat(F.lit("<loc>"), x, F.lit("</loc>")))
+    rows = files.select("file", F.posexplode(F.when(F.size(entries) > 0, entries).otherwise(bare)).alias("at", "entry"))
+
+    def plain(tag):
+        out = F.regexp_extract("entry", inner(tag), 1)
+        for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(mark))
+        return F.nullif(F.regexp_replace(out, r"^\s+|\s+$", ""), F.lit(""))
+
+    rows = rows.select("file", "at", plain("loc").alias("url"), plain("lastmod").alias("lastmod")).where("url is not null")
+    return rows.groupBy("url").agg(F.max_by("lastmod", F.struct("file", "at")).alias("lastmod"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
