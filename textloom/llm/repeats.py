@@ -105,9 +105,9 @@ class Repeats:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, windows: Windows, keep_first: bool, most_bits: int = 27):
         self.windows, self.keep_first, self.most_bits, self.spark = windows, keep_first, most_bits, docs.sparkSession
         small_batches(self.spark)
-        self.rows, self.shift, volume = coded(docs, doc_id, text)
-        self.text = F.col("text")
-        self.slim = self.rows.select("code", F.xxhash64("code").alias("mark"), "text").where(F.octet_length("text") >= windows.length)
+        rows, self.shift, volume = coded(docs, doc_id, text)
+        self.rows, self.text = rows.select("row", "code"), F.col("row").getField(text)
+        self.slim = rows.select("code", F.xxhash64("code").alias("mark"), "text").where(F.octet_length("text") >= windows.length)
         per_token = 1 if windows.tokens == "bytes" else 6
         self.bits = sketches.fitting_bits(volume / per_token * 2 / (windows.length - windows.gram + 2), 16, most_bits)
 
