@@ -29,8 +29,15 @@ def fixed_chunk(docs: DataFrame, size: int = 500) -> DataFrame:
 
 
 def bm25_corpus_stats(chunks: DataFrame, key: str) -> DataFrame:
-    """``term, df``: document frequencies over the whole corpus."""
-    return chunks.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """``term, df, tf, n_docs, mean_length`` over the whole corpus: documents and occurrences of a term, number of documents and their mean length.
+
+    Documents are told apart by ``key``; null texts count as empty documents.
+    """
+    terms = chunks.select(key, tokenize(F.coalesce("text", F.lit(""))).alias("terms"))
+    whole = terms.agg(F.count("*").alias("n"), F.round(F.avg(F.size("terms")), 6).alias("mean"))
+    counted = terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counted = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return counted.select("term", "df", "tf", whole.select("n").scalar().alias("n_docs"), whole.select("mean").scalar().alias("mean_length"))
 
 
 def term_counts(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:

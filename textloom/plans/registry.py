@@ -101,7 +101,8 @@ _SQL: dict[str, str] = {
     "fixed_chunk": f"WITH {_C500} SELECT * FROM c",
     "assign_chunk_ids": f"WITH {_C200} SELECT document_id, chunk_index, chunk_id FROM c",
     "chunk_length_stats": f"WITH {_C500} SELECT round(avg(length(text)), 4) AS mean_length, CAST(min(length(text)) AS INT) AS least, CAST(max(length(text)) AS INT) AS most, count(*) AS n FROM c",
-    "bm25_corpus_stats": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_TOKENS})) AS term FROM documents) GROUP BY term",
+    "bm25_corpus_stats": f"""WITH d AS (SELECT doc_id, {_TOKENS.replace('text', "coalesce(text, '')")} AS ws FROM documents), g AS (SELECT count(*) AS n_docs, round(avg(len(ws)), 6) AS mean_length FROM d)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, any_value(n_docs) AS n_docs, any_value(mean_length) AS mean_length FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) GROUP BY ALL), g GROUP BY term""",
     "bm25_topk": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents), x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d),
 tf AS (SELECT doc_id, n, term, count(*) AS tf FROM x GROUP BY ALL), g AS (SELECT count(*) AS n_docs, avg(len(ws)) AS mean FROM d),
 df AS (SELECT term, ln(n_docs - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM tf, g GROUP BY term, n_docs),
