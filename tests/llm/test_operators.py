@@ -49,15 +49,16 @@ def test_ann_recall_and_ties(spark):
 def test_ann_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(40)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(4)] + [(200, [1.0])]
-    rows += [(0, [9.0] * 8), rows[1], rows[1]]
+    rows += [(0, [9.0] * 8), rows[1], rows[1], (None, rows[2][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann_search(df, F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert sorted(got) == [0, 100] and [r for r, _, _ in sorted(got[100])] == [1, 2, 3] and len(got[0]) == 5
-    one = min(rows[0][1], [9.0] * 8)
-    cos = {i: float(np.dot(one, v) / np.linalg.norm(one) / np.linalg.norm(v)) for i, v in rows[1:40]}
-    assert [j for _, j, _ in sorted(got[0])] == sorted(cos, key=lambda i: (-cos[i], i))[:5]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann_search(df, F.col("vec_id") % 50 == 0).collect())
+    cosine = lambda v, w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            others = [(-cosine(v, w), j) for b, (j, w) in enumerate(rows) if b != a and j is not None and len(w) == len(v)]
+            want += [(i, n + 1, j, round(-s, 9)) for n, (s, j) in enumerate(sorted(others)[:5])]
+    assert got == sorted(want) and {q for q, *_ in got} == {0, 100}
 
 
 def test_ann_cells_grow_with_the_corpus():

@@ -17,10 +17,13 @@ Equal vectors beyond the ``k + 1`` of smallest id can't be among the answers
 (ties go to the smaller id), so they stay out of the search.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part; vectors of different length are no candidates for each
-other; rows that share a ``vec_id`` count as one, the one of smallest vector (it asks
-if one of them does); fewer candidates than ``k`` give all of them; an empty table
-gives an empty table.
+components take no part, nor do rows without an id; vectors of different length are
+no candidates for each other.  Rows are told apart by a number of their own, so rows
+that share a ``vec_id`` all ask (each has its own ranks) and are all candidates, also
+for each other, and an id may come several times in one list; fewer candidates than
+``k`` give all of them; an empty table gives an empty table.  Other columns, whatever
+their names, are not read.  Within ``MOST_CELLS`` centroids an index that is broadcast
+takes 8 x width bytes for each: 201 MB at 768 doubles.
 """
 
 from __future__ import annotations
@@ -110,8 +113,8 @@ def _indexes(base: DataFrame) -> dict[int, Index]:
     for size, n in counts.items():
         most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * size)) // max(1, len(counts) // 4))
         share = min(1 << 40, -(-(most << 40) // n))
-        within = within | ((F.size("vec") == size) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share))
-    sample = base.where(within).toPandas().sort_values("id")
+        within = within | ((F.size("vec") == size) & (F.pmod("hash", F.lit(1 << 40)) < share))
+    sample = base.where(within).select("id", "vec", "hash").toPandas().sort_values(["id", "hash"])
     groups = sample.groupby(sample["vec"].map(len))["vec"]
     return {size: Index(unit(stacked(part)), int(np.clip(np.sqrt(counts[size]), 1, MOST_CELLS))) for size, part in groups}
 
@@ -119,11 +122,9 @@ def _indexes(base: DataFrame) -> dict[int, Index]:
 def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, rerank: int = RERANK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows where ``queries`` holds, their nearest others."""
     rows = doubles(vectors, vec_id, vector, F.coalesce(queries, F.lit(False)).alias("asks"))
-    if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        rows = rows.groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
-    rows = written(rows, "vectors")
-    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("copy") <= k + 1)
-    base = written(first.select("id", "vec"), "base")
+    rows = written(rows.withColumns({"row": F.monotonically_increasing_id(), "hash": F.xxhash64("id", "vec")}), "vectors")
+    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec").orderBy("id", "row"))).where(F.col("copy") <= k + 1)
+    base = written(first.select("row", "id", "hash", "vec"), "base")
     indexes = _indexes(base)
     if not indexes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -133,47 +134,48 @@ def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vect
         for pdf in batches:
             for size, part in pdf.groupby(pdf["vec"].map(len)):
                 cell, codes = shared.value[size].encode(unit(stacked(part["vec"])))
-                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "id": part["id"].to_numpy(), "codes": [c.tobytes() for c in codes], "vec": part["vec"].to_numpy()})
+                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "hash": part["hash"].to_numpy(), "codes": [c.tobytes() for c in codes], "vec": part["vec"].to_numpy()})
 
     def asked(batches):
         for pdf in batches:
             for size, part in pdf.groupby(pdf["vec"].map(len)):
                 index = shared.value[size]
                 cells = _nearest(unit(stacked(part["vec"])), index.coarse, index.probes)
-                yield pd.DataFrame({"size": size, "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cells": list(cells.astype(np.int32))})
+                yield pd.DataFrame({"size": size, "row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cells": list(cells.astype(np.int32))})
 
-    table = written(base.mapInPandas(coded, "size int, cell int, id long, codes binary, vec array<double>"), "index")
-    ask = written(rows.where("asks").select("id", "vec").mapInPandas(asked, "size int, id long, vec array<double>, cells array<int>"), "queries")
-    ask = ask.select("size", "id", "vec", F.explode("cells").alias("cell"))
+    table = written(base.mapInPandas(coded, "size int, cell int, row long, id long, hash long, codes binary, vec array<double>"), "index")
+    ask = written(rows.where("asks").select("row", "id", "vec").mapInPandas(asked, "size int, row long, id long, vec array<double>, cells array<int>"), "queries")
+    ask = ask.select("size", "row", "id", "vec", F.explode("cells").alias("cell"))
     # One row a cell: how many blocks its vectors and its queries make.
     cell = ["size", "cell"]
     n_rows = table.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
     n_asks = ask.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
     shape = written(n_rows.join(n_asks, cell), "cells")  # at most MOST_CELLS rows of four numbers a space: broadcast
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    table = table.join(F.broadcast(shape), cell).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts"))).withColumn("lot", every("asks"))
+    table = table.join(F.broadcast(shape), cell).withColumn("cut", F.pmod("hash", F.col("cuts"))).withColumn("lot", every("asks"))
     shape = shape.select(*cell, F.col("cuts").alias("q_cuts"), F.col("asks").alias("q_asks"))
-    ask = ask.join(F.broadcast(shape), cell).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("q_asks"))).withColumn("cut", every("q_cuts"))
+    ask = ask.join(F.broadcast(shape), cell).withColumn("lot", F.pmod(F.xxhash64("row"), F.col("q_asks"))).withColumn("cut", every("q_cuts"))
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
             index = shared.value[int(key[0])]
-            ids, qid, qv, xv = x["id"].to_numpy(), q["id"].to_numpy(), unit(stacked(q["vec"])), unit(stacked(x["vec"]))
+            ids, at, qid, qat = x["id"].to_numpy(), x["row"].to_numpy(), q["id"].to_numpy(), q["row"].to_numpy()
+            qv, xv = unit(stacked(q["vec"])), unit(stacked(x["vec"]))
             codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]])
             for lo in range(0, len(q), 256):
                 near = index.scores(qv[lo : lo + 256], int(key[1]), codes)
-                near[qid[lo : lo + 256, None] == ids[None, :]] = -np.inf
+                near[qat[lo : lo + 256, None] == at[None, :]] = -np.inf
                 kk = min(rerank, len(ids))
                 top = np.argpartition(-near, kk - 1, axis=1)[:, :kk]
                 for i, t in enumerate(top):
-                    t = t[ids[t] != qid[lo + i]]
+                    t = t[at[t] != qat[lo + i]]
                     s = xv[t] @ qv[lo + i]
                     best = np.lexsort((ids[t], -s))[: k + 8]
-                    out.append(pd.DataFrame({"query_id": qid[lo + i], "vec_id": ids[t][best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"row": qat[lo + i], "query_id": qid[lo + i], "vec_id": ids[t][best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
 
     group = [*cell, "lot", "cut"]
-    found = ask.groupBy(*group).cogroup(table.groupBy(*group)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = ask.groupBy(*group).cogroup(table.groupBy(*group)).applyInPandas(search, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,8 @@ Only the templates' terms, a fixed vocabulary, are counted and sent to tasks.
 Units that cannot reach the threshold fall to an upper bound, the squared weight
 that their terms can share with any template.
 
-Defined cases: null or empty text has no licence of its own; ties (to nine
+Defined cases: null or empty text has no licence of its own; very long texts are
+judged whole, unit by unit; ties (to nine
 digits) go to the licence first by name; of several licence files in a
 directory the first by path (then by licence) is inherited; rows without a path
 inherit nothing; repeated rows and paths are judged row by row; an empty table
@@ -140,14 +141,14 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", templ
 
     named = F.coalesce(F.element_at(F.split(at, "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     rows = rows.withColumns({"path": at, "named": named, "folder": F.regexp_replace(at, "/?[^/]*$", "")})
-    own = rows.withColumn("own", judged(body, F.col("named")))
+    own = written(rows.withColumn("own", judged(body, F.col("named"))), "own")  # texts are judged once, and read thrice at most
     given = own.where("named and own.name is not null").groupBy("folder").agg(F.min(F.struct("path", F.col("own.name").alias("license"))).alias("given"))
     given = written(given, "given")
 
     parts = F.split("wants", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     above = F.array_distinct(F.concat(F.array(F.lit("")), above))
-    folders = rows.where("folder is not null").select(F.col("folder").alias("wants")).distinct()
+    folders = own.where("folder is not null").select(F.col("folder").alias("wants")).distinct()
     near = folders.select("wants", F.explode(above).alias("folder")).join(given, "folder")
     heirs = near.groupBy("wants").agg(F.max_by("given", F.length("folder")).alias("given"))
     found = own.join(heirs, own["folder"] == heirs["wants"], "left")
