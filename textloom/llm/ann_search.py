@@ -7,11 +7,12 @@ what the sample can train, every coarse centroid is split by shared second-level
 centroids of the residuals.  ``probes`` is the least number of cells that reaches
 ``RECALL`` on some of the sample.
 
-Index: every vector gets its nearest cell and a code.  Cells are cut at random
-into blocks of about ``BLOCK`` rows, and so are a cell's queries, so no task
-holds a cell.  Search: a task adds up each query's distance tables over a block's
-codes, and reranks the best ``rerank`` by exact cosine on the original vectors;
-each task sends the ``k`` best a query.
+Index: every vector gets its nearest cell and a code.  Cells are numbered so that
+neighbours follow each other, and small ones share a bin of about ``BLOCK`` rows;
+bins of more rows are cut at random into blocks of that size, and so are a bin's
+queries, so no task holds a cell.  Search: in each of its cells a task adds up a
+query's distance tables over the codes and reranks the best ``rerank`` by exact
+cosine on the original vectors; over all cells of its block it sends about ``k`` a query.
 
 Equal vectors beyond the ``k + 1`` of smallest id can't be among the answers
 (ties go to the smaller id), so they stay out of the search.
@@ -74,6 +75,9 @@ class Index:
             rest = x - self.coarse[_nearest(x, self.coarse)[:, 0]]
             second = _kmeans(rest, -(-cells // first), rng)
             self.coarse = (self.coarse[:, None] + second[None]).reshape(-1, x.shape[1])
+        near = np.random.default_rng(seed + 1)
+        regions = _nearest(self.coarse, _kmeans(self.coarse, max(1, int(np.sqrt(len(self.coarse)))), near))[:, 0]
+        self.coarse = self.coarse[np.argsort(regions, kind="stable")]
         rest = x - self.coarse[_nearest(x, self.coarse)[:, 0]]
         m = min(SUBSPACES, x.shape[1])
         self.cuts = np.array_split(np.arange(x.shape[1]), m)
@@ -134,48 +138,76 @@ def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vect
         for pdf in batches:
             for size, part in pdf.groupby(pdf["vec"].map(len)):
                 cell, codes = shared.value[size].encode(unit(stacked(part["vec"])))
-                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "hash": part["hash"].to_numpy(), "codes": [c.tobytes() for c in codes], "vec": part["vec"].to_numpy()})
+                own = {c: part[c].to_numpy() for c in ("row", "id", "hash", "vec")}
+                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], **own})
+
+    table = written(base.mapInPandas(coded, "size int, cell int, codes binary, row long, id long, hash long, vec array<double>"), "index")
+    counts = {}  # one number a cell, of at most MOST_CELLS cells a space
+    for r in table.groupBy("size", "cell").count().collect():
+        counts.setdefault(r["size"], np.zeros(len(indexes[r["size"]].coarse), np.int64))[r["cell"]] = r["count"]
+    bins = {size: (np.cumsum(n) - n) // BLOCK for size, n in counts.items()}
+    placed = vectors.sparkSession.sparkContext.broadcast(bins)
 
     def asked(batches):
         for pdf in batches:
             for size, part in pdf.groupby(pdf["vec"].map(len)):
                 index = shared.value[size]
                 cells = _nearest(unit(stacked(part["vec"])), index.coarse, index.probes)
-                yield pd.DataFrame({"size": size, "row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "vec": part["vec"].to_numpy(), "cells": list(cells.astype(np.int32))})
-
-    table = written(base.mapInPandas(coded, "size int, cell int, row long, id long, hash long, codes binary, vec array<double>"), "index")
-    ask = written(rows.where("asks").select("row", "id", "vec").mapInPandas(asked, "size int, row long, id long, vec array<double>, cells array<int>"), "queries")
-    ask = ask.select("size", "row", "id", "vec", F.explode("cells").alias("cell"))
-    # One row a cell: how many blocks its vectors and its queries make.
-    cell = ["size", "cell"]
-    n_rows = table.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
-    n_asks = ask.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
-    shape = written(n_rows.join(n_asks, cell), "cells")  # at most MOST_CELLS rows of four numbers a space: broadcast
+                own = {c: part[c].to_numpy() for c in ("row", "id", "vec")}
+                yield pd.DataFrame({"size": size, **own, "cells": list(cells.astype(np.int32)), "bins": [np.unique(b) for b in placed.value[size][cells]]})
+
+    ask = written(rows.where("asks").select("row", "id", "vec").mapInPandas(asked, "size int, row long, id long, vec array<double>, cells array<int>, bins array<long>"), "queries")
+    ask = ask.select("size", "row", "id", "vec", "cells", F.explode("bins").alias("bin"))
+    cells = [(size, cell, int(b)) for size, of in bins.items() for cell, b in enumerate(of)]
+    cells = vectors.sparkSession.createDataFrame(cells, "size int, cell int, bin long")
+    table = table.join(F.broadcast(cells), ["size", "cell"])
+    # One row a bin, of which there are no more than cells: how many blocks its vectors and its queries make.
+    place = ["size", "bin"]
+    n_rows = table.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).alias("cuts"))
+    n_asks = ask.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).alias("asks"))
+    shape = written(n_rows.join(n_asks, place), "bins")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    table = table.join(F.broadcast(shape), cell).withColumn("cut", F.pmod("hash", F.col("cuts"))).withColumn("lot", every("asks"))
-    shape = shape.select(*cell, F.col("cuts").alias("q_cuts"), F.col("asks").alias("q_asks"))
-    ask = ask.join(F.broadcast(shape), cell).withColumn("lot", F.pmod(F.xxhash64("row"), F.col("q_asks"))).withColumn("cut", every("q_cuts"))
+    table = table.join(F.broadcast(shape), place).withColumn("cut", F.pmod("hash", F.col("cuts"))).withColumn("lot", every("asks"))
+    shape = shape.select(*place, F.col("cuts").alias("q_cuts"), F.col("asks").alias("q_asks"))
+    ask = ask.join(F.broadcast(shape), place).withColumn("lot", F.pmod(F.xxhash64("row"), F.col("q_asks"))).withColumn("cut", every("q_cuts"))
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(x):
-            index = shared.value[int(key[0])]
-            ids, at, qid, qat = x["id"].to_numpy(), x["row"].to_numpy(), q["id"].to_numpy(), q["row"].to_numpy()
-            qv, xv = unit(stacked(q["vec"])), unit(stacked(x["vec"]))
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]])
-            for lo in range(0, len(q), 256):
-                near = index.scores(qv[lo : lo + 256], int(key[1]), codes)
-                near[qat[lo : lo + 256, None] == at[None, :]] = -np.inf
-                kk = min(rerank, len(ids))
-                top = np.argpartition(-near, kk - 1, axis=1)[:, :kk]
-                for i, t in enumerate(top):
-                    t = t[at[t] != qat[lo + i]]
-                    s = xv[t] @ qv[lo + i]
-                    best = np.lexsort((ids[t], -s))[: k + 8]
-                    out.append(pd.DataFrame({"row": qat[lo + i], "query_id": qid[lo + i], "vec_id": ids[t][best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
-
-    group = [*cell, "lot", "cut"]
+        return _searched(shared.value[int(key[0])], q, x, k, rerank) if len(q) and len(x) else pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")})
+
+    group = [*place, "lot", "cut"]
     found = ask.groupBy(*group).cogroup(table.groupBy(*group)).applyInPandas(search, "row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
+    """The best rows of a block for each of its queries: ``rerank`` a cell by codes, then by exact cosine."""
+    x = x.sort_values("cell", kind="stable")
+    ids, at, qat = x["id"].to_numpy(), x["row"].to_numpy(), q["row"].to_numpy()
+    qv, xv = unit(stacked(q["vec"])), unit(stacked(x["vec"]))
+    codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]])
+    probed, step = np.stack(q["cells"].to_numpy()), max(1, _FLOATS // (8 * rerank * xv.shape[1]))
+    cells, begin = np.unique(x["cell"].to_numpy(), return_index=True)
+    out = []
+    for cell, lo, hi in zip(cells, begin, [*begin[1:], len(x)]):
+        mine = np.flatnonzero((probed == cell).any(1))
+        kk = min(rerank, hi - lo)
+        for some in (mine[i : i + step] for i in range(0, len(mine), step)):
+            near = index.scores(qv[some], int(cell), codes[lo:hi])
+            near[qat[some, None] == at[None, lo:hi]] = -np.inf
+            top = lo + np.argpartition(-near, kk - 1, axis=1)[:, :kk]
+            # Sums row by row: equal vectors get equal scores wherever they stand.
+            score = (xv[top] * qv[some][:, None]).sum(2)
+            score[at[top] == qat[some, None]] = -np.inf
+            best = np.lexsort((ids[top], -score), axis=1)[:, : k + 8]
+            out.append((np.repeat(some, best.shape[1]), np.take_along_axis(top, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()))
+    if not out:
+        return pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")})
+    ask, hit, score = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((ids[hit], -score, ask))
+    order = order[np.isfinite(score[order])]
+    ask, hit, score = ask[order], hit[order], score[order]
+    first = np.flatnonzero(np.r_[True, ask[1:] != ask[:-1]]) if len(ask) else np.zeros(0, int)
+    kept = np.arange(len(ask)) - np.repeat(first, np.diff([*first, len(ask)])) < k + 8
+    ask, hit = ask[kept], hit[kept]
+    return pd.DataFrame({"row": qat[ask], "query_id": q["id"].to_numpy()[ask], "vec_id": ids[hit], "score": score[kept]})
