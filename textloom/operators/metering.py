@@ -103,3 +103,27 @@ def trace_checks(traces: DataFrame, banner: str, budget: int = LENGTH_BUDGET) ->
     }
     found = traces.select("trace_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
     return found.withColumn("passed", F.expr(" and ".join(checks)))
+
+
+def token_cost(calls: DataFrame, prices: DataFrame, default: str, digits: int = 6) -> DataFrame:
+    """``calls`` with ``usd``, rounded: tokens at the prices per thousand of their model, else of the ``default`` model.
+
+    ``calls`` has ``model, prompt_tokens, completion_tokens``, ``prices`` a row a model with ``prompt_price,
+    completion_price``.  Missing tokens count as 0; without a price for the default, unknown models cost null.
+    """
+    price = F.struct("prompt_price", "completion_price")
+    usual = prices.where(F.col("model") == default).select(F.first(price)).scalar()
+    rows = calls.join(prices.select("model", price.alias("price")).dropDuplicates(["model"]), "model", "left").withColumn("price", F.coalesce("price", usual))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    usd = (n("prompt_tokens") * F.col("price.prompt_price") + n("completion_tokens") * F.col("price.completion_price")) / 1000
+    return rows.withColumn("usd", F.round(usd, digits)).drop("price")
+
+
+def failure_ids(rows: DataFrame, failure: str, key: str) -> DataFrame:
+    """``key, failure, n, place``: failed rows with the number of their failure and its place, most first, ties by name.
+
+    Ids stay rows, so a failure of a third of all rows makes no group in one task.
+    """
+    counts = rows.groupBy(failure).agg(F.count("*").alias("n"))
+    places = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), failure)))  # one row a kind of failure
+    return rows.select(key, failure).join(places, failure)

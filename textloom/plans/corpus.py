@@ -162,7 +162,7 @@ def lookup_chunks(spark, sf_dir):
 
 def hydrate_hits(spark, sf_dir):
     hits = _keyword(spark, sf_dir, 5).select("item_id", "doc_id", "rank", F.lit("own text").alias("text"), F.lit("own title").alias("title"))
-    stored = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.substring("text", 1, 50)).alias("text"), F.col("source").alias("title"))
+    stored = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("text"), F.col("source").alias("title"))
     return R.hydrate_hits(hits, stored, "doc_id")
 
 
@@ -478,6 +478,7 @@ _IN = lambda items: "(" + ", ".join("'" + i.replace("'", "''") + "'" for i in it
 _STRIP = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '[\\t\\n\\v\\f\\r ]+', ' ', 'g'), ' ')"
 _DIGEST = lambda x: f"md5(array_to_string({x}, chr(10)))"
 _PATH = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/')"
+SQL_SLUG = f"coalesce(nullif(regexp_replace(regexp_replace({_PATH}, '^/+|/+$|\\.html$', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), ''), 'index')"
 _LIVE = f"""l AS (SELECT page_id, url, {_STRIP('html')} AS body FROM pages),
 v AS (SELECT DISTINCT url, {_STRIP("regexp_extract(html, '<article>([^~]*)</article>', 1)")} AS body FROM pages WHERE url NOT LIKE '%?%'),
 w AS (SELECT l.page_id, l.url, v.url AS seen, {_WORDS('l.body')} AS a, {_WORDS("coalesce(v.body, '')")} AS b FROM l LEFT JOIN v ON v.url = l.url),
@@ -530,8 +531,8 @@ SELECT item_id, list, rank, doc_id, round(score, 6) AS score FROM u WHERE rank <
 (SELECT q.vec_id AS query_id, e.vec_id, {_cosine('e.embedding', 'q.embedding')} AS score FROM ({_ASK}) q JOIN embeddings e ON e.vec_id <> q.vec_id)) WHERE rank <= 5""",
     "cosine_similarity": f"SELECT a.vec_id, round({_cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "lookup_chunks": "SELECT doc_id, lang, CAST(length(text) AS INT) AS n, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS found_in FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
-    "hydrate_hits": f"""WITH {_kw(5)} SELECT item_id, kw.doc_id, rank, CASE WHEN lang = 'en' AND trim(substr(text, 1, 50), ' ') <> '' THEN substr(text, 1, 50) ELSE 'own text' END AS text,
-CASE WHEN lang = 'en' AND trim(substr(text, 1, 50), ' ') <> '' THEN coalesce(nullif(trim(source, ' '), ''), 'own title') ELSE 'own title' END AS title FROM kw JOIN documents d ON d.doc_id = kw.doc_id""",
+    "hydrate_hits": f"""WITH {_kw(5)} SELECT item_id, kw.doc_id, rank, CASE WHEN lang = 'en' AND trim(text, ' ') <> '' THEN text ELSE 'own text' END AS text,
+CASE WHEN lang = 'en' AND trim(text, ' ') <> '' THEN coalesce(nullif(trim(source, ' '), ''), 'own title') ELSE 'own title' END AS title FROM kw JOIN documents d ON d.doc_id = kw.doc_id""",
     "expand_neighbors": f"""WITH {_HITS}, e AS (SELECT item_id, rank, document_id, chunk_index, 0 AS step FROM h UNION ALL SELECT h.item_id, h.rank, h.document_id, n.chunk_index, 2 * abs(n.chunk_index - h.chunk_index) + CAST(n.chunk_index > h.chunk_index AS INT)
 FROM h JOIN c n ON n.document_id = h.document_id AND abs(n.chunk_index - h.chunk_index) = 1 WHERE trim(n.text, ' ') <> ''),
 f AS (SELECT item_id, document_id, chunk_index, min(rank * 100 + step) AS o FROM e GROUP BY ALL) SELECT item_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, document_id, chunk_index) AS INT) AS place FROM f""",

@@ -12,7 +12,7 @@ from textloom.functions import text as T
 from textloom.operators import chunking as C
 from textloom.operators import metering as M
 from textloom.operators import retrieval as R
-from textloom.plans import corpus
+from textloom.plans import corpus, reports
 from textloom.plans.relational import PLANS, SPELLING
 
 
@@ -74,7 +74,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relevance_gap_filter": lambda s, d: R.relevance_gap_filter(_dense(s, d), "query_id", 0.1, 2).select("query_id", "vec_id", "rank"),
     "neighbor_join": _docs(lambda d: R.neighbor_join(R.fixed_chunk(d), R.fixed_chunk(d))),
     "merge_neighbors": _docs(lambda d: R.merge_neighbors(R.fixed_chunk(d), R.fixed_chunk(d))),
-    "rank_precision_recall": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 4).alias("precision")),
     "format_quantity": lambda s, d: _table(s, d, "events").select("event_id", T.format_quantity(F.col("value"), F.when(F.col("event_type") == "purchase", "USD").otherwise("GB")).alias("shown")),
     "retrieval_hit": lambda s, d: _dense(s, d).where("rank <= 10").join(_table(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id").groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("label") == F.col("own")), F.lit(False)).alias("hit")),
 }
@@ -117,7 +116,6 @@ o AS (SELECT query_id, vec_id, label, CAST(row_number() OVER (PARTITION BY query
     "relevance_gap_filter": f"WITH {_DENSE} SELECT query_id, vec_id, rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM t) WHERE score >= best - 0.1::DOUBLE OR rank <= 2",
     "neighbor_join": f"""WITH {_C500} SELECT a.document_id, b.chunk_index AS neighbor_index, a.chunk_index, b.text AS neighbor_text FROM c a JOIN c b ON a.document_id = b.document_id AND abs(a.chunk_index - b.chunk_index) = 1
 WHERE trim(b.text) <> ''""",
-    "rank_precision_recall": f'WITH {_DENSE} SELECT query_id, round(avg(CASE WHEN label = own THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS "precision" FROM t WHERE rank <= 10 GROUP BY query_id',
     "format_quantity": """SELECT event_id, CASE WHEN event_type = 'purchase' THEN '$' || printf('%.2f', value) WHEN abs(value) >= 100 THEN format('{:,}', CAST(round_even(value, 0) AS BIGINT)) || ' GB'
 WHEN abs(value) >= 10 THEN printf('%.1f', value) || ' GB' ELSE printf('%.2f', value) || ' GB' END AS shown FROM events""",
     "retrieval_hit": f"WITH {_DENSE} SELECT query_id, coalesce(bool_or(label = own), false) AS hit FROM t WHERE rank <= 10 GROUP BY query_id",
@@ -130,8 +128,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _plan(sql) for name, sql in PLANS.items()} | _QUERIES | corpus.QUERIES
+    return {name: _plan(sql) for name, sql in PLANS.items()} | _QUERIES | corpus.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _elsewhere(sql) for name, sql in PLANS.items()} | _SQL | corpus.SQL
+    return {name: _elsewhere(sql) for name, sql in PLANS.items()} | _SQL | corpus.SQL | reports.SQL

@@ -15,7 +15,6 @@ PLANS: dict[str, str] = {
     "replace_document": """WITH incoming AS (SELECT item_id AS doc_id, text FROM {benchmark}) SELECT doc_id, text FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.doc_id = d.doc_id) UNION ALL SELECT doc_id, text FROM incoming""",
     # filters
     "doc_scope_filter": """SELECT doc_id, source FROM {documents} WHERE lower(trim(coalesce(source, ''))) NOT IN ('src0', 'src1')""",
-    "select_session_list": "SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn FROM {conversations} GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 100",
     "exclude_paths": """SELECT page_id, url FROM (SELECT page_id, url, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM {pages}) x
 WHERE path NOT IN ('/sitemap') AND path NOT LIKE '/webinar-recordings/%' AND path NOT LIKE '/es/%' AND lower(path) NOT LIKE '%espanol%'""",
     "question_subset": """SELECT b.item_id, b.text FROM {benchmark} b WHERE b.item_id IN (SELECT doc_id FROM {labels} WHERE quality = 1) OR NOT EXISTS (SELECT 1 FROM {labels} WHERE quality = 1)""",
@@ -36,8 +35,6 @@ SELECT o_orderkey, coalesce(t.response_time, '3 days') AS response_time FROM {or
 ON l.base = lower(regexp_extract(regexp_replace(regexp_extract(p.url, '://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1))""",
     "question_set_drift": """WITH old AS (SELECT text FROM {benchmark} WHERE length(text) > 80), new AS (SELECT text FROM {benchmark} WHERE length(text) < 200)
 SELECT 'missing' AS kind, text FROM (SELECT text FROM old EXCEPT SELECT text FROM new) a UNION ALL SELECT 'extra', text FROM (SELECT text FROM new EXCEPT SELECT text FROM old) b""",
-    "session_messages": "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM {conversations}",
-    "delete_session": "SELECT c.conv_id, c.turn FROM {conversations} c LEFT ANTI JOIN (SELECT DISTINCT conv_id FROM {conversations} WHERE turn > 5) x ON x.conv_id = c.conv_id",
     "before_after_checks": """WITH b AS (SELECT lang AS name, avg(CAST(quality AS DOUBLE)) AS rate FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id WHERE lang IS NOT NULL AND toxic = 0 GROUP BY lang),
 a AS (SELECT lang AS name, avg(CAST(quality AS DOUBLE)) AS rate FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id WHERE lang IS NOT NULL AND toxic = 1 GROUP BY lang)
 SELECT coalesce(b.name, a.name) AS name, round(b.rate, 4) AS before_rate, round(a.rate, 4) AS after_rate, round(a.rate - b.rate, 4) AS delta FROM b FULL OUTER JOIN a ON a.name = b.name WHERE EXISTS (SELECT 1 FROM a) AND EXISTS (SELECT 1 FROM b)""",
@@ -73,7 +70,6 @@ FROM {conversations} WHERE trim(text) <> '') t WHERE back <= 10""",
 (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM {conversations}) a) b WHERE island > 0 GROUP BY conv_id, island) c WHERE answer IS NOT NULL""",
     "latency_attribution": """SELECT user_id, span, CAST(sum(delta) AS BIGINT) AS micros FROM (SELECT user_id, lag(event_type) OVER w AS span,
 unix_micros(CAST(ts AS TIMESTAMP)) - lag(unix_micros(CAST(ts AS TIMESTAMP))) OVER w AS delta FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) t WHERE span IS NOT NULL GROUP BY user_id, span""",
-    "token_cost": "SELECT event_id, round(value * CASE event_type WHEN 'purchase' THEN 0.01 WHEN 'click' THEN 0.002 ELSE 0.001 END / 1000, 9) AS usd FROM {events}",
     "estimate_usd": """SELECT event_id, round((prompt * CAST(0.5 AS DOUBLE) + (total - prompt) * CAST(1.5 AS DOUBLE)) / 1000000, 9) AS usd FROM (SELECT event_id, CASE WHEN prompt > 0 THEN least(prompt, total) ELSE floor(total * CAST(0.8 AS DOUBLE)) END AS prompt, total
 FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE value END AS prompt, greatest(CASE WHEN event_type = 'click' THEN 0 ELSE value END, value * 10) AS total FROM {events}) t) u""",
     "unit_to_gb": "SELECT event_id, CASE event_type WHEN 'click' THEN value / 1000000000 WHEN 'view' THEN value / 1000000 ELSE value / 1000 END AS gb FROM {events}",
@@ -92,7 +88,8 @@ WHEN t LIKE '%bill%' OR t LIKE '%charge%' OR t LIKE '%payment%' OR t LIKE '%invo
 (SELECT conv_id, role, text, CASE WHEN role = 'user' AND trim(coalesce(text, '')) <> '' THEN row_number() OVER (PARTITION BY conv_id, role = 'user' AND trim(coalesce(text, '')) <> '' ORDER BY turn) END AS first_place, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM {conversations}) t GROUP BY conv_id""",
     # pages, spans and scores
     "page_metadata": """SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), CAST(page_id AS STRING)) AS title, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
-regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) AS section FROM {pages}""",
+regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1) AS section,
+trim(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)) AS description FROM {pages}""",
     "slug_collision_ids": """SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN slug || '-' || CAST(page_id AS STRING) ELSE slug END AS file_id
 FROM (SELECT page_id, coalesce(nullif(lower(regexp_extract(url, '://[^/?#]*/([^/?#]*)', 1)), ''), 'home') AS slug FROM {pages}) t""",
     "write_page_manifest": """WITH m AS (SELECT page_id, url, CASE WHEN html IS NULL THEN 'error' WHEN html LIKE '%<article>%' THEN 'ok' ELSE 'static_failed' END AS status FROM {pages})
