@@ -30,6 +30,21 @@ def test_embedding_dedup_matches_brute_force(spark):
     assert got == {i: (len(links[i]), low[i], low[i] == i) for i in links}
 
 
+def test_audit_in_lots_and_with_negative_ids(spark, monkeypatch):
+    """Ids -1 and -2 are ids like others, and lots give the counts of one lot."""
+    from textloom.llm import embedding_dedup as E
+
+    unit = [(i - 4, [1.0, i / 100, 0.0], "a") for i in range(6)] + [(50, [0.0, 0.0, 1.0], "a"), (51, [0.0, 0.1, 1.0], "b")]
+    classes = spark.createDataFrame([(*r, None) for r in unit], "id long, vec array<double>, label string, whole long")
+    links = spark.createDataFrame([(-1, -2), (-4, 1)], "a long, b long")
+    for size in (64 << 20, 48):
+        monkeypatch.setattr(E, "AUDIT_BYTES", size)
+        recall, short = E._audit(links, classes, 0.93)
+        assert (recall, short) == (2 / 30, ["a"])
+        held = classes.withColumn("whole", F.when(F.col("id") <= 1, F.lit(-1)).cast("long"))
+        assert E._audit(links, held, 0.93) == (1.0, [])
+
+
 def test_ann_recall_and_ties(spark):
     rows = vectors()
     found = ann_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 == 0)

@@ -22,7 +22,8 @@ Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and vectors without label or ``vec_id``, link with nothing; labels of
 any type are equal if they are equal as text; vectors of different length never
 link; every row comes back once, and rows that share a ``vec_id`` count as
-vectors of their own; an empty table gives an empty table.
+vectors of their own; columns are read by the names given and no others, so none can
+clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from .vectors import stacked, unit, usable
 
 THRESHOLD, EXPLORE, K = 0.93, 0.6, 32
 TREES, BUCKET, BLOCK, STRIP = 6, 128, 4096, 512
-AUDIT, AUDIT_LINKS, AUDIT_MOST, AUDIT_RECALL = 200, 1000, 65536, 0.995
+AUDIT, AUDIT_LINKS, AUDIT_MOST, AUDIT_RECALL, AUDIT_BYTES = 200, 1000, 65536, 0.995, 64 << 20
 MOST_TREES, STILL, EXACT_BLOCK = 48, 0.001, 1024
 
 
@@ -139,40 +140,58 @@ def _audit(links: DataFrame, classes: DataFrame, threshold: float) -> tuple[floa
     """Share of the true links of some vectors that are found, and the labels that fall short.
 
     ``classes`` has ``whole``: the component of vectors that are compared with all
-    of it, so links within it are found whether or not the graph holds them.
+    of it (else null), so links within it are found whether or not the graph holds them.
+    The audited vectors go to the tasks in lots of at most ``AUDIT_BYTES``, a scan of all
+    vectors for each, so neither driver nor worker holds more of them at once.
     """
-    n = classes.count()
-    m = max(AUDIT, math.ceil(4 * math.sqrt(n)))
+    n, widest = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    m, lot = max(AUDIT, math.ceil(4 * math.sqrt(n))), max(1, AUDIT_BYTES // (8 * (widest or 1)))
+    rows = classes.select("id", "label", "vec", F.coalesce("whole", F.lit(0)).alias("whole"), F.col("whole").isNotNull().alias("is_whole"))
     while True:
-        some = classes.orderBy(F.xxhash64("id")).limit(m).select("id", "label", "vec", "whole").toPandas()
-        if some.empty:
-            return 1.0, []
-        groups = {key: (part["id"].to_numpy(), part["whole"].to_numpy(), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
-
-        def truth(batches):
-            for pdf in batches:
-                for key, part in pdf.groupby([pdf["label"], pdf["vec"].map(len)]):
-                    if key in groups:
-                        ids, wholes, y = groups[key]
-                        x, mine, whole = unit(stacked(part["vec"])), part["id"].to_numpy(), part["whole"].to_numpy()
-                        for lo in range(0, len(ids), STRIP):
-                            i, j = np.nonzero(x @ y[lo : lo + STRIP].T >= threshold)
-                            a, b = ids[lo + j], mine[i]
-                            sure = (whole[i] >= 0) & (whole[i] == wholes[lo + j])
-                            yield pd.DataFrame({"label": key[0], "a": a[~sure], "b": b[~sure], "n": 1})
-                            if times := int((sure & (a != b)).sum()):
-                                yield pd.DataFrame({"label": [key[0]], "a": [-1], "b": [-2], "n": [times]})
-
-        true = classes.select("id", "label", "vec", "whole").mapInPandas(truth, "label string, a long, b long, n long").where("a != b")
-        found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
-        hit = F.when((F.col("a") == -1) & (F.col("b") == -2), F.col("n")).otherwise(F.coalesce("hit", F.lit(0)))
-        found = found.groupBy("label").agg(F.sum("n").alias("n"), F.sum(hit).alias("hits")).collect()
-        total, hits = sum(r["n"] for r in found), sum(r["hits"] for r in found)
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(m)
+        if lot < m:  # the limit leaves one partition, so its rows count on
+            some = written(some.withColumn("at", F.monotonically_increasing_id()), "audit")
+        by_label = {}
+        for lo in range(0, min(m, n), lot):
+            part = some if lot >= m else some.where(F.col("at").between(lo, lo + lot - 1)).drop("at")
+            for r in _audited(part.toPandas(), links, rows, threshold):
+                was = by_label.get(r["label"], (0, 0))
+                by_label[r["label"]] = was[0] + r["n"], was[1] + r["hits"]
+        total, hits = (sum(c[i] for c in by_label.values()) for i in (0, 1))
         if total >= AUDIT_LINKS or m >= min(n, AUDIT_MOST):
-            return hits / total if total else 1.0, [r["label"] for r in found if r["hits"] < AUDIT_RECALL * r["n"]]
+            return hits / total if total else 1.0, [label for label, (true, hit) in by_label.items() if hit < AUDIT_RECALL * true]
         m = min(4 * m, AUDIT_MOST)
 
 
+def _audited(some: pd.DataFrame, links: DataFrame, rows: DataFrame, threshold: float) -> list:
+    """``label, n, hits``: true links of ``some`` vectors, and those that are found."""
+    groups = {key: (part["id"].to_numpy(), part["whole"].to_numpy(), part["is_whole"].to_numpy(bool), unit(stacked(part["vec"]))) for key, part in some.groupby([some["label"], some["vec"].map(len)])}
+    shared = rows.sparkSession.sparkContext.broadcast(groups)
+
+    def truth(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby([pdf["label"], pdf["vec"].map(len)]):
+                if key in shared.value:
+                    ids, wholes, are_whole, y = shared.value[key]
+                    x, mine, whole, is_whole = unit(stacked(part["vec"])), part["id"].to_numpy(), part["whole"].to_numpy(), part["is_whole"].to_numpy(bool)
+                    for lo in range(0, len(ids), STRIP):
+                        i, j = np.nonzero(x @ y[lo : lo + STRIP].T >= threshold)
+                        a, b = ids[lo + j], mine[i]
+                        other = a != b
+                        sure = is_whole[i] & are_whole[lo + j] & (whole[i] == wholes[lo + j])
+                        yield pd.DataFrame({"label": key[0], "a": a[other & ~sure], "b": b[other & ~sure], "sure": 0})
+                        if times := int((sure & other).sum()):
+                            yield pd.DataFrame({"label": [key[0]], "a": [0], "b": [0], "sure": [times]})
+
+    true = rows.mapInPandas(truth, "label string, a long, b long, sure long")
+    sure = F.col("sure") > 0  # such a row counts links, and names none
+    found = true.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    n, hits = F.when(sure, F.col("sure")).otherwise(1), F.when(sure, F.col("sure")).otherwise(F.coalesce("hit", F.lit(0)))
+    out = found.groupBy("label").agg(F.sum(n).alias("n"), F.sum(hits).alias("hits")).collect()
+    shared.unpersist()
+    return out
+
+
 def _blocks(members: DataFrame, classes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """``a, n``: linked vectors of each member, comparing a component block by block."""
     cuts = F.ceil(F.col("n_members") / BLOCK)
@@ -227,7 +246,7 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         members = grouped.join(large, "component", "left_semi")
         sizes = members.groupBy("component").agg(F.count("*").alias("n_members"))
         # Saturated members are compared with their whole component, so links within it count as found.
-        known = classes.join(members.select("id", F.col("component").alias("whole")), "id", "left").fillna(-1, ["whole"])
+        known = classes.join(members.select("id", F.col("component").alias("whole")), "id", "left")
         recall, short = _audit(links, known, threshold)
         if exact or not short and recall >= AUDIT_RECALL:
             break
