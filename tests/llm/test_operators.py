@@ -217,3 +217,23 @@ def test_embedding_dedup_compares_short_labels_exactly(spark):
     rows = _lonely_pairs(2, 700)
     found = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), trees=1, most_trees=1)
     assert found.where("n_links = 1 and component_id = vec_id - vec_id % 2").count() == len(rows)
+
+
+def test_embedding_dedup_local_join(spark):
+    """Members meet at their centre once, whatever the cut of batches; those that met before or don't ask stay out."""
+    from textloom.llm.common import batches_of
+    from textloom.llm.embedding_dedup import _local
+
+    rng = np.random.default_rng(5)
+    rows = [(c, c * 10 + i, bool(i % 3), i % 2 == 0, rng.normal(size=4 + c % 2).tolist()) for c in range(23) for i in range(1 + c % 7)]
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, _, _, v in rows}
+    want = set()
+    for centre in range(23):
+        members = [r for r in rows if r[0] == centre]
+        for _, a, asks, met, _ in members:
+            near = sorted((-float(unit[a] @ unit[b]), b) for _, b, _, was, _ in members if b != a and not (met and was))[:2]
+            want |= {(a, b) for s, b in near if asks and -s >= 0.1}
+    with batches_of(spark, 5):
+        got = _local(spark.createDataFrame(rows, "centre long, id long, asks boolean, met boolean, vec array<double>"), 0.1, 2).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert all(abs(r.sim - unit[r.a] @ unit[r.b]) < 1e-12 for r in got)

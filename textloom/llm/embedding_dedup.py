@@ -4,8 +4,9 @@
 2. A first neighbour graph comes from random hyperplane buckets, as many as the
    label's vectors need, large ones split at random; each vector keeps its ``k``
    nearest found of at least ``explore``.
-3. Descent rounds join neighbours of neighbours, over lists of ``k`` both ways, to
-   vectors whose list is not saturated, and keep the best ``k``, until next to no
+3. Descent rounds are local joins: the lists of ``k`` both ways of a vector bring its
+   neighbours together once, and pairs of them that haven't met there are compared
+   for those whose list is not saturated; the best ``k`` stay, until next to no
    list changes.
 4. A list is saturated if all its members link.  Such lists are enlarged to the
    whole linked component: its members are compared in blocks, and only counts
@@ -50,12 +51,17 @@ def _bits(n: int) -> int:
     return max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
 
 
-def _nearest(ids: np.ndarray, s: np.ndarray, others: np.ndarray, explore: float, k: int) -> pd.DataFrame:
-    """The ``k`` best of each row of ``s`` that reach ``explore``."""
+def _top(ids: np.ndarray, s: np.ndarray, others: np.ndarray, explore: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each row of ``s`` that reach ``explore``: row, other and cosine."""
     kk = min(k, s.shape[1])
     top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-    found = pd.DataFrame({"a": np.repeat(ids, kk), "b": others[top].ravel(), "sim": np.take_along_axis(s, top, 1).ravel()})
-    return found[found["sim"] >= explore]
+    a, b, sim = np.repeat(ids, kk), others[top].ravel(), np.take_along_axis(s, top, 1).ravel()
+    near = sim >= explore
+    return a[near], b[near], sim[near]
+
+
+def _nearest(ids: np.ndarray, s: np.ndarray, others: np.ndarray, explore: float, k: int) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(("a", "b", "sim"), _top(ids, s, others, explore, k))))
 
 
 def _graph(classes: DataFrame, seeds: range, explore: float, k: int) -> DataFrame:
@@ -92,29 +98,63 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
-def _cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, sim`` of pairs whose vectors have one label and length."""
-
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series((unit(stacked(x)) * unit(stacked(y))).sum(1)) if len(x) else pd.Series([], dtype="float64")
-
-    left = classes.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("vec").alias("va"))
-    right = classes.select(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("vec").alias("vb"))
-    both = pairs.join(left, "a").join(right, "b").where("la = lb and size(va) = size(vb)")
-    return both.select("a", "b", cosine("va", "vb").alias("sim"))
+def _local(members: DataFrame, explore: float, k: int) -> DataFrame:
+    """``a, b, sim``: the nearest of each member that ``asks`` among the others of its ``centre``.
 
+    ``members`` has ``centre, id, asks, met, vec``; members that have met (at this centre, a round
+    before) aren't compared again.  A centre has at most ``2 * k`` members, its rows follow one another
+    in a partition, and the last centre of a batch waits for the next batch.
+    """
 
-def _descend(graph: DataFrame, classes: DataFrame, threshold: float, explore: float, k: int) -> DataFrame:
-    full = graph.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("a")
+    def compare(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = int((pdf["centre"] != pdf["centre"].iloc[-1]).sum()) if len(pdf) else 0
+            held = pdf.iloc[last:]
+            if last:
+                yield found(pdf.iloc[:last])
+        if held is not None and len(held):
+            yield found(held)
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, asks, met = pdf["id"].to_numpy(), pdf["asks"].to_numpy(bool), pdf["met"].to_numpy(bool)
+        widths = pdf["vec"].map(len).to_numpy()
+        cuts = np.flatnonzero(np.diff(pdf["centre"].to_numpy())) + 1
+        parts = []
+        for width in np.unique(widths):  # members of a centre have one length
+            rows = np.flatnonzero(widths == width)
+            x = unit(stacked(pdf["vec"].iloc[rows]))
+            at = np.searchsorted(rows, np.r_[0, cuts, len(pdf)])
+            for lo, hi in zip(at[:-1], at[1:]):
+                some = rows[lo:hi]
+                mine = np.flatnonzero(asks[some]) if hi - lo > 1 else some[:0]
+                if len(mine):
+                    s = x[lo:hi][mine] @ x[lo:hi].T
+                    s[met[some][mine][:, None] & met[some][None, :]] = -2
+                    s[np.arange(len(mine)), mine] = -2
+                    parts.append(_top(ids[some][mine], s, ids[some], explore, k))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[], [], []]
+        return pd.DataFrame(dict(zip(("a", "b", "sim"), columns)))
+
+    return members.repartition("centre").sortWithinPartitions("centre", "id").mapInPandas(compare, "a long, b long, sim double")
+
+
+def _descend(graph: DataFrame, lists: DataFrame | None, classes: DataFrame, threshold: float, explore: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The graph after one local join, and the lists that met in it; ``lists`` are those of the round before."""
+    full = graph.where(F.col("sim") >= threshold).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     # Lists both ways are bounded: what a hub's reverse list loses, the audit decides on.
     back = _best(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), k)
-    both = written(graph.select("a", "b").unionByName(back.select("a", "b")).distinct(), "lists")
-    step = both.join(full, "a", "left_anti").join(both.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    pairs = step.select("a", F.col("c").alias("b")).where("a != b").distinct().join(graph.select("a", "b"), ["a", "b"], "left_anti")
-    out = written(_best(graph.unionByName(_cosines(pairs, classes).where(F.col("sim") >= explore)), k), "graph")
-    discard(both)
-    return out
+    both = written(graph.select(F.col("a").alias("centre"), F.col("b").alias("id")).unionByName(back.select(F.col("a").alias("centre"), F.col("b").alias("id"))).distinct(), "lists")
+    members = both.join(full.select(F.col("a").alias("id"), F.lit(False).alias("asks")), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(True)))
+    if lists is None:
+        members = members.withColumn("met", F.lit(False))
+    else:
+        members = members.join(lists.withColumn("met", F.lit(True)), ["centre", "id"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    # Centres whose members have all met, or of whom none asks, have nothing to tell.
+    use = members.groupBy("centre").agg(F.max("asks").alias("some_asks"), F.min("met").alias("all_met")).where("some_asks and not all_met").select("centre")
+    members = members.join(use, "centre", "left_semi").join(classes.select("id", "vec"), "id")
+    return written(_best(graph.unionByName(_local(members, explore, k)), k), "graph"), both
 
 
 def _exact(classes: DataFrame, labels: list[str], explore: float, k: int) -> DataFrame:
@@ -232,10 +272,14 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         exact = graph is not None and seeds.stop > most_trees
         fresh = _exact(classes, short, explore, k) if exact else _graph(classes, seeds, explore, k)
         graph = written(_best(fresh if graph is None else graph.unionByName(fresh), k), "graph")
+        lists = None
         while not exact:
-            old, graph = graph, _descend(graph, classes, threshold, explore, k)
+            old, met = graph, lists
+            graph, lists = _descend(old, met, classes, threshold, explore, k)
             changed = graph.join(old, ["a", "b"], "left_anti").count()
             discard(old)
+            if met is not None:
+                discard(met)
             if changed <= STILL * n:
                 break
         near = graph.where(F.col("sim") >= threshold).select("a", "b")
