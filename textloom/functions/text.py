@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INVISIBLE = "[​-‍﻿⁠]"
@@ -23,6 +23,7 @@ ENGLISH_WORDS = tuple(
     "she so some than that the their them then there these they this to two up us use was we well what when which who will with would "
     "you your".split()
 )
+WORD = "[a-z\u00e1\u00e9\u00ed\u00f3\u00fa\u00fc\u00f1']+"
 NEUTRAL_WORDS = ("com", "facebook", "http", "https", "linkedin", "math", "org", "pdf", "twitter", "www", "youtube")
 # Types of questions and their patterns, most specific first.
 QUESTION_RULES = (
@@ -234,21 +235,28 @@ def clean_markdown(text: Column, calls: tuple[str, ...] = CALL_LINES) -> Column:
     return F.rtrim(F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"\n+$", ""))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalize_list_indent(text: Column) -> Column:
-    """Every run of list lines moved left by its smallest indent."""
-    item = r"^\s*([*\-+]|\d+\.)\s"
-    indent = lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))
-    lines = F.split(text, "\n")
-    # Right to left, then left to right: each line learns the smallest indent of its run.
-    def sweep(rows):
-        start = F.struct(F.array().cast("array<struct<line:string,low:int>>").alias("done"), F.lit(None).cast("int").alias("low"))
-        def step(state, row):
-            low = F.when(row["low"].isNull(), F.lit(None).cast("int")).otherwise(F.least(row["low"], state["low"]))
-            return F.struct(F.concat(state["done"], F.array(F.struct(row["line"].alias("line"), low.alias("low")))).alias("done"), low.alias("low"))
-        return F.aggregate(rows, start, step, lambda s: s["done"])
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(x.rlike(item), indent(x)).alias("low")))
-    swept = F.reverse(sweep(F.reverse(sweep(marked))))
-    return F.array_join(F.transform(swept, lambda r: F.when(r["low"].isNull(), r["line"]).otherwise(r["line"].substr(r["low"] + 1, F.length(r["line"])))), "\n")
+    """Every run of list lines moved left by its smallest indent; linear in the lines."""
+    item = lambda x: x.rlike(r"^\s*([*\-+]|\d+\.)\s")
+
+    def moved(lines):
+        # Other lines end runs: a run lies between two of them, or an end of the text.
+        marked = F.transform(lines, lambda x, i: F.when(~item(x), i))
+        return _bound(F.concat(F.array(F.lit(-1)), F.array_compact(marked), F.array(F.size(lines))), lambda ends: F.flatten(F.transform(ends, lambda end, place: run(lines, ends, end, place))))
+
+    def run(lines, ends, end, place):
+        start = F.get(ends, place - 1)
+        rows = F.slice(lines, start + 2, end - start - 1)
+        low = F.array_min(F.transform(rows, lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1))))
+        left = _bound(low, lambda n: F.transform(rows, lambda x: x.substr(n + 1, F.length(x))))
+        return F.when(place == 0, F.array().cast("array<string>")).otherwise(F.concat(left, F.slice(lines, end + 1, 1)))
+
+    return F.array_join(_bound(F.split(text, "\n"), moved), "\n")
 
 
 def response_errors(text: Column, least: int = 10, most: int = 5000) -> Column:
@@ -259,12 +267,26 @@ def response_errors(text: Column, least: int = 10, most: int = 5000) -> Column:
 
 def language_share(text: Column, words: tuple[str, ...] = ENGLISH_WORDS, neutral: tuple[str, ...] = NEUTRAL_WORDS) -> Column:
     """Share of words that are no English function words; null under 20 words or if all are neutral."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z\u00e1\u00e9\u00ed\u00f3\u00fa\u00fc\u00f1']+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
     counted = F.filter(found, lambda w: ~w.isin(*neutral))
     english = F.size(F.filter(counted, lambda w: w.isin(*words)))
     return F.when((F.size(found) >= 20) & (F.size(counted) > 0), 1 - english / F.size(counted))
 
 
+def indicator_words(docs: DataFrame, language: str, most: int = 300, times: int = 10, lang: str = "lang", text: str = "text", neutral: tuple[str, ...] = NEUTRAL_WORDS) -> DataFrame:
+    """``word, n_own, n_other``: the ``most`` words in the most documents of a language whose share of them is ``times`` that of the other ones.
+
+    Documents without language or text say nothing; ties go by word.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select((F.col(lang) == language).alias("own"), words.alias("words"))
+    own, other = rows.agg(F.count_if("own"), F.count_if(~F.col("own"))).first()
+    found = rows.select("own", F.explode("words").alias("word")).where(~F.col("word").isin(*neutral))
+    found = found.groupBy("word").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_other"))
+    telling = (F.col("n_own") > 0) & (F.col("n_own") * other >= F.col("n_other") * own * times)
+    return found.where(telling).orderBy(F.desc("n_own"), "word").limit(most)
+
+
 def format_quantity(value: Column, unit: Column, limit: Column | None = None) -> Column:
     """Fewer digits for larger amounts, dollars always with cents, thousands with commas; ``x of y`` with a limit."""
     def one(x):

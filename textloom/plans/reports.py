@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -83,6 +83,34 @@ def delete_session(spark, sf_dir):
     return rows.select("install", "session", "removed", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
+def _persisted(spark, sf_dir):
+    """Messages before turn 4 of conversations not divisible by 3 are stored, every fifth of them without title; later questions and their answers are turns.
+
+    Those of conversations divisible by 11 have no install.
+    """
+    talks = _table(spark, sf_dir, "conversations").where("conv_id is not null")
+    old = talks.where("turn < 4 and conv_id % 3 <> 0").withColumnRenamed("conv_id", "session")
+    title = F.when(F.col("session") % 5 != 0, F.concat(F.lit("Talk "), F.col("session").cast("string"))).otherwise("")
+    sessions = old.groupBy("session").agg(F.max("turn").alias("updated")).select(
+        "session", F.lit("first").alias("install"), title.alias("title"), F.lit(7).cast("long").alias("token_count"), F.lit("ended").alias("status"), F.lit("limit").alias("ended_reason"), "updated",
+    )
+    messages = old.select("session", (F.col("turn") + 1).cast("long").alias("message"), "role", F.col("text").alias("content"), F.lit(None).cast("long").alias("total_tokens"))
+    answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    install = F.when(F.col("conv_id") % 11 != 0, F.concat(F.lit("install-"), (F.col("conv_id") % 50).cast("string")))
+    turns = talks.withColumn("answer", answer).where("role = 'user' and turn >= 4 - 4 * cast(conv_id % 3 = 0 as int)").select(
+        F.col("conv_id").alias("session"), install.alias("install"), F.col("turn").alias("at"), F.col("text").alias("question"), "answer", F.length("answer").cast("long").alias("total_tokens"),
+    )
+    return O.persist_turns(sessions, messages, turns)
+
+
+def persist_turns_sessions(spark, sf_dir):
+    return _persisted(spark, sf_dir)[0]
+
+
+def persist_turns_messages(spark, sf_dir):
+    return _persisted(spark, sf_dir)[1].withColumn("content", F.md5("content"))
+
+
 # ---- links, failures, costs
 
 
@@ -171,11 +199,46 @@ def qa_report_rows(spark, sf_dir):
     return A.qa_report_rows(rows, ("is_long", "is_early")).select("id", F.md5("shown").alias("shown"), "ids", "failed")
 
 
+def _plain_lines():
+    return F.split(F.regexp_replace("text", "[#\\r\\f\\x0B\\u0085\\u2028\\u2029]", " "), "\n")
+
+
+def parse_standard_entries(spark, sf_dir):
+    """Documents as lists of standards: of seven lines the third is a code, the sixth a mapping, the seventh noise."""
+    mark = lambda x, i: (
+        F.when(i % 7 == 2, F.concat(F.lit(" k.ab."), (i % 5).cast("string"))).when(i % 7 == 5, F.concat(F.lit("Mission "), i.cast("string"), F.lit(": "), x))
+        .when(i % 7 == 6, F.concat(F.lit("\u00a9 "), x)).otherwise(x)
+    )
+    docs = _table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.array_join(F.transform(_plain_lines(), mark), "\n").alias("text"))
+    return B.parse_standard_entries(docs, "doc_id").select("doc_id", "code", F.md5("description").alias("description"), F.md5(F.array_join("mappings", "|")).alias("mappings"), F.size("mappings").cast("long").alias("n_mappings"))
+
+
+def normalize_list_indent(spark, sf_dir):
+    """Documents whose lines, but for every fourth, are list lines of different indents."""
+    mark = lambda x, i: F.when(i % 4 == 3, x).otherwise(F.concat(F.repeat(F.lit(" "), i % 5), F.when(i % 2 == 0, "- ").otherwise("1. "), x))
+    made = F.array_join(F.transform(_plain_lines(), mark), "\n")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made", T.normalize_list_indent(F.col("made")).alias("moved"))
+    return rows.select("doc_id", F.md5("moved").alias("moved"), (F.length("made") - F.length("moved")).cast("long").alias("spaces"))
+
+
+def indicator_words(spark, sf_dir):
+    """The telling words of the English documents."""
+    return T.indicator_words(_table(spark, sf_dir, "documents"), "en")
+
+
+def language_filter_learned(spark, sf_dir):
+    """Documents of other languages, by the words that the labelled documents teach (at most 300, so a bounded list)."""
+    words = tuple(r["word"] for r in indicator_words(spark, sf_dir).collect())
+    share = T.language_share(F.col("text"), words) if words else F.lit(None).cast("double")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(share >= 0.95, F.lit(False)).alias("other_language"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         retrieval_scores, evaluation_grid, rank_precision_recall, select_session_list, session_messages, delete_session, links_per_page, failure_ids, token_cost,
         header_chunk, carry_section_label, front_matter_fields, pdf_title, step_classify, trace_summary, qa_report_rows,
+        persist_turns_sessions, persist_turns_messages, parse_standard_entries, normalize_list_indent, indicator_words, language_filter_learned,
     )
 }
 
@@ -196,6 +259,14 @@ _SESSIONS = "s AS (SELECT conv_id AS session, max(turn) AS updated, 'install-' |
 _MINE = "'install-' || (conv_id % 25) = 'install-' || (conv_id % 50)"
 _LINES = r"regexp_replace(text, '[#\r\f\v\x{0085}\x{2028}\x{2029}]', ' ', 'g')"
 
+_OLD = "o AS (SELECT * FROM conversations WHERE turn < 4 AND conv_id % 3 <> 0)"
+_NEW = """n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
+WHERE role = 'user' AND conv_id % 11 <> 0 AND (turn >= 4 OR conv_id % 3 = 0))"""
+_MADE = f"l AS (SELECT doc_id, unnest(range(len(xs))) AS i, unnest(xs) AS x FROM (SELECT doc_id, string_split({_LINES}, chr(10)) AS xs FROM documents WHERE text IS NOT NULL))"
+_INDICATORS = f"""d AS (SELECT doc_id, lang, {C._FOUND} AS ws FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT w AS word, count(DISTINCT doc_id) FILTER (lang = 'en') AS n_own, count(DISTINCT doc_id) FILTER (lang <> 'en') AS n_other FROM (SELECT doc_id, lang, unnest(ws) AS w FROM d) WHERE w NOT IN {C._IN(T.NEUTRAL_WORDS)} GROUP BY w),
+ind AS (SELECT * FROM iw WHERE n_own > 0 AND n_own * (SELECT count(*) FROM d WHERE lang <> 'en') >= n_other * 10 * (SELECT count(*) FROM d WHERE lang = 'en') ORDER BY n_own DESC, word LIMIT 300)"""
+
 SQL: dict[str, str] = {
     "retrieval_scores": f'WITH {_SCORES} SELECT config_id, item_id, n_retrieved, n_relevant, n_found, hit, round("precision", 6) AS "precision", round(recall, 6) AS recall, first_rank FROM s',
     "evaluation_grid": f"""WITH {_SCORES} SELECT config_id, count(*) AS questions, count(*) FILTER (hit) AS hits, round(avg("precision"), 6) AS "precision", round(avg(recall), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 6) AS reciprocal_rank FROM s GROUP BY config_id""",
@@ -229,4 +300,28 @@ FROM conversations WHERE role = 'assistant' OR (role = 'user' AND turn % 3 = 0)
 lang IS NULL AS used_web, coalesce(n_chars, 0) % 7 AS n_chunks FROM documents WHERE doc_id IS NOT NULL""",
     "qa_report_rows": r"""SELECT conv_id || ':' || turn AS id, md5(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[\d+\]', '', 'g'), '\*\*', '', 'g'), chr(10)), lambda x: trim(x) <> ''), chr(10))) AS shown,
 conv_id || CASE WHEN turn <> conv_id THEN ', ' || turn ELSE '' END AS ids, concat_ws(', ', CASE WHEN coalesce(length(text) <= 200, true) THEN 'is_long' END, CASE WHEN turn >= 4 THEN 'is_early' END) AS failed FROM conversations WHERE role = 'assistant'""",
+    "persist_turns_sessions": f"""WITH {_OLD}, {_NEW}, os AS (SELECT conv_id AS session, max(turn) AS updated FROM o GROUP BY conv_id),
+ns AS (SELECT conv_id AS session, min(CASE WHEN place = 1 THEN substr(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), 1, 100) END) AS title, arg_max(coalesce(length(answer), 0), place) AS tokens, max(turn) AS updated FROM n GROUP BY conv_id)
+SELECT session, CASE WHEN os.updated IS NOT NULL THEN 'first' ELSE 'install-' || (session % 50) END AS install,
+CASE WHEN os.updated IS NOT NULL AND session % 5 <> 0 THEN 'Talk ' || session WHEN ns.updated IS NULL THEN '' WHEN ns.title = '' THEN 'New chat' ELSE ns.title END AS title,
+CAST(coalesce(ns.tokens, 7) AS BIGINT) AS token_count, CASE WHEN ns.updated IS NULL THEN 'ended' ELSE 'active' END AS status, CASE WHEN os.updated IS NOT NULL THEN 'limit' END AS ended_reason,
+coalesce(ns.updated, os.updated) AS updated FROM os FULL JOIN ns USING (session)""",
+    "persist_turns_messages": f"""WITH {_OLD}, {_NEW}, h AS (SELECT conv_id, max(turn) + 1 AS last FROM o GROUP BY conv_id)
+SELECT conv_id AS session, CAST(turn + 1 AS BIGINT) AS message, role, md5(text) AS content, CAST(NULL AS BIGINT) AS total_tokens FROM o
+UNION ALL SELECT n.conv_id, CAST(coalesce(last, 0) + 2 * place - 1 AS BIGINT), 'user', md5(coalesce(text, '')), NULL FROM n LEFT JOIN h ON h.conv_id = n.conv_id
+UNION ALL SELECT n.conv_id, CAST(coalesce(last, 0) + 2 * place AS BIGINT), 'assistant', md5(coalesce(answer, '')), CAST(length(answer) AS BIGINT) FROM n LEFT JOIN h ON h.conv_id = n.conv_id""",
+    "parse_standard_entries": f"""WITH {_MADE}, m AS (SELECT doc_id, i, trim(CASE WHEN i % 7 = 2 THEN 'k.ab.' || (i % 5) WHEN i % 7 = 5 THEN 'Mission ' || i || ': ' || x WHEN i % 7 = 6 THEN '\u00a9 ' || x ELSE x END, ' ') AS x FROM l WHERE doc_id IS NOT NULL),
+k AS (SELECT *, regexp_matches(x, '(?i){B.CODE}') AS is_code, regexp_matches(x, '(?i){B.MAPPING}') AS is_map FROM m),
+e AS (SELECT *, sum(is_code::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM k), f AS (SELECT *, sum(is_map::INT) OVER (PARTITION BY doc_id, island ORDER BY i) AS mapped FROM e WHERE island > 0),
+g AS (SELECT doc_id, island, upper(max(x) FILTER (is_code)) AS code, string_agg(x, ' ' ORDER BY i) FILTER (u AND NOT is_map AND mapped = 0) AS descr, string_agg(x, '|' ORDER BY i) FILTER (u AND is_map) AS maps, count(*) FILTER (u AND is_map) AS n
+FROM (SELECT *, NOT is_code AND x <> '' AND NOT regexp_matches(x, '{B.NOISE}') AS u FROM f) GROUP BY doc_id, island)
+SELECT doc_id, code, md5(coalesce(descr, '')) AS description, md5(coalesce(maps, '')) AS mappings, n AS n_mappings FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY island DESC) = 1""",
+    "normalize_list_indent": f"""WITH {_MADE}, m AS (SELECT doc_id, i, CASE WHEN i % 4 = 3 THEN x ELSE repeat(' ', i % 5) || CASE WHEN i % 2 = 0 THEN '- ' ELSE '1. ' END || x END AS x FROM l),
+k AS (SELECT *, regexp_matches(x, '^\\s*([*\\-+]|\\d+\\.)\\s') AS item FROM m), e AS (SELECT *, sum(CAST(NOT item AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM k),
+g AS (SELECT *, CASE WHEN item THEN min(length(regexp_extract(x, '^(\\s*)', 1))) FILTER (item) OVER (PARTITION BY doc_id, island) ELSE 0 END AS low FROM e)
+SELECT doc_id, md5(string_agg(substr(x, low + 1), chr(10) ORDER BY i)) AS moved, CAST(sum(low) AS BIGINT) AS spaces FROM g GROUP BY doc_id UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL""",
+    "indicator_words": f"WITH {_INDICATORS} SELECT word, n_own, n_other FROM ind",
+    "language_filter_learned": f"""WITH {_INDICATORS}, a AS (SELECT doc_id, unnest({C._FOUND}) AS w FROM documents),
+c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (w NOT IN {C._IN(T.NEUTRAL_WORDS)}) AS counted, count(ind.word) AS english FROM a LEFT JOIN ind ON ind.word = a.w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n >= 20 AND counted > 0 AND 1 - english::DOUBLE / counted >= 0.95, false) AS other_language FROM documents d LEFT JOIN c USING (doc_id)""",
 }
