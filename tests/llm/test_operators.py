@@ -61,6 +61,24 @@ def test_ann_recall_and_ties(spark):
     assert [j for _, j, _ in sorted(got[0])][:3] == [300, 301, 305]
 
 
+def test_ann_near_copies_whose_codes_are_alike(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 64))
+    x[:667] = rng.normal(size=64) + 1e-4 * rng.normal(size=(667, 64))
+    x = rng.permutation(x)
+    found = ann_search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        s = x @ x[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / (5 * 40) >= 0.97
+
+
 def test_ann_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(40)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(4)] + [(200, [1.0])]

@@ -12,7 +12,11 @@ neighbours follow each other, and small ones share a bin of about ``BLOCK`` rows
 bins of more rows are cut at random into blocks of that size, and so are a bin's
 queries, so no task holds a cell.  Search: in each of its cells a task adds up a
 query's distance tables over the codes and reranks the best ``rerank`` by exact
-cosine on the original vectors; over all cells of its block it sends about ``k`` a query.
+cosine on the original vectors.  A code's score is off by at most the length of what
+the code leaves of the vector, which the index holds; the other rows that could by
+this bound be among the ``k`` best are checked exactly too, so a probed cell loses no
+near vector however alike its codes are.  Over all cells of its block a task sends
+about ``k`` a query.
 
 Equal vectors beyond the ``k + 1`` of smallest id can't be among the answers
 (ties go to the smaller id), so they stay out of the search.
@@ -97,10 +101,14 @@ class Index:
         need = np.sort(np.take_along_axis(place, home, 1).ravel())
         return int(need[min(len(need) - 1, int(np.ceil(RECALL * len(need))))]) + 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and the lengths of what cell and code leave of the vectors."""
         cell = _nearest(x, self.coarse)[:, 0]
         rest = x - self.coarse[cell]
-        return cell, np.stack([_nearest(rest[:, c], b)[:, 0] for c, b in zip(self.cuts, self.books)], 1).astype(np.uint8)
+        codes = np.stack([_nearest(rest[:, c], b)[:, 0] for c, b in zip(self.cuts, self.books)], 1).astype(np.uint8)
+        for j, (c, b) in enumerate(zip(self.cuts, self.books)):
+            rest[:, c] -= b[codes[:, j]]
+        return cell, codes, np.sqrt((rest * rest).sum(1))
 
     def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate inner products, from tables of each query with each codeword."""
@@ -137,11 +145,11 @@ def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vect
     def coded(batches):
         for pdf in batches:
             for size, part in pdf.groupby(pdf["vec"].map(len)):
-                cell, codes = shared.value[size].encode(unit(stacked(part["vec"])))
+                cell, codes, off = shared.value[size].encode(unit(stacked(part["vec"])))
                 own = {c: part[c].to_numpy() for c in ("row", "id", "hash", "vec")}
-                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], **own})
+                yield pd.DataFrame({"size": size, "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes], "off": off, **own})
 
-    table = written(base.mapInPandas(coded, "size int, cell int, codes binary, row long, id long, hash long, vec array<double>"), "index")
+    table = written(base.mapInPandas(coded, "size int, cell int, codes binary, off double, row long, id long, hash long, vec array<double>"), "index")
     counts = {}  # one number a cell, of at most MOST_CELLS cells a space
     for r in table.groupBy("size", "cell").count().collect():
         counts.setdefault(r["size"], np.zeros(len(indexes[r["size"]].coarse), np.int64))[r["cell"]] = r["count"]
@@ -181,11 +189,12 @@ def ann_search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vect
 
 
 def _searched(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int, rerank: int) -> pd.DataFrame:
-    """The best rows of a block for each of its queries: ``rerank`` a cell by codes, then by exact cosine."""
+    """The best rows of a block for each of its queries by exact cosine: ``rerank`` a cell by codes, and all that may be among the ``k`` best."""
     x = x.sort_values("cell", kind="stable")
     ids, at, qat = x["id"].to_numpy(), x["row"].to_numpy(), q["row"].to_numpy()
     qv, xv = unit(stacked(q["vec"])), unit(stacked(x["vec"]))
     codes = np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]])
+    off, best_yet = x["off"].to_numpy() + 1e-9, np.full(len(q), -np.inf)
     probed, step = np.stack(q["cells"].to_numpy()), max(1, _FLOATS // (8 * rerank * xv.shape[1]))
     cells, begin = np.unique(x["cell"].to_numpy(), return_index=True)
     out = []
@@ -201,6 +210,20 @@ def _searched(index: Index, q: pd.DataFrame, x: pd.DataFrame, k: int, rerank: in
             score[at[top] == qat[some, None]] = -np.inf
             best = np.lexsort((ids[top], -score), axis=1)[:, : k + 8]
             out.append((np.repeat(some, best.shape[1]), np.take_along_axis(top, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()))
+            if kk >= k:
+                best_yet[some] = np.maximum(best_yet[some], np.take_along_axis(score, best[:, k - 1 : k], 1)[:, 0])
+            if kk == hi - lo:
+                continue
+            least = best_yet[some, None] - 1e-9
+            may = near + off[None, lo:hi] >= least
+            np.put_along_axis(may, top - lo, False, 1)
+            asks, hits = np.nonzero(may.any(1))[0], np.nonzero(may.any(0))[0]
+            if not len(asks):
+                continue
+            exact = qv[some[asks]] @ xv[lo + hits].T
+            a, h = np.nonzero(may[np.ix_(asks, hits)] & (exact >= least[asks]))
+            a, h = some[asks[a]], lo + hits[h]
+            out.append((a, h, (xv[h] * qv[a]).sum(1)))
     if not out:
         return pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")})
     ask, hit, score = (np.concatenate(c) for c in zip(*out))
