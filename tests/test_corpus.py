@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +200,17 @@ def test_comparisons(spark):
     assert [r.overlap for r in B.overlap_text(chunks).orderBy("chunk_index").collect()] == ["cab", "", ""]
     memory = spark.createDataFrame([("Teacher ", ["Grade 1"], True), ("x", ["Grade 1"], True), ("admin", ["Grade 9"], True), ("admin", [], True), ("admin", ["Grade 1"], None)], "role string, grade_bands array<string>, confirmed boolean")
     assert [r.reason for r in A.memory_validation(memory).collect()] == [None, "unknown role", "unknown grade band", "unknown grade band", "not confirmed"]
+
+
+def test_dense_topk_sends_k_rows_a_query_over_all_batches(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, size=(300, 4)).astype(float) + 0.5  # many ties
+    frame = lambda lo, hi: pd.DataFrame({"id": np.arange(lo, hi), "vec": list(x[lo:hi]), "group": None})
+    monkeypatch.setattr(R, "_SIDE", 16)
+    asks = frame(0, 40).drop(columns="group").assign(only=None, never=None)
+    found = pd.concat(R._nearest(R._by_length(asks, R._LIMITS), [frame(0, 130), frame(130, 140), frame(140, 300)], 5))
+    assert len(found) == 40 * 5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(40):
+        want = sorted((-round(float(unit[q] @ unit[j]), 9), j) for j in range(300) if j != q)[:5]
+        assert sorted(found.loc[found["query"] == q, "key"]) == sorted(j for _, j in want)
