@@ -214,3 +214,26 @@ def test_dense_topk_sends_k_rows_a_query_over_all_batches(monkeypatch):
     for q in range(40):
         want = sorted((-round(float(unit[q] @ unit[j]), 9), j) for j in range(300) if j != q)[:5]
         assert sorted(found.loc[found["query"] == q, "key"]) == sorted(j for _, j in want)
+
+
+def test_bm25_topk_sends_k_rows_a_query_from_a_task():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 30, 12)) for _ in range(900)]
+    part = pd.DataFrame({"key": [f"d{i}" for i in range(900)], "group": None, "text": texts})
+    row, term = np.divmod(np.arange(90), 30)
+    held = R._Weights({f"w{j}": j for j in range(30)}, np.arange(3), row, term, rng.random(90))
+    at = [part.iloc[lo : lo + 256] for lo in range(0, 900, 256)]
+    found, whole = (pd.concat(held.best(parts, 12.0, 5)) for parts in (at, [part]))
+    assert len(found) == 15 and found.reset_index(drop=True).equals(whole.reset_index(drop=True))
+
+
+def test_golden_questions_by_lookup_and_by_join(spark, tmp_path):
+    from textloom.plans import corpus
+
+    asked = [(1, " ".join(f"a{i}" for i in range(12))), (2, "one two x " + " ".join(f"b{i}" for i in range(10))), (3, " ".join(["c"] * 11)), (4, None)]
+    docs = [(1, "x " + asked[0][1] + " y"), (2, asked[1][1]), (3, " ".join(["c"] * 30)), (4, asked[0][1].replace("a11", "z")), (5, None), (6, f"{asked[0][1]}\n{asked[2][1]}")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for most in (1 << 20, 0):
+        got = {r.item_id: r.expected for r in corpus._golden(spark, str(tmp_path), most).collect()}
+        assert got == {1: ["1", "6"], 2: ["2"], 3: ["3", "6"], 4: None}
