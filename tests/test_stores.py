@@ -62,6 +62,9 @@ def test_index_gives_the_rows_of_scoring_everything(spark, folder):
     rounded = lambda df: sorted((r.q, r.id, round(r.score, 9), r["rank"]) for r in df.collect())
     for k, first in ((3, 1), (10, 4), (1000, 2)):
         assert rounded(X.index_topk(spark, folder, queries, "q", "id", k, first)) == rounded(R.bm25_topk(chunks, "id", queries, "q", k))
+        assert rounded(X.index_topk(spark, folder, queries, "q", "id", k, first, most=0)) == rounded(X.index_topk(spark, folder, queries, "q", "id", k))
+    plan = X.index_topk(spark, folder, queries, "q", "id", 3)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and plan.count("MapInPandas") >= 1
     counts = {r.q: (r.blocks, r.scored) for r in X.block_counts(spark, folder, queries, "q", 3, 1).collect()}
     assert all(0 < s <= b for b, s in counts.values()) and any(s < b for b, s in counts.values())
     assert X.build_index(chunks.limit(5), "id", folder)["stored_before"] == 602
