@@ -237,3 +237,13 @@ def test_golden_questions_by_lookup_and_by_join(spark, tmp_path):
     for most in (1 << 20, 0):
         got = {r.item_id: r.expected for r in corpus._golden(spark, str(tmp_path), most).collect()}
         assert got == {1: ["1", "6"], 2: ["2"], 3: ["3", "6"], 4: None}
+
+
+def test_first_keyword_match_moves_no_text(spark):
+    texts = spark.createDataFrame([(1, "A Red hat"), (2, "blueish red"), (3, None), (4, "x"), (None, "GREEN"), (2, "blueish red"), (5, "é"), (6, "tin")], "id long, text string")
+    words = spark.createDataFrame([("red", "r", 2), ("Blue ", "b", 1), ("green", "g2", None), ("green", "g1", None), ("é", "e", 3), (" ", "blank", 0), (None, "null", 0), ("ti", "t", 1)], "keyword string, name string, priority int")
+    found = R.first_keyword_match(texts, words, ("id",))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id or 0, r["match"]) for r in found.collect())
+    assert got == [(0, "g1"), (1, "r"), (2, "b"), (2, "b"), (3, "none"), (4, "none"), (5, "e"), (6, "t")]
+    assert got == sorted((r.id or 0, r["match"]) for r in R.first_keyword_match(texts, words, ("id",), most=0).collect())
