@@ -1,5 +1,6 @@
 import random
 
+from textloom.llm import jaccard_join
 from textloom.llm.jaccard_join import banding, jaccard_classes, jaccard_dedup
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -93,3 +94,23 @@ def test_rows_keep_their_ids(spark):
     assert sorted((r.n_links, r.class_id, r.component_id, r.kept) for r in rows if r.id == 600) == [(1, 600, 600, False), (1, 600, 600, True)]
     assert sorted(r.kept for r in rows if r.id is None) == [False, True] and len({r.component_id for r in rows if r.id is None} - {None}) == 1
     assert len({r.component_id for r in rows if r.id == 3}) == 2
+
+
+def test_few_texts_but_the_candidates_are_shuffled(spark, monkeypatch):
+    """Texts without a near copy stay where they are, and no candidate is lost."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    docs = [(i, " ".join(word() for _ in range(60)), None) for i in range(2000)]
+    docs += [(2000 + i, docs[i][1] + " end", None) for i in range(20)]
+    sent, perhaps = [], jaccard_join._perhaps
+
+    def counted(rows, ids):
+        out = perhaps(rows, ids)
+        sent.append({r.id for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_perhaps", counted)
+    got = {r.id: r for r in jaccard_classes(spark.createDataFrame(docs, SCHEMA)).collect()}
+    pairs = {*range(20), *range(2000, 2020)}
+    assert {i for i, r in got.items() if r.n_links == 1} == pairs
+    assert pairs <= sent[0] and len(sent[0]) < 100

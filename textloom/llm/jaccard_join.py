@@ -13,7 +13,8 @@ a text of fewer words is one n-gram.
    link counts and a spanning forest of the links that it found.  A component
    is compared as a whole, or bucket by bucket, whichever moves fewer n-grams:
    groups of near copies cost less as a whole, long chains of chance candidates
-   by buckets.  By buckets, a pair counts in the first band that it shares.
+   by buckets.  By buckets, a pair counts in the first band that it shares.  Only
+   texts whose id passes a Bloom filter of the candidates are shuffled to them.
 
 Returned per document: ``class_id``, ``n_links`` (other documents of Jaccard at
 least the threshold, copies included), ``component_id`` (smallest id reachable
@@ -33,6 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketches
 from .common import row_ids, small_batches, unwrapped, wrapped, written
 from .components import components
 from .repeats import Windows
@@ -40,6 +42,7 @@ from .windows import U64, mix
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 150
 BLOCK, VOLUME = 512, 1 << 20
+FILTER_BITS = 27  # at most, of a filter's slots: 32 MB
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -151,6 +154,19 @@ def _earlier(bands: np.ndarray, band: int) -> np.ndarray:
     return out
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is among ``ids``, and at most a few others (more where ids exceed 2**(``FILTER_BITS`` - 3))."""
+    bits = sketches.fitting_bits(4 * ids.distinct().count(), 16, FILTER_BITS)
+    plane = sketches.build(ids, lambda batches: (b["id"].to_numpy().view(U64) for b in batches), bits, "once")
+    shared = sketches.broadcast(rows.sparkSession, plane)
+
+    @F.pandas_udf("boolean")
+    def held(some: pd.Series) -> pd.Series:
+        return pd.Series(sketches.test(shared.value, some.to_numpy().view(U64), bits))
+
+    return rows.where(held("id"))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, Column, bool]:
     """For every row ``id`` (see ``row_ids``), ``doc, has_doc`` and the result's columns; the column that gives ``id``; and whether ``id`` may repeat."""
     small_batches(docs.sparkSession)
@@ -171,7 +187,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, n: int = N, threshold: fl
             out = [(i, g.tobytes()) for i, g in _sets(pdf["text"], n)]
             yield pd.DataFrame({"id": pdf["id"].to_numpy()[[i for i, _ in out]], "grams": [g for _, g in out]})
 
-    full = rows.select("id", "text").join(cells.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(grams, "id long, grams binary")
+    full = _perhaps(rows.select("id", "text"), cells.select("id")).join(cells.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(grams, "id long, grams binary")
     mine = cells.join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = mine.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
