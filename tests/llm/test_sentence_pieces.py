@@ -44,3 +44,25 @@ def test_viterbi_matches_brute_force(spark):
         assert abs(sum(scores[i] if i else 0 for i in got[w]) + pieces.worst * w.count("z") - best(w)) < 1e-9
         mine = pieces.encode(w)
         assert abs(sum(scores[i] if i else 0 for i in mine) + pieces.worst * w.count("z") - best(w)) < 1e-9
+
+
+def test_words_merged_together_get_the_ids_of_each_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    pieces = Pieces.load(MODEL)
+    words = ["▁" * rng.randint(0, 2) + "".join(rng.choice("aeinrsthéßk") for _ in range(rng.randint(1, 52))) for _ in range(5000)]
+    words += ["▁", "a", "a" * 48, "a" * 49, "\0", "ab\0", "▁x\U0001f600é", "ﬁ", "世界", "\n", "▁" * 48]
+    want = [pieces.encode(w) for w in words]
+    assert [memoryview(b).cast("i").tolist() for b in pieces.encode_all(words)] == want
+    # Before, each word was merged on its own: over 15 microseconds each, of 5.3 million words at 0.5 GB.
+    alone = []
+    joined = Pieces._joined
+    monkeypatch.setattr(Pieces, "_joined", lambda self, w: alone.append(w) or joined(self, w))
+    pieces.encode_all(words)
+    assert len(alone) < 10  # those with characters that no piece holds
+
+
+def test_the_leftmost_of_equal_scores_is_merged(spark):
+    names, scores = ["<unk>", "a", "b", "ab", "ba", "aba", "bb"], [0, -5.0, -5.0, -1.0, -1.0, -2.0, -1.0]
+    pieces = Pieces(names, scores, 0, {0}, bpe=True)
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abz", repeat=n)]
+    assert [memoryview(b).cast("i").tolist() for b in pieces.encode_all(words)] == [pieces.encode(w) for w in words]

@@ -10,7 +10,8 @@ the library's ids.
 
 Shuffling every occurrence of every word to its code would move several times
 the input.  So documents stay where they are: each task looks words up in the
-broadcast dictionary, and works out the rest by the same rule in Python.
+broadcast dictionary, and works out the rest by the same rule in Python: words
+that a task hasn't met are merged together, a step of all of them at once.
 
 Spaces become U+2581, one is put in front, nothing else is normalised; a
 character without a piece becomes its UTF-8 bytes' pieces (or ``unk``).
@@ -29,6 +30,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,7 @@ from .common import small_batches, unwrapped, wrapped, written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DICTIONARY, LONGEST_WORD, CACHE, BINS = 40_000, 48, 200_000, 16
+LOT, TOGETHER = 1 << 22, 1 << 14  # characters whose words are looked up, and words merged, at once
 
 
 class Pieces:
@@ -144,6 +147,23 @@ class Pieces:
             cuts.append(end[cuts[-1]])
         return cuts
 
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as bytes of int32."""
+        out: list[bytes | None] = [None] * len(words)
+        if self.bpe:
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            short = np.argsort(size, kind="stable")  # words of like lengths go together
+            short = short[np.searchsorted(size[short], 1) : np.searchsorted(size[short], LONGEST_WORD, "right")].tolist()
+            for lo in range(0, len(short), TOGETHER):
+                here = short[lo : lo + TOGETHER]
+                for i, ids in zip(here, self.joints.merged([words[i] for i in here])):
+                    out[i] = ids
+        return [array("i", self.encode(w)).tobytes() if ids is None else ids for w, ids in zip(words, out)]
+
+    @cached_property
+    def joints(self) -> Joints:
+        return Joints(self)
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw_of.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
@@ -160,25 +180,124 @@ def splitter(pieces: Pieces):
     return lambda text: find(" " + text.replace(SPACE, " ")) if text else []
 
 
-class Codes(dict):
-    """Ids of words as bytes of int32: the dictionary's, and lately met others, at most 2 x ``CACHE``.
+class Joints:
+    """The rule of a BPE model for many short words at once.
+
+    Symbols are the pieces, then characters that only occur within pieces; 0 stands
+    for what no piece holds.  Ranks are those of scores, best first, and shared
+    where scores are; the leftmost of the least rank is merged.
+    """
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, pieces: Pieces):
+        symbol = {p: i for i, p in enumerate(pieces.table, 1)}
+        for c in sorted({c for p in pieces.table for c in p} - symbol.keys()):
+            symbol[c] = len(symbol) + 1
+        self.ids = np.full(len(symbol) + 1, -1, np.int32)
+        self.ids[1 : len(pieces.table) + 1] = [i for _, i in pieces.table.values()]
+        ranks = {s: i for i, s in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
+        self.char = np.zeros(0x110000, np.int32)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.width = len(symbol) + 1
+        joint = [(symbol[p[:k]] * self.width + symbol[p[k:]], ranks[pieces.scores[p]], symbol[p]) for p in pieces.table for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        self.bits = (4 * len(joint)).bit_length()
+        self.keys, self.ranks, self.symbols = (np.full(1 << self.bits, x, t) for x, t in ((-1, np.int64), (self.NONE, np.int32), (0, np.int32)))
+        key, rank, piece = np.array(joint, np.int64).reshape(-1, 3).T
+        slot = self._slot(key)
+        while len(key):  # the first that asks for a free slot gets it, the others ask for the next one
+            free = np.flatnonzero(self.keys[slot] == -1)
+            got = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[got]], self.ranks[slot[got]], self.symbols[slot[got]] = key[got], rank[got], piece[got]
+            left = np.ones(len(key), bool)
+            left[got] = False
+            key, rank, piece, slot = key[left], rank[left], piece[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the joint pieces of neighbours stand in the table: at a free slot if there is none."""
+        key = a.astype(np.int64) * self.width + b
+        slot = self._slot(key)
+        met = self.keys[slot]
+        far = np.flatnonzero((met != key) & (met != -1))
+        while len(far):
+            slot[far] = (slot[far] + 1) & ((1 << self.bits) - 1)
+            met = self.keys[slot[far]]
+            far = far[(met != key[far]) & (met != -1)]
+        return slot
+
+    def merged(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words as bytes; none where a part is no piece."""
+        out: list[bytes | None] = [None] * len(words)
+        size = np.array([len(w) for w in words])
+        n, wide = len(words), int(size.max())
+        parts = self.char[np.array(words, f"U{wide}").view(np.uint32).reshape(n, wide)]
+        parts[np.arange(wide) >= size[:, None]] = 0
+        rows = np.arange(n)
+        joint = self.ranks[self._place(parts[:, :-1].ravel(), parts[:, 1:].ravel())].reshape(n, wide - 1)
+        while len(rows):
+            at = joint.argmin(1) if joint.shape[1] else np.zeros(len(rows), np.int64)
+            best = joint[np.arange(len(rows)), at] if joint.shape[1] else np.full(len(rows), self.NONE)
+            more = best < self.NONE
+            self._put(out, rows[~more], parts[~more], size[~more])
+            rows, parts, joint, size, at = rows[more], parts[more], joint[more], size[more] - 1, at[more]
+            if not len(rows):
+                break
+            here, width = np.arange(len(rows)), parts.shape[1] - 1
+            parts[here, at] = self.symbols[self._place(parts[here, at], parts[here, at + 1])]
+            parts = parts[np.arange(width + 1) != at[:, None] + 1].reshape(len(rows), width)
+            joint = joint[np.arange(width) != at[:, None]].reshape(len(rows), width - 1)
+            for side, ok in ((at - 1, at > 0), (at, at < width - 1)):
+                i, j = here[ok], side[ok]
+                joint[i, j] = self.ranks[self._place(parts[i, j], parts[i, j + 1])]
+        return out
+
+    def _put(self, out: list, rows: np.ndarray, parts: np.ndarray, size: np.ndarray) -> None:
+        ids = self.ids[parts]
+        used = np.arange(parts.shape[1]) < size[:, None]
+        whole = ((ids >= 0) | ~used).all(1)
+        flat, end = ids[used].tobytes(), np.cumsum(size) * 4
+        for row, lo, hi, ok in zip(rows.tolist(), (end - size * 4).tolist(), end.tolist(), whole.tolist()):
+            if ok:
+                out[row] = flat[lo:hi]
+
+
+class Codes:
+    """Ids of words as bytes of int32: the dictionary's, and lately met others.
 
     It is broadcast, so the tasks that a Python worker runs share what it has met.
     """
 
     def __init__(self, pieces: Pieces, known: dict[str, list[int]]):
-        super().__init__((w.replace(SPACE, " "), np.array(ids, np.int32).tobytes()) for w, ids in known.items())
-        self.pieces, self.young, self.old = pieces, {}, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.young.get(word)
-        if got is None:
-            got = self.old.get(word) or array("i", self.pieces.encode(word.replace(" ", SPACE))).tobytes()
-            if len(word) <= LONGEST_WORD:
-                if len(self.young) >= CACHE:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
-        return got
+        self.known = {w.replace(SPACE, " "): np.array(ids, np.int32).tobytes() for w, ids in known.items()}
+        self.pieces, self.met = pieces, {}
+
+    def of(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """The ids of all words of the texts, and maybe of others."""
+        if not self.met or len(self.met) > len(self.known) + 2 * CACHE:
+            self.met = dict(self.known)
+        new = list(set().union(*texts).difference(self.met))
+        codes = self.pieces.encode_all([w.replace(" ", SPACE) for w in new])
+        self.met.update((w, c) for w, c in zip(new, codes) if len(w) <= LONGEST_WORD)
+        long = {w: c for w, c in zip(new, codes) if len(w) > LONGEST_WORD}
+        return {**self.met, **long} if long else self.met
+
+
+def lots(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in lots of at most ``LOT`` characters or of one text."""
+    lot, held = [], 0
+    for t in texts:
+        if lot and held + len(t or "") > LOT:
+            yield lot
+            lot, held = [], 0
+        lot.append(t)
+        held += len(t or "")
+    if lot:
+        yield lot
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -279,15 +398,18 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, most: int =
     @F.pandas_udf("ids array<int>, n_tokens int, round_trip boolean")
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codes = shared.value
-        pieces, split, code = codes.pieces, splitter(codes.pieces), codes.__getitem__
+        pieces, split = codes.pieces, splitter(codes.pieces)
         for texts in batches:
             out = []
-            for t in texts:
-                if t is None:
-                    out.append((None, 0, None))
-                    continue
-                ids = np.frombuffer(b"".join(map(code, split(t))), np.int32)
-                out.append((ids, len(ids), pieces.decode(ids.tolist()) == t))
+            for lot in lots(texts.tolist()):
+                words = [split(t) for t in lot]
+                code = codes.of(words).__getitem__
+                for t, found in zip(lot, words):
+                    if t is None:
+                        out.append((None, 0, None))
+                        continue
+                    ids = np.frombuffer(b"".join(map(code, found)), np.int32)
+                    out.append((ids, len(ids), pieces.decode(ids.tolist()) == t))
             yield pd.DataFrame(out, columns=["ids", "n_tokens", "round_trip"])
 
     found = rows.withColumn("found", coded(body))
