@@ -1,6 +1,7 @@
 """Branches that the given tables don't reach, on inline rows."""
 
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -247,3 +248,13 @@ def test_first_keyword_match_moves_no_text(spark):
     got = sorted((r.id or 0, r["match"]) for r in found.collect())
     assert got == [(0, "g1"), (1, "r"), (2, "b"), (2, "b"), (3, "none"), (4, "none"), (5, "e"), (6, "t")]
     assert got == sorted((r.id or 0, r["match"]) for r in R.first_keyword_match(texts, words, ("id",), most=0).collect())
+
+
+def test_blocks_are_worked_out_once_a_text(spark):
+    """Before, the blocks were cut anew for each block: at the square of their number."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("id") * 0 + 7999), lambda i: F.concat(F.lit("line "), (i / 2).cast("int"))), "\n")
+    long = spark.range(1).select(text.alias("t"))
+    began = time.time()
+    for c in (F.size(B.dedupe_consecutive_blocks(B.blocks_of(F.col("t"), "\n"))[0]), F.size(B.strip_heading_pairs(B.blocks_of(F.col("t"), "\n"), "line 1", "line 2"))):
+        long.select(c).first()
+    assert time.time() - began < 30  # 8000 lines

@@ -36,15 +36,25 @@ def n_words(block: Column) -> Column:
     return F.size(F.filter(F.split(block, r"\s+"), lambda w: w != ""))
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: an expression within a function of blocks is worked out for each block."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dedupe_consecutive_blocks(blocks: Column, labels: tuple[str, ...] = TAB_LABELS) -> tuple[Column, Column]:
     """Blocks that differ from the one kept before, and how many were removed.
 
     Blank blocks and labels of tabs are left out and don't part equal blocks; blank ones aren't counted.
     """
-    filled = F.filter(blocks, lambda b: F.trim(b) != "")
-    bare = F.filter(filled, lambda b: ~plain(b).isin(*labels))
-    kept = F.filter(bare, lambda b, i: (i == 0) | (plain(b) != plain(F.get(bare, i - 1))))
-    return kept, F.size(filled) - F.size(kept)
+    filled = F.transform(F.filter(blocks, lambda b: F.trim(b) != ""), lambda b: F.struct(b.alias("block"), plain(b).alias("plain")))
+
+    def both(filled):
+        bare = F.filter(filled, lambda b: ~b["plain"].isin(*labels))
+        kept = bound(bare, lambda all_: F.filter(all_, lambda b, i: (i == 0) | (b["plain"] != F.get(all_, i - 1)["plain"])))
+        return bound(kept, lambda k: F.struct(F.transform(k, lambda b: b["block"]).alias("kept"), (F.size(filled) - F.size(k)).alias("removed")))
+
+    found = bound(filled, both)
+    return found["kept"], found["removed"]
 
 
 def truncate_after_marker(blocks: Column, headings: tuple[str, ...], lines: tuple[str, ...] = (), least_words: int = 0, last: str = LAST_HEADING) -> Column:
@@ -69,10 +79,13 @@ def article_body(blocks: Column, path: Column) -> Column:
 
 def strip_heading_pairs(blocks: Column, name: str, body: str) -> Column:
     """Without each heading of this name whose next block holds the body, that block, and blocks that are the body."""
-    def pair(i):
-        return (heading(F.get(blocks, i)) == name) & F.coalesce(plain(F.get(blocks, i + 1)).contains(body), F.lit(False))
+    def left(blocks):
+        def pair(i):
+            return (heading(F.get(blocks, i)) == name) & F.coalesce(plain(F.get(blocks, i + 1)).contains(body), F.lit(False))
+
+        return F.filter(blocks, lambda b, i: ~pair(i) & ~((i > 0) & pair(i - 1)) & (plain(b) != body))
 
-    return F.filter(blocks, lambda b, i: ~pair(i) & ~((i > 0) & pair(i - 1)) & (plain(b) != body))
+    return bound(blocks, left)
 
 
 def strip_marked_blocks(blocks: Column, marks: tuple[tuple[str, ...], ...] = ()) -> Column:
