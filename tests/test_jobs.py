@@ -1,11 +1,13 @@
 import random
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators.chunking import chunk_size_sweep, cut, recursive_chunk
+from textloom.operators.chunking import chunk_size_sweep, cut, lots, recursive_chunk
 from textloom.operators.metering import rate_limit, trace_checks
+from textloom.operators.structure import structure_chunk
 from textloom.sources import files
 from textloom.streaming import jobs
 
@@ -169,3 +171,19 @@ def test_stream_ingest(spark, folder):
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
         jobs.stream_ingest(stream, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert {(r.document_id, r.text) for r in jobs.read_chunks(spark, f"{folder}/out").collect()} == {("a", "newer"), ("b", "kept")}
+
+
+def test_chunks_of_few_texts_are_held_at_once(spark):
+    """Before, a task held the chunks of up to 10,000 texts."""
+    frame = pd.DataFrame({"text": ["ab", "c" * 10, "", "d" * 3, "e" * 3, "f"]})
+    assert [list(x["text"]) for x in lots(iter([frame, frame[:0]]), most=6)] == [["ab"], ["c" * 10], ["", "d" * 3, "e" * 3], ["f"], []]
+    docs = spark.createDataFrame([(i, "word " * 40, "a.md") for i in range(30)], "doc_id long, text string, source string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for chunks in (chunk_size_sweep, structure_chunk):
+        was = spark.conf.get(key)
+        spark.conf.set(key, 10000)
+        try:
+            assert chunks(docs).count() >= 30
+            assert int(spark.conf.get(key)) <= 1000
+        finally:
+            spark.conf.set(key, was)

@@ -6,12 +6,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The separators in order of preference, size and overlap in characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZE, OVERLAP = 800, 100
+#: Characters of texts whose chunks a task holds at once.
+LOT = 1 << 20
 
 
 def _parts(text: str, separator: str) -> list[str]:
@@ -50,15 +52,35 @@ def cut(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARA
     yield from filter(None, map(str.strip, _packed(run, size, overlap)))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows reach a Python worker at once: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def lots(batches: Iterator[pd.DataFrame], text: str = "text", most: int = LOT) -> Iterator[pd.DataFrame]:
+    """The rows of the batches in order, in lots of at most ``most`` characters of text or of one row."""
+    for batch in batches:
+        begin, held = 0, 0
+        for i, n in enumerate(batch[text].map(len)):
+            if i > begin and held + n > most:
+                yield batch.iloc[begin:i]
+                begin, held = i, 0
+            held += n
+        yield batch.iloc[begin:]
+
+
 def recursive_chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """``document_id, chunk_index, chunk_id, text``.
 
     An overlap of ``size`` or more counts as ``size - 1``; null and blank texts have no chunks.
     """
     overlap = min(overlap, size - 1)
+    small_batches(docs.sparkSession)
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in lots(batches):
             rows = [(d, i, c) for d, t in zip(batch["document_id"], batch["text"]) for i, c in enumerate(cut(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "text"])
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.chunking import OVERLAP, SIZE, cut
+from textloom.operators.chunking import OVERLAP, SIZE, cut, lots, small_batches
 
 # What opens a section, a row, a numbered row; and a section's label.
 SECTION = re.compile(r"Grade \d+ Learning progression|Supporting [^\n|]{8,120}(?:K-\d+|K-8)", re.I)
@@ -134,12 +134,13 @@ def structure_chunk(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, s
     blank texts have no chunks; an overlap of ``size`` or more counts as ``size - 1``.
     """
     overlap = min(overlap, size - 1)
+    small_batches(docs.sparkSession)
     page = F.col("page_number").cast("int") if "page_number" in docs.columns else F.lit(None).cast("int")
     document = F.regexp_replace(F.col("doc_id").cast("string"), "/", "_")
     rows = docs.where("trim(text) <> ''").select(document.alias("document_id"), F.col("source").cast("string").alias("source"), page.alias("page"), source_type(page, F.col("source")).alias("kind"), "text")
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in lots(batches):
             parts = [structured(t, k, size, overlap, series, product) for t, k in zip(pdf["text"], pdf["kind"])]
             yield pd.DataFrame({"document_id": pdf["document_id"], "source": pdf["source"], "page": pdf["page"], "parts": parts})
 
