@@ -258,3 +258,14 @@ def test_blocks_are_worked_out_once_a_text(spark):
     for c in (F.size(B.dedupe_consecutive_blocks(B.blocks_of(F.col("t"), "\n"))[0]), F.size(B.strip_heading_pairs(B.blocks_of(F.col("t"), "\n"), "line 1", "line 2"))):
         long.select(c).first()
     assert time.time() - began < 30  # 8000 lines
+
+
+def test_compared_texts_are_made_once(spark):
+    """Before, each use of the texts worked out anew what they are made from."""
+    pairs = spark.createDataFrame([("a b c", "a x c d"), ("a", "a"), (None, "x"), ("", "a")], "a string, b string")
+    found = P.text_similarity(F.col("a"), F.col("b"))
+    got = [tuple(r) for r in pairs.select(*[found[c] for c in ("ratio", "word_delta", "identical", "excerpt")]).collect()]
+    assert got[0][1:3] == (-1, False) and got[1:3] == [(1.0, 0, True, None), (None, None, None, None)] and got[3][1:3] == (-1, False)
+    found = P.text_similarity(F.col("a"), F.upper("b"))
+    plan = pairs.select(*[found[c] for c in ("ratio", "word_delta", "identical")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("upper(") < 6  # 12 before

@@ -230,29 +230,30 @@ def text_similarity(left: Column, right: Column) -> dict[str, Column]:
     """``ratio, word_delta, identical, excerpt`` of two texts, compared with their space collapsed.
 
     ``ratio``: twice the words that both share in order, at most, by the words of both; ``excerpt``: the
-    first difference with five words around it, 140 characters at most.  Equal texts (found by their
-    hash) are not compared; a pair is compared by words, whole, in linear space.
+    first difference with five words around it, 140 characters at most.  Equal texts are not compared
+    by words; a pair is, whole, in linear space.  Both texts go to one function, once, so that
+    what they are made from is worked out once.
     """
 
-    @F.pandas_udf("ratio double, excerpt string")
+    @F.pandas_udf("ratio double, word_delta int, identical boolean, excerpt string")
     def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b):
             if x is None or y is None:
-                out.append((None, None))
+                out.append((None, None, None, None))
+                continue
+            if x == y:
+                out.append((1.0, 0, True, None))
                 continue
             p, q = x.split(" "), y.split(" ")
             shared, first = difference(p, q)
-            out.append((round(2 * shared / (len(p) + len(q)), 6), " ".join(p[max(0, first[0] - 5) : first[1] + 5])[:140] if first else None))
-        return pd.DataFrame(out, columns=["ratio", "excerpt"]).astype({"ratio": "float64"})
+            delta = sum(map(bool, p)) - sum(map(bool, q))
+            out.append((round(2 * shared / (len(p) + len(q)), 6), delta, False, " ".join(p[max(0, first[0] - 5) : first[1] + 5])[:140] if first else None))
+        return pd.DataFrame(out, columns=["ratio", "word_delta", "identical", "excerpt"]).astype({"ratio": "float64", "word_delta": "Int32", "identical": "boolean"})
 
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, T.MARKS, ""), r"\s+", " "))
-    a, b = plain(left), plain(right)
-    n = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
-    same = F.sha2(a, 256) == F.sha2(b, 256)
-    # Nulls go to the comparison of equal texts, which hands them back at once.
-    pair = compared(F.when(~same, a), F.when(~same, b))
-    return {"ratio": F.when(same, 1.0).otherwise(pair["ratio"]), "word_delta": n(a) - n(b), "identical": same, "excerpt": pair["excerpt"]}
+    found = compared(plain(left), plain(right))
+    return {n: found[n] for n in ("ratio", "word_delta", "identical", "excerpt")}
 
 
 def text_issues(local: Column, live: Column, patterns: tuple[str, ...] = ()) -> Column:
