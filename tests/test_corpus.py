@@ -269,3 +269,27 @@ def test_compared_texts_are_made_once(spark):
     found = P.text_similarity(F.col("a"), F.upper("b"))
     plan = pairs.select(*[found[c] for c in ("ratio", "word_delta", "identical")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("upper(") < 6  # 12 before
+
+
+def test_pages_are_parsed_once_for_all_roots(monkeypatch):
+    """Before, a page was parsed anew for each root, and an end tag without a start looked through all open tags."""
+    fed, feed = [], P._Reader.feed
+    monkeypatch.setattr(P._Reader, "feed", lambda self, html: (fed.append(html), feed(self, html))[1])
+    assert P.read_page("<body><p>out</p><article><h1>In</h1><h1>side<br></h1><li>x", P.PAGES) == (["# In side", "* x"], 0)
+    assert len(fed) == 1  # 2 before
+    assert P.read_page("<body>a<span>b<body>c</span>d<p>e", P.Layout(roots=("main", "span"))) == (["b"], 0)
+    began = time.time()
+    assert P.read_page("<body>" + "<p>a" * 20_000 + "</x>" * 20_000, P.PAGES)[0] == ["a"] * 20_000
+    assert time.time() - began < 10
+
+
+def test_guards_of_cleaned_blocks_lose_nothing(spark):
+    """Patterns that are skipped by what a text begins with or holds give what they gave."""
+    texts = [" TEXT\tlink ", "text link x", "loK in", "K", "a\ndonate\n\n\n\nb\n", "##", "a_b_ _c_ __d__ **e** [f](g) [ ]", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(T.clean_markdown(F.col("t"))).collect()] == ["", "text link x", "loK in", "K", "a\n\nb", "", "a_b_ c d e f", "", None]
+    assert [r[0] for r in rows.select(T.clean_markdown(F.col("t"), ("k", "ȧ"))).collect()][3] == ""
+    blocks = F.array(*map(F.lit, ["Table  OF contents", "\ttable of contents a", "table of contents " + "w " * 12, "a table of contents", "x"]))
+    assert spark.range(1).select(F.size(B.strip_marked_blocks(blocks)), F.size(B.strip_marked_blocks(blocks, (("x",), ("a ", "of"))))).first()[:] == (3, 1)
+    share = lambda t: spark.range(1).select(T.language_share(F.lit(t))).first()[0]
+    assert share("the www " * 10) == 0 and share("www " * 20) is None and share("the " * 19) is None and share("the x " * 10) == 0.5

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.functions.sequences import overlap
 
 #: Blocks are parted by blank lines.
@@ -90,13 +91,15 @@ def strip_heading_pairs(blocks: Column, name: str, body: str) -> Column:
 
 def strip_marked_blocks(blocks: Column, marks: tuple[tuple[str, ...], ...] = ()) -> Column:
     """Without tables of contents (alone, or a short block that starts so) and blocks that hold all of a tuple of marks."""
+    def contents(p):
+        return (p == CONTENTS) | (p.startswith(CONTENTS) & (n_words(p) <= CONTENTS_WORDS))
+
     def marked(b):
-        p = plain(b)
-        out = (p == CONTENTS) | (p.startswith(CONTENTS) & (n_words(p) <= CONTENTS_WORDS))
+        out = b.rlike(T.spaced(CONTENTS)) & bound(plain(b), contents)
         for all_of in marks:
             every = F.lit(True)
             for m in all_of:
-                every = every & p.contains(m)
+                every = every & plain(b).contains(m)
             out = out | every
         return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -38,53 +39,76 @@ class Layout:
 PAGES, ARTICLES = Layout(), Layout(roots=("article",))
 
 
+@cache
+def _kinds(layout: Layout):
+    """What a tag with such classes is: left out, the label of a tab, its pane."""
+
+    @lru_cache(1024)
+    def kind(tag: str, classes: str) -> tuple[bool, bool, bool]:
+        names = classes.lower().split()
+        hidden = any(c in layout.hidden or any(c.startswith(h + "-") or c.endswith("-" + h) for h in layout.hidden) for c in names)
+        return tag in _SILENT or tag in layout.left_out or hidden or any(c in layout.calls for c in names), layout.tab_label in names, layout.tab_pane in names
+
+    return kind
+
+
 class _Reader(HTMLParser):
-    """Blocks of the text within a root tag: ``(level of heading or 0, text)``; broken nesting closes where it can."""
+    """Blocks of the text within each root tag: ``[level of heading or 0, texts]``; broken nesting closes where it can.
+
+    All roots are read in one pass: a part of a text has a bit for each root that it is in.
+    """
 
-    def __init__(self, layout: Layout, root: str):
+    def __init__(self, layout: Layout):
         super().__init__(convert_charrefs=True)
-        self.layout, self.root, self.stack, self.parts = layout, root, [], []
-        self.found, self.skip, self.depth, self.level, self.item = [], 0, 0, 0, False
+        self.kind, self.bit, self.stack, self.opened, self.parts = _kinds(layout), {r: 1 << i for i, r in enumerate(layout.roots)}, [], {}, []
+        self.found, self.skip, self.inside, self.level, self.item = {r: [] for r in self.bit}, 0, 0, 0, False
         self.labels, self.panes, self.in_label, self.title, self.in_title = [], 0, False, [], False
 
-    def _drops(self, tag: str, attrs: dict) -> bool:
-        classes = (attrs.get("class") or "").lower().split()
-        hidden = any(c in self.layout.hidden or any(c.startswith(h + "-") or c.endswith("-" + h) for h in self.layout.hidden) for c in classes)
-        return tag in _SILENT or tag in self.layout.left_out or hidden or any(c in self.layout.calls for c in classes) or bool(_HIDDEN_STYLE.search(attrs.get("style") or ""))
+    def updatepos(self, i, j):  # places aren't asked for
+        return j
 
     def _close_block(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.parts)).strip()
-        self.parts = []
-        if text and self.depth and not self.skip:
-            same = self.level and self.found and self.found[-1][0] == self.level
-            if same:  # headings that only decoration parted
-                self.found[-1] = (self.level, f"{self.found[-1][1]} {text}")
+        parts, self.parts = self.parts, []
+        if not parts or not self.inside or self.skip:
+            return
+        shared = all(bits & self.inside == self.inside for bits, _ in parts)
+        text = " ".join("".join([t for _, t in parts]).split()) if shared else ""
+        for root, bit in self.bit.items():
+            if not bit & self.inside:
+                continue
+            own = text if shared else " ".join("".join([t for bits, t in parts if bits & bit]).split())
+            if not own:
+                continue
+            found = self.found[root]
+            if self.level and found and found[-1][0] == self.level:  # headings that only decoration parted
+                found[-1][1].append(own)
             else:
-                self.found.append((self.level, ("* " if self.item and not self.level else "") + text))
+                found.append((self.level, [("* " if self.item and not self.level else "") + own]))
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
         if tag == "title":
             self.in_title = True
-        if tag in _BLOCK:
+        if block := tag in _BLOCK:
             self._close_block()
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((-1, " "))
         if tag in _VOID:
             return
-        drops = self._drops(tag, attrs)
-        classes = (attrs.get("class") or "").lower().split()
-        label = self.layout.tab_label in classes
-        self.stack.append((tag, drops, tag == self.root, label))
+        attrs = dict(attrs)
+        drops, label, pane = self.kind(tag, attrs.get("class") or "")
+        drops = drops or bool(_HIDDEN_STYLE.search(attrs.get("style") or ""))
+        self.stack.append((tag, drops, label))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
         self.skip += drops
-        self.depth += tag == self.root
+        self.inside |= self.bit.get(tag, 0)
         self.in_label = self.in_label or label
         if label:
             self.labels.append("")
-        if self.layout.tab_pane in classes and self.panes < len(self.labels):
-            self.found.append((2, f"Tab: {self.labels[self.panes].strip().upper()}"))
+        if pane and self.panes < len(self.labels):
+            for found in self.found.values():
+                found.append((2, [f"Tab: {self.labels[self.panes].strip().upper()}"]))
             self.panes += 1
-        self.level, self.item = _LEVEL.get(tag, self.level if tag not in _BLOCK else 0), tag == "li" or (self.item and tag not in _BLOCK)
+        self.level, self.item = _LEVEL.get(tag, 0 if block else self.level), tag == "li" or (self.item and not block)
 
     def handle_endtag(self, tag):
         if tag == "title":
@@ -92,11 +116,13 @@ class _Reader(HTMLParser):
         if tag in _BLOCK:
             self._close_block()
             self.level, self.item = 0, False
-        if any(t == tag for t, *_ in self.stack):
+        if self.opened.get(tag):
             while True:
-                t, drops, root, label = self.stack.pop()
+                t, drops, label = self.stack.pop()
+                self.opened[t] -= 1
                 self.skip -= drops
-                self.depth -= root
+                if not self.opened[t]:
+                    self.inside &= ~self.bit.get(t, 0)
                 self.in_label = self.in_label and not label
                 if t == tag:
                     break
@@ -106,23 +132,25 @@ class _Reader(HTMLParser):
             self.title.append(data)
         elif self.in_label:
             self.labels[-1] += data
-        elif self.depth and not self.skip:
-            self.parts.append(data)
+        elif self.inside and not self.skip:
+            self.parts.append((self.inside, data))
 
     def blocks(self) -> list[str]:
+        """Of the first root that has any."""
         self._close_block()
-        return [("#" * level + " " if level else "") + text for level, text in self.found]
+        found = next((f for f in self.found.values() if f), [])
+        return [("#" * level + " " if level else "") + " ".join(texts) for level, texts in found]
 
 
 def read_page(html: str | None, layout: Layout) -> tuple[list[str], int]:
-    """Blocks of the first root that has text, and how many tabs were labelled."""
-    for root in layout.roots if html else ():
-        reader = _Reader(layout, root)
-        reader.feed(html)
-        reader.close()
-        if found := reader.blocks():
-            return found, reader.panes
-    return [], 0
+    """Blocks of the first root that has text, and how many tabs were labelled; a page is parsed once, for all roots."""
+    if not html:
+        return [], 0
+    reader = _Reader(layout)
+    reader.feed(html)
+    reader.close()
+    found = reader.blocks()
+    return found, reader.panes if found else 0
 
 
 def page_blocks(pages: DataFrame, key: str, html: str, layout: Layout = PAGES, carried: dict[str, Column] | None = None) -> DataFrame:
@@ -146,7 +174,8 @@ def page_blocks(pages: DataFrame, key: str, html: str, layout: Layout = PAGES, c
 def body_length_validation(path: Column, text: Column, least: int = 20, least_research: int = 5, keywords: tuple[str, ...] = ()) -> tuple[Column, Column]:
     """Status ``ok``, ``static_failed`` (too short) or ``incomplete`` (keywords missing), and the reason."""
     text = F.coalesce(text, F.lit(""))
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    # Only counts of short texts are told, so the split ends where the longest of them would.
+    n = F.size(F.filter(F.split(text, r"\s+", max(least, least_research) + 2), lambda w: w != ""))
     short = n < F.when(path.startswith("/research/"), least_research).otherwise(least)
     missing = F.filter(F.array(*map(F.lit, keywords)).cast("array<string>"), lambda w: ~F.lower(text).contains(F.lower(w)))
     status = F.when(short, "static_failed").when(F.size(missing) > 0, "incomplete").otherwise("ok")
@@ -177,8 +206,9 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     kept, removed = B.dedupe_consecutive_blocks(F.col("blocks"))
     rows = rows.withColumns({"kept": kept, "removed": removed})
     rows = rows.withColumn("body", F.array_join(B.strip_marked_blocks(B.article_body(F.col("kept"), F.col("path"))), "\n\n"))
+    rows = rows.withColumn("other", F.coalesce(T.language_share(F.col("body")) >= 0.95, F.lit(False)))
     status, reason = body_length_validation(F.col("path"), F.col("body"))
-    other = F.coalesce(T.language_share(F.col("body")) >= 0.95, F.lit(False))
+    other = F.col("other")
     named = F.coalesce(F.nullif(T.clean_title(F.col("title")), F.lit("")), T.url_doc_id(F.col(url)))
     return rows.select(key, url, "path", named.alias("title"), F.when(other, "other_language").otherwise(status).alias("status"), F.when(~other, reason).alias("reason"), "removed", "tabs", "body")
 
