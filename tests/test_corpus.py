@@ -3,11 +3,13 @@
 import random
 import time
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from compare import rows_of
 from textloom.functions import text as T
 from textloom.operators import blocks as B
 from textloom.operators import metering as M
@@ -293,3 +295,37 @@ def test_guards_of_cleaned_blocks_lose_nothing(spark):
     assert spark.range(1).select(F.size(B.strip_marked_blocks(blocks)), F.size(B.strip_marked_blocks(blocks, (("x",), ("a ", "of"))))).first()[:] == (3, 1)
     share = lambda t: spark.range(1).select(T.language_share(F.lit(t))).first()[0]
     assert share("the www " * 10) == 0 and share("www " * 20) is None and share("the " * 19) is None and share("the x " * 10) == 0.5
+
+
+@pytest.fixture(scope="module")
+def mostly_unasked(spark, tmp_path_factory):
+    """Tables whose documents come in four files; nobody asks for a word of the last three."""
+    folder, rng = tmp_path_factory.mktemp("mostly_unasked"), random.Random(3)
+    words = lambda letter, n: " ".join(f"{letter}{rng.randrange(60)}" for _ in range(n))
+    texts = [words("a" if i < 10 else "b", 20 * (1 + i % 15)) for i in range(40)]
+    docs = [(i, text, f"src{i % 4}") for i, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    asked = [(i, " ".join(texts[i % 10].split()[3:15])) for i in range(12)]
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    assert spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions() == 4
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["context_cap", "context_chunk_ids", "evaluation_grid", "expand_neighbors", "format_context", "retrieval_scores", "retrieve_context", "retrieve_context_lite", "scoped_keyword"])
+def test_tasks_without_a_hit(spark, mostly_unasked, name):
+    """Before, a task that found nothing for string keys failed: it sent a column of floats for them."""
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{mostly_unasked}/{t}.parquet/*.parquet')")
+    df, ref = registry.queries()[name](spark, mostly_unasked), db.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in ref.description]
+    want = rows_of(columns, ref.fetchall())
+    assert want and sorted(df.columns) == sorted(columns) and rows_of(df.columns, df.collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "long", "double", "date", "timestamp", "binary", "decimal(9,2)", "boolean"])
+def test_best_of_nothing_fits_every_kind_of_key(spark, kind):
+    found = spark.range(1).mapInPandas(lambda batches: [R._Best(np.arange(2), 3, 0.0).rows()], f"query long, key {kind}, score double")
+    assert found.collect() == []
