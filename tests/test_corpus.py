@@ -329,3 +329,15 @@ def test_tasks_without_a_hit(spark, mostly_unasked, name):
 def test_best_of_nothing_fits_every_kind_of_key(spark, kind):
     found = spark.range(1).mapInPandas(lambda batches: [R._Best(np.arange(2), 3, 0.0).rows()], f"query long, key {kind}, score double")
     assert found.collect() == []
+
+
+def test_chunks_take_columns_of_their_document_along(spark):
+    from textloom.plans import corpus
+
+    few = [(1, "x" * 1100, "s1"), (2, "y" * 500, None), (None, "z", "s3"), (None, "z", "s4"), (4, None, "s5"), (5, "", "s6")]
+    for rows, kind, shuffled in ((few, "long", False), ([*few, (1, "w" * 600, "s7")], "long", True), ([(str(i), *r) for i, *r in few if i] + [("a/b", "x", "s8"), ("a_b", "y", "s9")], "string", True)):
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, source string")
+        joined = R.fixed_chunk(docs).join(docs.select(F.col("doc_id").cast("string").alias("document_id"), "source"), "document_id")
+        found = corpus._chunks_with(docs, "source")
+        assert found.schema == joined.schema and sorted(map(str, found.collect())) == sorted(map(str, joined.collect())) != []
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == shuffled
